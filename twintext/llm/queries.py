@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twintext.llm.exact_dedup import exact_dedup
+from twintext.llm.lang_id import fit_language, identify_language
 from twintext.llm.mixing import cyclic_weights, mix
+from twintext.llm.quality import fit_quality, score_quality
 from twintext.llm.secrets import secret_spans
+from twintext.llm.toxicity import fit_toxicity, score_toxicity
 from twintext.llm.url_filter import url_filter
 
 #: The rules of op7: action, host, path.
@@ -28,6 +31,34 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def fold(k: int, id_col: str = "doc_id") -> Column:
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % k
+
+
+#: Least score of a row that op3 and op5 predict as 1.
+PREDICT_AT = 0.3
+
+
+def _predicted(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _predicted(score_quality(docs, fit_quality(docs, labels, fold(5) != 0)), fold(5) == 0)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_language(docs, fit_language(docs, fold(3) != 1))
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _predicted(score_toxicity(docs, fit_toxicity(docs, labels, fold(4) != 2)), fold(4) == 2)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents"))
     return found.select(
@@ -47,7 +78,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_secret_scan, op7_url_filter, op8_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_quality, op4_language, op5_toxicity, op6_secret_scan, op7_url_filter, op8_mixing)}
 
 
 _OP1 = """
