@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintext.llm.storage import materialise, new_path
+from twintext.llm.storage import materialise, new_path, per_shard
 
 SHARDS = 256
 #: Most digests with copies that are sent to every executor (32 bytes each).
@@ -80,16 +80,6 @@ class DigestIndex:
         return per_shard(run, self.level1, ["__digest"])
 
 
-def per_shard(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Joins per-group values to rows that have ``keys`` and ``__shard``.
-
-    The groups are first dealt to the shards in which they occur, so no key
-    gathers more rows in a task than one shard holds.
-    """
-    dealt = rows.select(*keys, "__shard").distinct().join(groups, keys)
-    return rows.join(dealt, [*keys, "__shard"])
-
-
 def _verified(index: DigestIndex, docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of each row in a group of several: whether its bytes equal those of the row that stays."""
     dups = index.level1.where("__n > 1").select("__digest", "__keep", "__n")

@@ -9,6 +9,7 @@ from twintext.llm.exact_dedup import exact_dedup
 from twintext.llm.lang_id import fit_language, identify_language
 from twintext.llm.mixing import cyclic_weights, mix
 from twintext.llm.quality import fit_quality, score_quality
+from twintext.llm.repeats import remove_repeats
 from twintext.llm.secrets import secret_spans
 from twintext.llm.toxicity import fit_toxicity, score_toxicity
 from twintext.llm.url_filter import url_filter
@@ -77,8 +78,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, cyclic_weights(docs))
 
 
+def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("pieces")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_quality, op4_language, op5_toxicity, op6_secret_scan, op7_url_filter, op8_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_quality, op4_language, op5_toxicity, op6_secret_scan, op7_url_filter, op8_mixing, op9_repeat_removal)}
 
 
 _OP1 = """
