@@ -142,3 +142,15 @@ def _split(index: DigestIndex, docs: DataFrame, found: DataFrame, clash: DataFra
     again = per_shard(rows, groups, ["__text"]).select("__id", "__digest", "__shard", F.unhex(F.sha2("__text", 256)).alias("__sha"), "__keep", "__n")
     rest = found.join(clash, "__digest", "left_anti")
     return rest.select("__id", "__digest", "__shard", "__sha", "__keep", "__n").unionByName(again)
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+    """The documents, all columns, without the copies that ``exact_dedup`` drops.
+
+    A row that repeats both the id and the text of the row that stays, stays.
+    """
+    found = exact_dedup(docs, id_col, text_col, keep).where("not kept")
+    gone = materialise(found.select(F.col(id_col).alias("__gone"), F.unhex("text_sha256").alias("__sha")).distinct(), "lsm-gone")
+    few = gone.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)) == F.col("__sha"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")

@@ -9,6 +9,7 @@ from twintext.llm.decontaminate import contamination
 from twintext.llm.exact_dedup import exact_dedup
 from twintext.llm.lang_id import fit_language, identify_language
 from twintext.llm.mixing import cyclic_weights, mix
+from twintext.llm.near_dedup import near_duplicates
 from twintext.llm.quality import fit_quality, score_quality
 from twintext.llm.repeats import remove_repeats
 from twintext.llm.secrets import secret_spans
@@ -87,8 +88,12 @@ def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("pieces")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_quality, op4_language, op5_toxicity, op6_secret_scan, op7_url_filter, op8_mixing, op9_repeat_removal)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_quality, op4_language, op5_toxicity, op6_secret_scan, op7_url_filter, op8_mixing, op9_repeat_removal, op10_near_dedup)}
 
 
 _OP1 = """
