@@ -40,7 +40,7 @@ HOT = 512
 #: Windows of a hot anchor that are dealt together.
 CELL = 64
 #: Bytes of contexts whose transforms are merged at once; a group of one anchor is not divided.
-BATCH = 1 << 18
+BATCH = 1 << 16
 SHARDS = 256
 _INVERSE = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
 
@@ -132,7 +132,7 @@ class Shard:
         ranks = np.append(letters, np.zeros(len(of), np.uint32)).astype(np.uint32)
         preceding = ranks[before]
         order = np.arange(n + len(of))
-        for _ in range(int(-(-sizes.max() // stride)) + 2 if n else 0):
+        for _ in range(int(-(-sizes.max() // stride)) + 1 if n else 0):
             order = before[order][_stable_order(preceding[order])]
         self.rows, self.bwt = order, preceding[order]
 
