@@ -44,6 +44,13 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("target is not null").withColumn("status", F.lit("translated"))
 
 
+def line_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each line as source, the document's next one as target."""
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    rows = lines(spark, d).select(*KEY, F.col("line").alias("source"), F.lead("line").over(w).alias("target"))
+    return rows.where("target is not null").withColumn("status", F.lit("translated"))
+
+
 def normalize_hash(spark, d):
     rows = table(spark, d, "documents").select("doc_id", T.normalize(F.col("text")).alias("plain"))
     return rows.select("doc_id", F.length("plain").cast("long").alias("n"), T.text_hash(F.col("plain")).alias("hash"))
@@ -138,27 +145,27 @@ def memory_languages(spark, d):
 
 
 def qa_issues(spark, d):
-    return qa.issues(turns(spark, d), ["conv_id", "turn"], "en", "en", ("seg.empty", "seg.untranslated", "punct.terminal", "punct.brackets", "punct.spacing"))
+    return qa.issues(line_pairs(spark, d), KEY, "en", "en", ("seg.empty", "seg.untranslated", "punct.terminal", "punct.brackets", "punct.spacing"))
 
 
 def qa_inverted(spark, d):
-    return qa.issues(turns(spark, d), ["conv_id", "turn"], "en", "es", ("punct.inverted",))
+    return qa.issues(line_pairs(spark, d), KEY, "en", "es", ("punct.inverted",))
 
 
 def qa_numbers(spark, d):
-    return qa.issues(turns(spark, d), ["conv_id", "turn"], "en", "de", ("num.missing", "num.altered"))
+    return qa.issues(line_pairs(spark, d), KEY, "en", "de", ("num.missing", "num.altered"))
 
 
 def qa_marks(spark, d):
-    return qa.marks(qa_issues(spark, d), ["conv_id", "turn"])
+    return qa.marks(qa_issues(spark, d), KEY)
 
 
 def qa_consistency(spark, d):
-    return qa.inconsistent(turns(spark, d).select("conv_id", "turn", F.lower("source").alias("source"), F.lower("target").alias("target")), ["conv_id", "turn"])
+    return qa.inconsistent(line_pairs(spark, d).select(*KEY, F.lower("source").alias("source"), F.lower("target").alias("target")), KEY)
 
 
 def qa_rule_counts(spark, d):
-    found = qa.carried(qa_issues(spark, d), qa_issues(spark, d).withColumn("dismissed", F.col("conv_id") % 2 == 0), ["conv_id", "turn"])
+    found = qa.carried(qa_issues(spark, d), qa_issues(spark, d).withColumn("dismissed", F.col("doc_id") % 2 == 0), KEY)
     return found.groupBy("rule").agg(F.count(F.when(~F.col("dismissed"), 1)).alias("open"), F.count(F.when(F.col("dismissed"), 1)).alias("dismissed"))
 
 
@@ -296,7 +303,7 @@ def membership_union(spark, d):
 
 
 def fold_export(spark, d):
-    rows = lines(spark, d).select("doc_id", "ord", F.col("line").alias("source"), F.when(F.col("ord") % 2 == 0, F.upper("line")).alias("target"))
+    rows = lines(spark, d).select("doc_id", "ord", F.col("line").alias("source"), F.when(F.col("ord") % 2 == 0, F.concat(F.lit("["), "line", F.lit("]"))).alias("target"))
     out = business.fold_file(rows, ["doc_id"])
     return out.select("doc_id", F.sha2("text", 256).alias("text_hash"), "translated", "segments")
 

@@ -85,13 +85,15 @@ def _terminal(x: str) -> str:
 
 
 _SP = "[    ]"
-QA = f"""{TURNS}, issues AS (
-  SELECT conv_id, turn, 'seg.empty' AS rule, 'error' AS severity FROM turns WHERE trim(target, ' ') = ''
-  UNION ALL SELECT conv_id, turn, 'seg.untranslated', 'warning' FROM turns WHERE source = target AND regexp_matches(source, '\\p{{L}}')
-  UNION ALL SELECT conv_id, turn, 'punct.terminal', 'info' FROM turns WHERE trim(target, ' ') <> '' AND {_terminal('source')} <> {_terminal('target')}
-  UNION ALL SELECT conv_id, turn, 'punct.brackets', 'warning' FROM turns
+LINE_PAIRS = f"""{LINES}, line_pairs AS (
+  SELECT * FROM (SELECT doc_id, ord, line AS source, lead(line) OVER (PARTITION BY doc_id ORDER BY ord) AS target FROM lines) WHERE target IS NOT NULL)"""
+QA = f"""{LINE_PAIRS}, issues AS (
+  SELECT doc_id, ord, 'seg.empty' AS rule, 'error' AS severity FROM line_pairs WHERE trim(target, ' ') = ''
+  UNION ALL SELECT doc_id, ord, 'seg.untranslated', 'warning' FROM line_pairs WHERE source = target AND regexp_matches(source, '\\p{{L}}')
+  UNION ALL SELECT doc_id, ord, 'punct.terminal', 'info' FROM line_pairs WHERE trim(target, ' ') <> '' AND {_terminal('source')} <> {_terminal('target')}
+  UNION ALL SELECT doc_id, ord, 'punct.brackets', 'warning' FROM line_pairs
     WHERE len(list_filter({_imbalances('target')}, lambda i: i IS NOT NULL AND NOT coalesce(list_contains({_imbalances('source')}, i), FALSE))) > 0
-  UNION ALL SELECT conv_id, turn, 'punct.spacing', 'info' FROM turns
+  UNION ALL SELECT doc_id, ord, 'punct.spacing', 'info' FROM line_pairs
     WHERE trim(target, ' ') <> '' AND (regexp_matches(target, '{_SP}{{2,}}') OR regexp_matches(target, '{_SP}[,;:]') OR regexp_matches(target, '{_SP}\\.([^.]|$)')))"""
 
 DECISIONS = """decisions AS (
@@ -126,6 +128,13 @@ SELECT doc_id, ord, rank, more FROM ranked WHERE rank <= 50""",
 WHERE term <> '' GROUP BY term""",
     "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS dot FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, vec_id, round(dot, 4) AS dot, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dot DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "term_mismatch": f"""WITH {TURNS}, w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term FROM benchmark),
+terms AS (SELECT term FROM w GROUP BY term HAVING count(*) >= 2),
+t AS (SELECT conv_id, turn, lower(source) AS s, lower(target) AS x FROM turns),
+met AS (SELECT * FROM t, terms WHERE contains(s, term) AND regexp_matches(s, '(^|[^\\p{{L}}\\p{{N}}])' || term || '(s|es)?($|[^\\p{{L}}\\p{{N}}])')),
+k AS (SELECT DISTINCT conv_id, turn, term, CASE WHEN regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}])' || term || 's(s|es)?($|[^\\p{{L}}\\p{{N}}])') THEN 'forbidden'
+  WHEN NOT regexp_matches(x, '(^|[^\\p{{L}}\\p{{N}}])' || term || '(s|es)?($|[^\\p{{L}}\\p{{N}}])') THEN 'missing_preferred' END AS kind FROM met)
+SELECT conv_id, turn, term, kind FROM k WHERE kind IS NOT NULL""",
     "unembedded": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "memory_merge": f"""WITH {VERSIONS}, j AS (
   SELECT coalesce(o.o_orderkey, t.o_orderkey) AS o_orderkey, o.o_orderkey IS NOT NULL AS ho, t.o_orderkey IS NOT NULL AS ht,
@@ -139,12 +148,12 @@ SELECT o_orderkey, CASE WHEN theirs_win THEN trev ELSE orev END + CASE WHEN ho A
 SELECT coalesce(o.o_orderkey, c.o_orderkey) AS o_orderkey, coalesce(c.plain, o.plain) AS plain, greatest(o.quality, c.quality) AS quality, coalesce(c.updated_at, o.updated_at) AS updated_at,
        coalesce(o.rev, 0) + (c.o_orderkey IS NOT NULL)::INT AS rev FROM ours o FULL JOIN c ON o.o_orderkey = c.o_orderkey""",
     "memory_languages": "SELECT lang, count(DISTINCT doc_id) AS units, count(*) AS variants FROM documents GROUP BY lang",
-    "qa_issues": f"WITH {QA} SELECT conv_id, turn, rule, severity FROM issues",
-    "qa_marks": f"""WITH {QA} SELECT conv_id, turn, CASE max(CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS worst, count(*) AS n FROM issues GROUP BY conv_id, turn""",
-    "qa_rule_counts": f"WITH {QA} SELECT rule, count(*) FILTER (conv_id % 2 <> 0) AS open, count(*) FILTER (conv_id % 2 = 0) AS dismissed FROM issues GROUP BY rule",
-    "qa_consistency": f"""WITH {TURNS}, t AS (SELECT conv_id, turn, lower(source) AS source, lower(target) AS target FROM turns)
-SELECT conv_id, turn, 'consistency.target_differs' AS rule FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.source = t.source AND u.target <> t.target)
-UNION ALL SELECT conv_id, turn, 'consistency.source_differs' FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.target = t.target AND u.source <> t.source)""",
+    "qa_issues": f"WITH {QA} SELECT doc_id, ord, rule, severity FROM issues",
+    "qa_marks": f"""WITH {QA} SELECT doc_id, ord, CASE max(CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS worst, count(*) AS n FROM issues GROUP BY doc_id, ord""",
+    "qa_rule_counts": f"WITH {QA} SELECT rule, count(*) FILTER (doc_id % 2 <> 0) AS open, count(*) FILTER (doc_id % 2 = 0) AS dismissed FROM issues GROUP BY rule",
+    "qa_consistency": f"""WITH {LINE_PAIRS}, t AS (SELECT doc_id, ord, lower(source) AS source, lower(target) AS target FROM line_pairs)
+SELECT doc_id, ord, 'consistency.target_differs' AS rule FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.source = t.source AND u.target <> t.target)
+UNION ALL SELECT doc_id, ord, 'consistency.source_differs' FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.target = t.target AND u.source <> t.source)""",
     "preferred_variant": f"""WITH {DECISIONS}, v AS (SELECT DISTINCT term_id, lang, variant_id FROM decisions WHERE (term_id + variant_id) % 4 <> 0),
 d AS (SELECT term_id, lang, variant_id, max((decided_at, id)) AS last FROM decisions WHERE kind = 'choice' GROUP BY 1, 2, 3)
 SELECT term_id, lang, variant_id, last[1] AS decided_at FROM (
@@ -173,8 +182,8 @@ string_agg(tier, ',' ORDER BY list_position({list(T.TIERS)}, tier)) AS tiers FRO
     "currency_totals": """WITH p AS (SELECT CASE WHEN n_regionkey <> 3 THEN 'C' || n_regionkey END AS currency, CASE WHEN l_tax > 0.01 THEN round(l_extendedprice * 100)::BIGINT * 10000 END AS micros, l_returnflag = 'R' AS paid
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
 SELECT currency, count(*) AS n, sum(CASE WHEN paid THEN micros ELSE 0 END)::BIGINT AS paid, sum(micros - CASE WHEN paid THEN micros ELSE 0 END)::BIGINT AS unpaid, sum(micros)::BIGINT AS total, count(*) FILTER (micros IS NULL) AS incomplete FROM p GROUP BY currency""",
-    "vendor_record": """WITH a AS (SELECT l_suppkey AS vendor_id, CASE WHEN l_returnflag = 'R' THEN 'declined' WHEN l_linestatus = 'F' THEN 'delivered' ELSE 'accepted' END AS status, o_orderdate + INTERVAL 30 DAY AS deadline, l_shipdate AS at FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT vendor_id, count(*) AS answered, count(*) FILTER (status <> 'declined') AS accepted, count(*) FILTER (status = 'delivered') AS delivered, count(*) FILTER (status = 'delivered') AS timed, count(*) FILTER (status = 'delivered' AND at <= deadline) AS on_time FROM a GROUP BY vendor_id""",
+    "vendor_record": """WITH a AS (SELECT l_suppkey AS vendor_id, CASE WHEN l_returnflag = 'R' THEN 'declined' WHEN l_linestatus = 'F' THEN 'delivered' ELSE 'accepted' END AS status, o_orderdate + INTERVAL 30 DAY AS deadline, l_shipdate AS given FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT vendor_id, count(*) AS answered, count(*) FILTER (status <> 'declined') AS accepted, count(*) FILTER (status = 'delivered') AS delivered, count(*) FILTER (status = 'delivered') AS timed, count(*) FILTER (status = 'delivered' AND given <= deadline) AS on_time FROM a GROUP BY vendor_id""",
     "eligibility": """SELECT s_suppkey, r_name, array_to_string(list_filter([CASE WHEN s_nationkey % 5 <> r_regionkey THEN 'language_pair' END, CASE WHEN s_suppkey % 3 = 0 THEN 'specialty' END,
 CASE WHEN s_acctbal >= 0 AND s_acctbal < 3000 THEN 'busy' END, CASE WHEN s_acctbal < 0 THEN 'away' END, CASE WHEN s_suppkey % 7 = 0 THEN 'not_in_client_pool' END], lambda x: x IS NOT NULL), ',') AS reasons FROM supplier, region""",
     "status_counts": """SELECT p.o_orderpriority, s.o_orderstatus, count(o.o_orderkey) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) p CROSS JOIN (VALUES ('O'), ('F'), ('P'), ('X')) s(o_orderstatus)
@@ -186,7 +195,7 @@ SELECT source, count(*) FILTER (done) AS confirmed, count(*) AS segments, coales
     "next_open": f"""WITH {LINES} SELECT doc_id, ord, min(CASE WHEN (doc_id + ord) % 3 = 0 THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_open FROM lines""",
     "payment_ledger": "SELECT event_id % 1000 AS assignment_id, arg_max(event_type, event_id) AS kind, max(event_id) AS event_id FROM events GROUP BY 1",
     "membership_union": "SELECT c_nationkey AS tenant, c_name AS member, 'client' AS role FROM customer UNION ALL SELECT s_nationkey, s_name, 'vendor' FROM supplier",
-    "fold_export": f"""WITH {LINES} SELECT doc_id, sha256(string_agg(CASE WHEN ord % 2 = 0 THEN upper(line) ELSE line END, ' ' ORDER BY ord)) AS text_hash, count(*) FILTER (ord % 2 = 0) AS translated, count(*) AS segments FROM lines GROUP BY doc_id""",
+    "fold_export": f"""WITH {LINES} SELECT doc_id, sha256(string_agg(CASE WHEN ord % 2 = 0 THEN '[' || line || ']' ELSE line END, ' ' ORDER BY ord)) AS text_hash, count(*) FILTER (ord % 2 = 0) AS translated, count(*) AS segments FROM lines GROUP BY doc_id""",
     "find_replace": f"""WITH {LINES} SELECT doc_id, ord, len(regexp_extract_all(line, 'the')) AS n, sha256(replace(line, 'the', 'THE')) AS replaced FROM lines WHERE contains(line, 'the')""",
     "grid_filter": f"WITH {LINES} SELECT source, count(*) AS shown FROM lines WHERE contains(lower(line), 'tion') AND length(line) > 40 GROUP BY source",
     "csv_cells": """SELECT doc_id, sha256(CASE WHEN regexp_matches(t, '[",\\r\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END) AS cell
