@@ -67,7 +67,7 @@ def words_distance(a: Column, b: Column, limit: Column | int | None = None) -> C
 
 def score(a: Column, b: Column, a_numerals: Column, b_numerals: Column, least: int) -> Column:
     """0 to 99: the share of words that stay, less 2 for each numeral that differs in place; null below ``least``."""
-    longer = F.greatest(F.size(a), F.size(b))
+    longer = F.nullif(F.greatest(F.size(a), F.size(b)), F.lit(0))
     d = words_distance(a, b)
     base = F.floor(F.lit(100) * (longer - d) / longer)
     n = F.least(F.size(a_numerals), F.size(b_numerals))

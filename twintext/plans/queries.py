@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twintext.functions import text as T
-from twintext.operators import audit, business, glossary, matching, memory, qa, search
+from twintext.operators import audit, business, glossary, matching, memory, qa, search, segmentation
+from twintext.sources import writers
 
 KEY = ["doc_id", "ord"]
 TODAY = "1998-01-01"
@@ -327,6 +328,16 @@ def audit_chain(spark, d):
     return audit.verify_chain(audit.chained(e, "user_id", "event_id"), "user_id", "event_id")
 
 
+def segment_sentences(spark, d):
+    return segmentation.segment_texts(table(spark, d, "documents"))
+
+
+def tmx_export(spark, d):
+    v = line_pairs(spark, d).select((F.col("doc_id") * 100_000 + F.col("ord")).alias("tu_id"), F.array(F.struct(F.lit("en").alias("lang"), F.col("source").alias("plain")), F.struct(F.lit("xx").alias("lang"), F.col("target").alias("plain"))).alias("v"))
+    v = v.select("tu_id", F.col("tu_id").cast("string").alias("uuid"), (F.col("tu_id") % 9 == 0).alias("deleted"), F.inline("v"))
+    return writers.tmx_units(v).select("tu_id", F.sha2("value", 256).alias("unit"))
+
+
 def pair_choices(spark, d):
     langs = table(spark, d, "documents").select("lang").distinct()
     return langs.select(F.col("lang").alias("src")).join(F.broadcast(langs.select(F.col("lang").alias("tgt"))), F.col("src") != F.col("tgt"))
@@ -337,7 +348,7 @@ _ALL = (
     concordance, term_document_frequency, vector_topk, unembedded, memory_merge, write_back_upsert, memory_languages, qa_issues, qa_inverted, qa_numbers, qa_marks, qa_consistency,
     qa_rule_counts, qa_tags, term_candidates, term_mismatch, preferred_variant, exception_proposals, flag_terms, changed_words, client_rates, order_estimate, deadline_agenda, notices_due,
     tier_payable, currency_totals, vendor_record, eligibility, status_counts, illegal_transitions, progress, next_open, payment_ledger, membership_union, fold_export, find_replace,
-    grid_filter, csv_cells, audit_chain, pair_choices,
+    grid_filter, csv_cells, audit_chain, segment_sentences, tmx_export, pair_choices,
 )
 
 

@@ -101,6 +101,11 @@ DECISIONS = """decisions AS (
          CASE event_type WHEN 'error' THEN 'deprecation' WHEN 'click' THEN 'segment_exception' ELSE 'choice' END AS kind,
          strftime(ts, '%Y-%m-%d %H:%M:%S') AS decided_at, user_id AS segment FROM events)"""
 
+
+def _xml(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+
+
 _TIER = "CASE WHEN p = 0 THEN 'exact' WHEN p <= 2 THEN 'fuzzy_95_99' WHEN p <= 4 THEN 'fuzzy_85_94' WHEN p <= 6 THEN 'fuzzy_75_84' ELSE 'no_match' END"
 
 SQL = {
@@ -200,6 +205,9 @@ SELECT source, count(*) FILTER (done) AS confirmed, count(*) AS segments, coales
     "grid_filter": f"WITH {LINES} SELECT source, count(*) AS shown FROM lines WHERE contains(lower(line), 'tion') AND length(line) > 40 GROUP BY source",
     "csv_cells": """SELECT doc_id, sha256(CASE WHEN regexp_matches(t, '[",\\r\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END) AS cell
 FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS t FROM documents)""",
+    "tmx_export": f"""WITH {LINE_PAIRS}, v AS (SELECT doc_id * 100000 + ord AS tu_id, source, target FROM line_pairs)
+SELECT tu_id, sha256('<tu tuid="' || tu_id || '"><tuv xml:lang="en"><seg>' || {_xml('source')} || '</seg></tuv><tuv xml:lang="xx"><seg>' || {_xml('target')} || '</seg></tuv></tu>') AS unit
+FROM v WHERE tu_id % 9 <> 0""",
     "pair_choices": "SELECT a.lang AS src, b.lang AS tgt FROM (SELECT DISTINCT lang FROM documents) a, (SELECT DISTINCT lang FROM documents) b WHERE a.lang <> b.lang",
 }
 
