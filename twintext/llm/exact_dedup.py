@@ -152,5 +152,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = exact_dedup(docs, id_col, text_col, keep).where("not kept")
     gone = materialise(found.select(F.col(id_col).alias("__gone"), F.unhex("text_sha256").alias("__sha")).distinct(), "lsm-gone")
     few = gone.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    same = F.col(id_col).eqNullSafe(F.col("__gone")) & (F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)) == F.col("__sha"))
+    same = docs[id_col].eqNullSafe(gone["__gone"]) & (F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)) == gone["__sha"])
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
