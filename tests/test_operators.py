@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from twintext.operators import audit, business, glossary, matching, memory, qa
+from twintext.operators import audit, business, glossary, matching, memory, qa, views
 from twintext.operators.segmentation import rules_for, segment_texts, sentences
 
 
@@ -104,3 +104,9 @@ def test_segment_texts(spark):
     docs = spark.createDataFrame([(1, "A b. C d.\nE", "en"), (2, None, "en"), (3, "x. Y", "zh")], "doc_id long, text string, lang string")
     assert [tuple(r) for r in segment_texts(docs).orderBy("doc_id", "ord").collect()] == [(1, 0, "A b."), (1, 1, "C d."), (1, 2, "E"), (3, 0, "x. Y")]
 
+
+
+def test_remapped_tags(spark):
+    slot = "array<struct<slot:string,id:int>>"
+    rows = spark.createDataFrame([(1, [("open:b", 4), ("open:b", 9), ("ph:x", 2)], [("open:b", 1), ("ph:x", 2), ("open:b", 3)]), (2, [("open:b", 4)], [("open:i", 1)])], f"k long, s {slot}, t {slot}")
+    assert [r[0] for r in rows.orderBy("k").select(views.remapped(F.col("s"), F.col("t"))).collect()] == [[4, 2, 9], None]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twintext.functions import text as T
-from twintext.operators import audit, business, glossary, matching, memory, qa, search, segmentation
+from twintext.operators import audit, business, glossary, matching, memory, qa, search, segmentation, views
 from twintext.sources import writers
 
 KEY = ["doc_id", "ord"]
@@ -328,6 +328,40 @@ def audit_chain(spark, d):
     return audit.verify_chain(audit.chained(e, "user_id", "event_id"), "user_id", "event_id")
 
 
+def panel_counts(spark, d):
+    return views.panel_counts(qa_issues(spark, d), severities=("warning",), rules=("punct.brackets", "punct.terminal"))
+
+
+def tier_forecast(spark, d):
+    l = table(spark, d, "lineitem").select("l_suppkey", _tier_of(F.round(F.col("l_discount") * 100)).alias("tier"), F.col("l_quantity").cast("long").alias("words"))  # noqa: E741
+    card = spark.createDataFrame([(t, m, "EUR") for t, m in RATES], "tier string, micros long, currency string")
+    return views.tier_forecast(l, card, "l_suppkey")
+
+
+def draft_selection(spark, d):
+    out = views.draft_selection(statused(hashed_lines(spark, d)), memory_of(spark, d), KEY)
+    return out.select(*KEY, F.sha2("plain", 256).alias("plain"), F.sha2("context", 256).alias("context"))
+
+
+def source_preview(spark, d):
+    return views.source_preview(lines(spark, d).select("doc_id", "ord", F.sha2("line", 256).alias("line")), "doc_id", "ord", "line")
+
+
+def quote_lines(spark, d):
+    orders = order_estimate(spark, d).groupBy("order_id").agg((F.sum("price") + F.when(F.col("order_id") % 3 == 0, 1.0).otherwise(0.001)).alias("price"))
+    return views.quote_lines(order_estimate(spark, d), orders)
+
+
+def term_entries(spark, d):
+    x = _decisions(spark, d)
+    variants = x.select("term_id", "lang", "variant_id").distinct().withColumn("forbidden", (F.col("term_id") + F.col("variant_id")) % 4 == 0)
+    return views.term_entries(variants, glossary.preferred_variant(variants, x))
+
+
+def stale_scan(spark, d):
+    return views.stale_uses(term_mismatch(spark, d))
+
+
 def segment_sentences(spark, d):
     return segmentation.segment_texts(table(spark, d, "documents"))
 
@@ -348,7 +382,7 @@ _ALL = (
     concordance, term_document_frequency, vector_topk, unembedded, memory_merge, write_back_upsert, memory_languages, qa_issues, qa_inverted, qa_numbers, qa_marks, qa_consistency,
     qa_rule_counts, qa_tags, term_candidates, term_mismatch, preferred_variant, exception_proposals, flag_terms, changed_words, client_rates, order_estimate, deadline_agenda, notices_due,
     tier_payable, currency_totals, vendor_record, eligibility, status_counts, illegal_transitions, progress, next_open, payment_ledger, membership_union, fold_export, find_replace,
-    grid_filter, csv_cells, audit_chain, segment_sentences, tmx_export, pair_choices,
+    grid_filter, csv_cells, audit_chain, panel_counts, tier_forecast, draft_selection, source_preview, quote_lines, term_entries, stale_scan, segment_sentences, tmx_export, pair_choices,
 )
 
 

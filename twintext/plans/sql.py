@@ -211,6 +211,24 @@ FROM v WHERE tu_id % 9 <> 0""",
     "pair_choices": "SELECT a.lang AS src, b.lang AS tgt FROM (SELECT DISTINCT lang FROM documents) a, (SELECT DISTINCT lang FROM documents) b WHERE a.lang <> b.lang",
 }
 
+_PREFERRED, _MISMATCH, _ESTIMATE = SQL["preferred_variant"], SQL["term_mismatch"], SQL["order_estimate"]
+SQL |= {
+    "panel_counts": f"""WITH {QA} SELECT 'severity' AS facet, severity AS value, count(*) AS n FROM issues WHERE rule IN ('punct.brackets', 'punct.terminal') GROUP BY 1, 2
+UNION ALL SELECT 'rule', rule, count(*) FROM issues WHERE severity = 'warning' GROUP BY 1, 2""",
+    "tier_forecast": f"""WITH l AS (SELECT l_suppkey, {_TIER} AS tier, l_quantity::BIGINT AS words FROM (SELECT *, round(l_discount * 100) AS p FROM lineitem)),
+rates(tier, micros) AS (VALUES {', '.join(str(r) for r in RATES)})
+SELECT l_suppkey, sum(words * micros)::BIGINT AS micros_due, CASE WHEN count(micros) > 0 THEN 'EUR' END AS currency, coalesce(sum(words) FILTER (micros IS NULL), 0)::BIGINT AS unpriced_words FROM l LEFT JOIN rates USING (tier) GROUP BY 1""",
+    "draft_selection": f"""WITH {HASHED}, {MEMORY}, c AS (SELECT *, concat_ws(chr(10), lag(plain) OVER w, lead(plain) OVER w) AS context FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+r AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id, ord) AS r FROM c WHERE doc_id % 3 <> 0 AND hash NOT IN (SELECT hash FROM memory))
+SELECT doc_id, ord, sha256(plain) AS plain, sha256(context) AS context FROM r WHERE r = 1""",
+    "source_preview": f"""WITH {LINES} SELECT doc_id, segments, place, text FROM (SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS segments, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS place, sha256(line) AS text FROM lines) WHERE place <= 3""",
+    "quote_lines": f"WITH e AS ({_ESTIMATE}) SELECT * FROM e WHERE order_id % 3 <> 0",
+    "term_entries": f"""WITH {DECISIONS}, v AS (SELECT DISTINCT term_id, lang, variant_id, (term_id + variant_id) % 4 = 0 AS forbidden FROM decisions), p AS (SELECT * FROM ({_PREFERRED}))
+SELECT v.term_id, v.lang, max(p.variant_id) AS preferred, coalesce(string_agg(v.variant_id, ',' ORDER BY v.variant_id) FILTER (NOT forbidden AND v.variant_id <> p.variant_id), '') AS alternatives,
+       coalesce(string_agg(v.variant_id, ',' ORDER BY v.variant_id) FILTER (forbidden), '') AS forbidden FROM v LEFT JOIN p ON p.term_id = v.term_id AND p.lang = v.lang GROUP BY 1, 2""",
+    "stale_scan": f"""WITH f AS ({_MISMATCH}), n AS (SELECT count(*) AS total FROM f) SELECT conv_id, turn, term, kind, total, total > 500 AS truncated FROM (SELECT * FROM f ORDER BY conv_id, turn, term LIMIT 500), n""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
