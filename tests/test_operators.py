@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from twintext.operators import audit, business, glossary, matching, memory, qa, views
+from twintext.operators import audit, business, glossary, matching, memory, qa, search, views
 from twintext.operators.segmentation import rules_for, segment_texts, sentences
 
 
@@ -110,3 +110,9 @@ def test_remapped_tags(spark):
     slot = "array<struct<slot:string,id:int>>"
     rows = spark.createDataFrame([(1, [("open:b", 4), ("open:b", 9), ("ph:x", 2)], [("open:b", 1), ("ph:x", 2), ("open:b", 3)]), (2, [("open:b", 4)], [("open:i", 1)])], f"k long, s {slot}, t {slot}")
     assert [r[0] for r in rows.orderBy("k").select(views.remapped(F.col("s"), F.col("t"))).collect()] == [[4, 2, 9], None]
+
+
+def test_highlights(spark):
+    rows = spark.createDataFrame([(1, "Éa b! ea  B, eab ea-b"), (2, None), (3, "none")], "k long, x string").orderBy("k")
+    got = [r[0] for r in rows.select(search.highlight_ranges(F.col("x"), "ea b")).collect()]
+    assert [[tuple(y) for y in x] for x in got] == [[(0, 4), (6, 11), (17, 21)], [], []]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twintext.functions import text as T
@@ -26,9 +30,29 @@ def concordance(rows: DataFrame, phrase: str, key: list[str], text_col: str = "l
     return ranked.withColumn("more", F.max("rank").over(Window.partitionBy()) > limit).where(F.col("rank") <= limit)
 
 
-def highlight_starts(text, phrase: str):
-    """Code-point places (from 1) at which the phrase starts in the folded text."""
-    return F.transform(F.split(T.fold(text), F.lit(phrase.lower())), lambda p: F.length(p))
+def ranges_in(text: str, phrase: str) -> list[tuple[int, int]]:
+    """Code-point ranges (end exclusive) of the phrase's whole-word occurrences, none overlapping."""
+    plain = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.category(c).startswith("M")).lower()
+    # Combining marks belong to the word before them.
+    spans = [(m.start(), m.end(), plain(m[0])) for m in re.finditer(r"(?:[^\W_]|[\u0300-\u036f])+", text)]
+    wanted, out, i = [plain(w) for w in phrase.split()], [], 0
+    while wanted and i + len(wanted) <= len(spans):
+        if [w for *_, w in spans[i : i + len(wanted)]] == wanted:
+            out.append((spans[i][0], spans[i + len(wanted) - 1][1]))
+            i += len(wanted)
+        else:
+            i += 1
+    return out
+
+
+def highlight_ranges(text: Column, phrase: str) -> Column:
+    """``ranges_in`` as a column of (start, end); only texts that hold the phrase go to Python."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def ranges(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [] if t is None else [{"start": a, "end": b} for a, b in ranges_in(t, phrase)])
+
+    return ranges(F.when(F.contains(T.concordance_text(text), T.concordance_text(F.lit(phrase))), text))
 
 
 def document_frequency(rows: DataFrame, text_col: str = "text") -> DataFrame:
