@@ -1,5 +1,6 @@
 """Readers, writers and streams on files of their own."""
 
+import sqlite3
 import zipfile
 
 from pyspark.sql import functions as F
@@ -37,6 +38,31 @@ def test_xliff(spark, tmp_path):
     assert rows[3].error
 
 
+def test_xliff_export(spark, tmp_path):
+    (tmp_path / "a.xlf").write_text(XLIFF)
+    (tmp_path / "b.xlf").write_text(XLIFF)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.xlf"))
+    targets = files.where("path like '%a.xlf'").select("path", F.posexplode(F.array(F.lit(None).cast("string"), F.lit("Neu"), F.lit("X"))).alias("ord", "target")).where("target is not null")
+    out = {r.path[-5:]: bytes(r.content) for r in writers.export_xliff(files, targets).collect()}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/a.xlf").write_bytes(out["a.xlf"])
+    rows = readers.read_xliff(spark, str(tmp_path / "c/a.xlf")).orderBy("ord").collect()
+    assert [(r.source, r.target, r.status) for r in rows] == [("A b", "C", "translated"), ("D", "Neu", "translated"), ("E", "E", "locked")] and out["b.xlf"] == XLIFF.encode()
+
+
+def test_native_memory(spark, tmp_path):
+    db = sqlite3.connect(tmp_path / "m.sdltm")
+    db.execute("CREATE TABLE translation_memories (id INTEGER, source_language TEXT, target_language TEXT)")
+    db.execute("CREATE TABLE translation_units (id INTEGER, guid TEXT, source_segment TEXT, target_segment TEXT)")
+    db.execute("INSERT INTO translation_memories VALUES (1, 'en-US', 'de-DE')")
+    db.execute("INSERT INTO translation_units VALUES (1, 'g', '<Segment><Elements><Tag><Type>Start</Type></Tag><Text><Value>Page </Value></Text><Text><Value>1</Value></Text></Elements></Segment>', '<broken')")
+    db.commit()
+    db.close()
+    (tmp_path / "n.sdltm").write_bytes(b"no database")
+    rows = readers.read_native_memory(spark, str(tmp_path / "*.sdltm")).orderBy("path").collect()
+    assert (rows[0].uuid, rows[0].src_lang, rows[0].source, rows[0].target) == ("g", "en-US", "Page 1", "") and rows[1].error
+
+
 def test_ooxml(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:

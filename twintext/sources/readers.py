@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import sqlite3
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -101,6 +102,34 @@ def read_ooxml(spark: SparkSession, path: str) -> DataFrame:
     return _per_file(spark, path, "part string, ord int, text string", _docx_rows)
 
 
+def _native_rows(content: bytes) -> Iterator[tuple]:
+    """Units of a desktop memory: a SQLite file with translation_memories and translation_units."""
+    db = sqlite3.connect(":memory:")
+    try:
+        db.deserialize(content)
+        memory = db.execute("SELECT id, source_language, target_language FROM translation_memories ORDER BY id").fetchone()
+        if not memory or not all(memory[1:]):
+            raise ValueError("no memory with a language pair")
+
+        def plain(xml: str | None) -> str:
+            try:
+                return "".join(t.text or "" for e in ET.fromstring(xml or "") if e.tag == "Elements" for x in e if x.tag == "Text" for t in x if t.tag == "Value")
+            except ET.ParseError:
+                return ""
+
+        for guid, source, target in db.execute("SELECT guid, source_segment, target_segment FROM translation_units ORDER BY id"):
+            yield str(guid), memory[1], memory[2], plain(source), plain(target)
+    except sqlite3.Error as x:
+        raise ValueError(str(x)) from x
+    finally:
+        db.close()
+
+
+def read_native_memory(spark: SparkSession, path: str) -> DataFrame:
+    """Units of native desktop memories; a unit whose segment can't be parsed has an empty text."""
+    return _per_file(spark, path, "uuid string, src_lang string, tgt_lang string, source string, target string", _native_rows)
+
+
 def read_tbx(spark: SparkSession, path: str, src_lang: str) -> DataFrame:
     """Terms of a TBX glossary with their renderings: concept, lang, term, status."""
 
