@@ -116,3 +116,14 @@ def test_highlights(spark):
     rows = spark.createDataFrame([(1, "Éa b! ea  B, eab ea-b"), (2, None), (3, "none")], "k long, x string").orderBy("k")
     got = [r[0] for r in rows.select(search.highlight_ranges(F.col("x"), "ea b")).collect()]
     assert [[tuple(y) for y in x] for x in got] == [[(0, 4), (6, 11), (17, 21)], [], []]
+
+
+def test_forbidden_rendering_inside_an_accepted_one(spark):
+    terms = spark.createDataFrame([("file", "file", "files", None), ("disk", "drive", "hard", ["hard disk"])], "term string, preferred string, forbidden string, alternatives array<string>")
+    targets = {1: "Two files.", 2: "Two fileses.", 3: "The files, fileses", 4: "A file", 5: "profiles", 6: "a hard disk drive", 7: "a hard drive", 8: "hard disks, so hard"}
+    rows = [(k, "the disk" if k > 5 else "the file", t) for k, t in targets.items()]
+    got = glossary.term_mismatch(spark.createDataFrame(rows, "k int, source string, target string"), terms, ["k"], "en", "en")
+    found = {1: None, 2: "forbidden", 3: "forbidden", 4: None, 5: "missing_preferred", 6: None, 7: "forbidden", 8: "forbidden"}
+    assert {r["k"]: r["kind"] for r in got.collect()} == {k: v for k, v in found.items() if v}
+    plain = glossary.term_mismatch(spark.createDataFrame(rows[:5], "k int, source string, target string"), terms.drop("alternatives"), ["k"], "en", "en")
+    assert {r["k"]: r["kind"] for r in plain.collect()} == {k: v for k, v in found.items() if v and k < 6}

@@ -108,6 +108,19 @@ def whole_word(text: Column, needle: Column, lang: str | None = None) -> Column:
     return F.regexp_like(F.lower(text), pattern)
 
 
+def whole_word_spans(text: Column, needle: Column, lang: str | None = None) -> Column:
+    """Spans (start, end) of the places that ``whole_word`` finds, endings included; empty for a null needle."""
+    endings = "|".join(ENDINGS.get(lang or "", ()))
+    suffix = f"(?:{endings})?" if endings else ""
+    pattern = F.concat(F.lit("^"), escape_regex(needle), F.lit(suffix + r"(?![\p{L}\p{N}])"))
+    low, size = F.lower(text), F.length(needle)
+    starts = F.when(F.length(low) >= size, F.sequence(F.lit(1), F.length(low) - size + 1)).otherwise(F.array().cast("array<int>"))
+    before = lambda i: (i > 1) & F.regexp_like(F.substr(low, i - 1, F.lit(1)), F.lit(r"[\p{L}\p{N}]"))
+    starts = F.filter(starts, lambda i: (F.substr(low, i, size) == needle) & ~before(i))
+    spans = F.transform(starts, lambda i: F.struct(i.alias("start"), (i + F.length(F.regexp_substr(F.substr(low, i), pattern))).alias("end")))
+    return F.coalesce(F.filter(spans, lambda x: x["end"] > x["start"]), F.array().cast("array<struct<start:int,end:int>>"))
+
+
 def csv_cell(text: Column) -> Column:
     """A cell that no spreadsheet reads as a formula, quoted where needed."""
     safe = F.when(text.rlike("^[=+\\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
