@@ -127,3 +127,9 @@ def test_forbidden_rendering_inside_an_accepted_one(spark):
     assert {r["k"]: r["kind"] for r in got.collect()} == {k: v for k, v in found.items() if v}
     plain = glossary.term_mismatch(spark.createDataFrame(rows[:5], "k int, source string, target string"), terms.drop("alternatives"), ["k"], "en", "en")
     assert {r["k"]: r["kind"] for r in plain.collect()} == {k: v for k, v in found.items() if v and k < 6}
+
+
+def test_earlier_memory_wins_ties_of_fuzzy_scores(spark):
+    rows = spark.createDataFrame([(1, "one two three four five")], "k int, plain string")
+    memory = spark.createDataFrame([(1, "one two three four six", 2, 5, "2024-02-01"), (2, "one two three four ten", 1, 0, "2024-01-01")], "tu_id long, plain string, priority int, quality int, updated_at string")
+    assert [(r["tu_id"], r["rank"]) for r in matching.fuzzy_match(rows, memory, ["k"]).orderBy("rank").collect()] == [(2, 1), (1, 2)]

@@ -109,12 +109,14 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: int = 75) -> DataFrame
 def fuzzy_match(rows: DataFrame, memory: DataFrame, key: list[str], least: int = 75, limit: int = 3) -> DataFrame:
     """The ``limit`` best units (tu_id, plain, quality, updated_at) for each segment (key, plain).
 
-    Equal texts are scored once. Order: score, quality, latest change, tu_id.
+    Equal texts are scored once. Order: score, priority of the memory (if it
+    has that column; the least wins), quality, latest change, tu_id.
     """
     texts = rows.select("plain").distinct().withColumn("a", F.sha2("plain", 256))
     pairs = fuzzy_pairs(texts, memory.select(F.col("tu_id").alias("b"), "plain"), least)
-    hits = pairs.join(memory.select(F.col("tu_id").alias("b"), "quality", "updated_at"), "b")
-    order = [F.col("score").desc(), F.col("quality").desc_nulls_last(), F.col("updated_at").desc_nulls_last(), F.col("b")]
+    priority = F.col("priority") if "priority" in memory.columns else F.lit(None).cast("int")
+    hits = pairs.join(memory.select(F.col("tu_id").alias("b"), priority.alias("priority"), "quality", "updated_at"), "b")
+    order = [F.col("score").desc(), F.col("priority").asc_nulls_last(), F.col("quality").desc_nulls_last(), F.col("updated_at").desc_nulls_last(), F.col("b")]
     top = hits.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("rank") <= limit)
     return rows.select(*key, F.sha2("plain", 256).alias("a")).join(top, "a").select(*key, F.col("b").alias("tu_id"), "score", "rank")
 
