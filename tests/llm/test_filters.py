@@ -6,7 +6,7 @@ import pytest
 
 from twintext.llm.mixing import cyclic_weights, mix
 from twintext.llm.queries import URL_RULES
-from twintext.llm.secrets import KINDS, secret_spans
+from twintext.llm.secrets import EXAMPLE_OWNERS, EXAMPLE_REPOS, KINDS, OPAQUE, secret_spans
 from twintext.llm.url_filter import url_filter
 
 TEXTS = [
@@ -36,6 +36,40 @@ def test_base_spans(spark):
     assert [r.n_owned for r in alone] == [1, 1]
 
 
+def judged(rows):
+    """(base and owned spans, examples, live) of each row (id, text, source), by dictionaries."""
+    found, owners, repos = [], {}, {}
+    for i, t, source in rows:
+        t = t or ""
+        base = [(m.start(), rank, kind, m.end(), m[group]) for rank, (kind, p, group, least) in enumerate(KINDS) for m in re.finditer(p, t, re.ASCII) if len(m[group]) >= least]
+        opaque = [(m.start(), 3, "owned", m.end(), m[0]) for m in re.finditer(OPAQUE[1], t) if all(re.search(c, m[0]) for c in ("[A-Z]", "[a-z]", "[0-9]"))]
+        base += [x for x in opaque if not any(x[0] < y[3] and y[0] < x[3] for y in base)]
+        found.append(base)
+        for x in base:
+            owners.setdefault(x[4], set()).add(source)
+            repos.setdefault(x[4], set()).add(i)
+    example = {v for v in owners if len(owners[v]) >= EXAMPLE_OWNERS or len(repos[v]) >= EXAMPLE_REPOS}
+    live = {v for v in owners if len(owners[v]) == 1} - example
+    out = []
+    for spans in found:
+        kept = sorted(x for x in spans if x[2] != "owned" or x[4] in live)
+        values = {x[4] for x in spans}
+        out.append((",".join(f"{k}:{s}:{e}" for s, _, k, e, _ in kept), len(values & example), len(values & live)))
+    return out
+
+
+def test_ownership(spark):
+    """Rows that repeat an id or have none keep their own spans; wide copies are examples, even of one owner."""
+    token = lambda k: f"aB{k:03d}" + "xY7" * 6
+    rows = [(1, f"{token(1)} x", "a"), (1, f"see {token(2)}", "a"), (None, token(3), "a"), (None, f"- {token(4)}", None), (None, None, "a"), (2, "", "b"), (2, token(1), "a"), (2, token(1), "a")]
+    rows += [(100 + k, f"key {token(5)} {token(100 + k)}", "hot") for k in range(EXAMPLE_REPOS)] + [(200 + k, token(6), f"o{k}") for k in range(EXAMPLE_OWNERS)] + [(300, token(7), "a"), (301, token(7), "b")]
+    rows.append((400, "w " * 200_000 + token(8), "a"))
+    got = secret_spans(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted([(r.doc_id, r.spans, r.n_example, r.n_live) for r in got], key=key) == sorted([(i, *x) for (i, _, _), x in zip(rows, judged(rows), strict=True)], key=key)
+    assert secret_spans(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
 def judge(url):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = ("".join(c.lower() if c.isascii() else c for c in m[1]), m[2]) if m else ("", "")

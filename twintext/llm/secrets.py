@@ -2,8 +2,8 @@
 
 Patterns find candidates in each text. The hash of every candidate's value is
 then counted over the whole corpus by distinct repositories and owners: a
-value that several owners carry is an example, one that a single owner carries
-is taken for a live credential.
+value that several owners or many repositories carry is an example, one that a
+single owner carries in few repositories is taken for a live credential.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twintext.llm.storage import materialise
+
 #: Fixed patterns: kind, pattern, group that holds the value, least length of that group.
 KINDS = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -23,6 +25,8 @@ SCAN = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 OPAQUE = ("owned", r"[A-Za-z0-9+/_=-]{20,}")
 #: A value that at least so many owners carry is a widely copied example.
 EXAMPLE_OWNERS = 3
+#: So is one in so many repositories, even of a single owner.
+EXAMPLE_REPOS = 20
 SHARDS = 256
 
 
@@ -69,13 +73,16 @@ def secret_spans(
     Returns one row per document: the id, ``n_assign``, ``n_access``, ``n_hex``
     (spans of the base patterns), ``base_spans``, ``spans`` (these and the
     ``owned`` ones, as ``kind:start:end`` by start and kind, comma-joined, end
-    exclusive), ``n_owned``, ``n_example`` and ``n_live`` (candidate values of
-    the document that many owners, or one owner, carry).
-
-    ``owned`` spans are tokens outside the base spans with upper case, lower
-    case and digits, whose value one owner carries in the whole corpus. A
-    null text counts as empty. A null repository or owner counts as one of its
-    own. Repeated rows each give a row. Other columns are ignored.
+    exclusive), ``n_owned``, ``n_example`` and ``n_live`` (different values of
+    the document that are examples, or live).
+
+    A value of one owner in fewer than ``EXAMPLE_REPOS`` repositories is live;
+    one of ``EXAMPLE_OWNERS`` owners or ``EXAMPLE_REPOS`` repositories is an
+    example; others are neither. ``owned`` spans are live tokens outside the
+    base spans with upper case, lower case and digits. A null text counts as
+    empty. Null repositories, like null owners, count as one. Each row has its
+    own result, rows that repeat an id or have none included. Other columns
+    are ignored. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(repo_col or id_col).cast("string").alias("__repo"), F.col(owner_col).cast("string").alias("__owner"), text.alias("__text"))
@@ -86,31 +93,31 @@ def secret_spans(
         lambda x: x["value"].rlike("[A-Z]") & x["value"].rlike("[a-z]") & x["value"].rlike("[0-9]"),
     )
     rows = rows.select("__id", "__repo", "__owner", base.alias("__base"), opaque.alias("__opaque"))
+    # Written once: the patterns are the work, and the row number holds from here on.
+    rows = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "secret-candidates")
     # A document's base spans are few, so the loop over them is short.
     alone = F.filter("__opaque", lambda x: ~F.exists("__base", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    rows = rows.withColumn("__cand", F.concat("__base", alone)).drop("__opaque")
-    with_candidates = rows.where(F.size("__cand") > 0)
-
-    shard = F.pmod(F.xxhash64("__id"), F.lit(SHARDS)).cast("int")
-    each = with_candidates.select("__id", "__repo", "__owner", shard.alias("__shard"), F.explode("__cand").alias("__span")).withColumn("__hash", F.unhex(F.sha2("__span.value", 256)))
-    owners = each.groupBy("__hash", "__owner").agg(F.count(F.lit(1)).alias("n")).groupBy("__hash").agg(F.count(F.lit(1)).alias("owners"))
+    shard = F.pmod(F.xxhash64("__row"), F.lit(SHARDS)).cast("int")
+    each = rows.select("__row", "__repo", "__owner", shard.alias("__shard"), F.explode(F.concat("__base", alone)).alias("__span")).withColumn("__hash", F.unhex(F.sha2("__span.value", 256)))
+    owners = each.select("__hash", "__owner").distinct().groupBy("__hash").agg(F.count(F.lit(1)).alias("owners"))
     repos = each.select("__hash", "__repo").distinct().groupBy("__hash").agg(F.count(F.lit(1)).alias("repos"))
     owned = owners.join(repos, "__hash")
-    dealt = each.select("__hash", "__shard").distinct().join(owned, "__hash")
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)
+    verdict = F.when(example, "example").when(F.col("owners") == 1, "live").alias("verdict")
+    dealt = each.select("__hash", "__shard").distinct().join(owned, "__hash").select("__hash", "__shard", verdict).where("verdict is not null")
     judged = each.join(dealt, ["__hash", "__shard"])
-    added = F.when((F.col("__span.kind") == kind) & (F.col("owners") == 1), F.col("__span"))
-    per_doc = judged.groupBy(F.col("__id").alias("__of")).agg(
-        F.collect_set(added).alias("__added"),
-        F.count_distinct(F.when(F.col("owners") >= EXAMPLE_OWNERS, F.col("__hash"))).alias("n_example"),
-        F.count_distinct(F.when(F.col("owners") == 1, F.col("__hash"))).alias("n_live"),
-        F.max("repos").alias("most_repos"),
+    live = F.col("verdict") == "live"
+    per_row = judged.groupBy("__row").agg(
+        F.collect_list(F.when((F.col("__span.kind") == kind) & live, F.col("__span"))).alias("__added"),
+        F.count_distinct(F.when(~live, F.col("__hash"))).alias("n_example"),
+        F.count_distinct(F.when(live, F.col("__hash"))).alias("n_live"),
     )
-    out = rows.drop("__cand").join(per_doc, F.col("__id").eqNullSafe(F.col("__of")), "left")
+    out = rows.join(per_row, "__row", "left")
     none = F.array().cast("array<struct<s:int,r:int,kind:string,e:int,value:string>>")
     every = F.array_sort(F.concat("__base", F.coalesce("__added", none)))
     return out.select(
         F.col("__id").alias(id_col), *[_count(F.col("__base"), k[0]).alias(f"n_{k[0]}") for k in KINDS],
         _joined(F.col("__base")).alias("base_spans"), _joined(every).alias("spans"),
         F.size(F.coalesce("__added", none)).cast("long").alias("n_owned"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_example", "n_live", "most_repos")],
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_example", "n_live")],
     )
