@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -17,6 +18,7 @@ SEVERITY = {
     "consistency.target_differs": "warning", "consistency.source_differs": "info", "num.missing": "error", "num.altered": "warning",
     "punct.terminal": "info", "punct.brackets": "warning", "punct.inverted": "warning", "punct.spacing": "info", "term.glossary_mismatch": "warning",
 }
+# Brackets and quotes that balance, what may close a sentence, and list marks.
 PAIRS = (("(", ")"), ("[", "]"), ("{", "}"), ("«", "»"))
 PARITY = ('"', "“”„")
 CLOSERS = r"[\s\"'“”‘’«»‹›)\]}]+$"
@@ -24,11 +26,21 @@ TERMINAL = ".!?…"
 ENUMERATOR = r"^\s*[0-9A-Za-z]{1,2}\)"
 SPACES = "[    ]"
 FOLLOWER = r"(?=$|[\s\"'”’»)\]}.,;:!?…])"
-#: Marks by language: no space before; a no-break space before; one after.
+# Marks by language: no space before; a no-break space before; one after.
 SPACING = {"fr": (",.", ";:!?»", "«"), "fr-ca": (",.;", ":»", "«"), "fr-ch": (",.;", "", ""), "": (",.;:", "", "")}
-#: Number marks by language: thousands, decimal.
-NUMBERS = {"en": (",", "."), "de": (".", ","), "es": (".", ","), "it": (".", ","), "pt": (".", ","), "nl": (".", ","), "fr": ("   ", ",")}
-NUMBER_TAGS = {"es-mx": (",", "."), "es-us": (",", "."), "de-ch": ("'’", "."), "fr-ch": ("'’", "."), "it-ch": ("'’", ".")}
+# Number marks by language: thousands, decimal. An unknown language has no decimal mark.
+GROUP_SPACES = " \u00a0\u202f\u2009"
+NUMBERS = {"en": (",", "."), "de": ("." + GROUP_SPACES, ","), "es": ("." + GROUP_SPACES, ","), "it": ("." + GROUP_SPACES, ","), "pt": ("." + GROUP_SPACES, ","), "nl": ("." + GROUP_SPACES, ","), "fr": (GROUP_SPACES, ",")}
+NUMBER_TAGS = {"es-mx": (",", "."), "es-us": (",", "."), "de-ch": ("'’" + GROUP_SPACES, "."), "fr-ch": ("'’" + GROUP_SPACES, "."), "it-ch": ("'’" + GROUP_SPACES, ".")}
+UNKNOWN_NUMBERS = (GROUP_SPACES, "")
+
+
+def _by_tag(lang: str, tags: dict, primaries: dict, otherwise):
+    """A table's entry for the whole tag, else for its primary subtag, else the general one."""
+    tag = lang.lower().replace("_", "-")
+    return tags.get(tag, primaries.get(tag.split("-")[0], otherwise))
+
+
 NUMERAL = re.compile(r"[0-9]{1,3}(?:[   ][0-9]{3}(?![0-9]))+(?:[.,][0-9]+)?|[0-9]+(?:[.,'’][0-9]+)*")
 
 
@@ -68,7 +80,7 @@ def punct_inverted(target: Column) -> Column:
 
 def punct_spacing(target: Column, lang: str) -> Column:
     """Double spaces, a space before a mark that takes none, a missing or plain no-break space."""
-    before, hard, after = SPACING.get(lang.lower(), SPACING.get(lang.split("-")[0].lower(), SPACING[""]))
+    before, hard, after = _by_tag(lang, SPACING, SPACING, SPACING[""])
     others = "".join(m for m in before if m != ".")
     found = target.rlike(SPACES + "{2,}") | target.rlike(f"{SPACES}[{others}]") | target.rlike(rf"{SPACES}\.(?!\.)")
     if hard:
@@ -82,32 +94,42 @@ def untranslated(source: Column, target: Column) -> Column:
     return (source == target) & source.rlike(r"\p{L}")
 
 
-def _value(surface: str, marks: tuple[str, str]) -> str | None:
-    """A numeral under a language's marks; None if the language wouldn't write it as one number."""
-    thousands, decimal = marks
-    whole, _, rest = surface.partition(decimal)
-    groups = re.split(f"[{re.escape(thousands)}]", whole)
-    if not all(g.isdigit() for g in groups) or (rest and not rest.isdigit()):
-        return None
-    if len(groups) > 1 and (len(groups[0]) > 3 or any(len(g) != 3 for g in groups[1:])):
-        return None
-    return ("".join(groups).lstrip("0") or "0") + (f".{rest}" if rest else "")
+def number_marks(lang: str) -> tuple[str, str]:
+    return _by_tag(lang, NUMBER_TAGS, NUMBERS, UNKNOWN_NUMBERS)
+
+
+@functools.cache
+def _reading(marks: tuple[str, str]) -> re.Pattern:
+    thousands, decimal = (re.escape(x) for x in marks)
+    return re.compile(f"([0-9]{{1,3}}(?:[{thousands}][0-9]{{3}})+|[0-9]+)" + (f"(?:[{decimal}]([0-9]+))?" if decimal else "()"))
+
+
+def _stripped(digits: str) -> str:
+    return digits.lstrip("0") or digits[-1:]
+
+
+def numeral_value(surface: str, lang: str) -> str | None:
+    """A numeral as the language reads it; None if it wouldn't write it as one number."""
+    m = _reading(number_marks(lang)).fullmatch(surface)
+    return m and _stripped(re.sub("[^0-9]", "", m[1])) + (f".{m[2]}" if m[2] else "")
 
 
 def compare_numerals(source: str, target: str, src: str, tgt: str) -> tuple[list[str], list[str]]:
     """Numerals of the source missing from the target, and those found by their digits only.
 
-    Each pass takes what the one before left: equal spelling, equal value, equal digits.
+    Each pass takes what the one before left: equal spelling, equal value,
+    equal digits. What the target then has left still holds any number of
+    source numerals whose parts it has, such as those of a date.
     """
-    marks = lambda lang: NUMBER_TAGS.get(lang.lower(), NUMBERS.get(lang.split("-")[0].lower(), (",", ".")))
+    digits = lambda s: re.sub("[^0-9]", "", s)
     left, right = NUMERAL.findall(source), NUMERAL.findall(target)
     altered: list[str] = []
-    for level, key in enumerate((lambda s, _: s, _value, lambda s, _: re.sub("[^0-9]", "", s))):
-        pool = Counter(k for s in right if (k := key(s, marks(tgt))) is not None)
+    for level, (key_s, key_t) in enumerate(((str, str), (lambda s: numeral_value(s, src), lambda s: numeral_value(s, tgt)), (digits, digits))):
+        pool = Counter(k for s in right if (k := key_t(s)) is not None)
         spent: Counter = Counter()
         rest = []
         for s in left:
-            k = key(s, marks(src))
+            k = key_s(s)
             if k is not None and pool[k] > 0:
                 pool[k] -= 1
                 spent[k] += 1
@@ -117,21 +139,16 @@ def compare_numerals(source: str, target: str, src: str, tgt: str) -> tuple[list
                 rest.append(s)
         after = []
         for s in right:
-            k = key(s, marks(tgt))
+            k = key_t(s)
             if k is not None and spent[k] > 0:
                 spent[k] -= 1
             else:
                 after.append(s)
         left, right = rest, after
-    parts = Counter(p for s in right for p in re.findall("[0-9]+", s))
-    missing = []
-    for s in left:
-        need = Counter(re.findall("[0-9]+", s))
-        if all(parts[p] >= n for p, n in need.items()):
-            parts -= need
-        else:
-            missing.append(s)
-    return missing, altered
+    parts = lambda s: [_stripped(p) for p in re.findall("[0-9]+", s)]
+    held = {_stripped(digits(s)) for s in right} | {p for s in right if numeral_value(s, tgt) is None for p in parts(s)}
+    needs = lambda s: parts(s) if numeral_value(s, src) is None else [_stripped(digits(s))]
+    return [s for s in left if not held.issuperset(needs(s))], altered
 
 
 def number_issues(src: str, tgt: str):
@@ -146,8 +163,11 @@ def number_issues(src: str, tgt: str):
 def issues(pairs: DataFrame, key: list[str], src_lang: str, tgt_lang: str, rules: tuple[str, ...] = tuple(SEVERITY)) -> DataFrame:
     """One row per issue (key, rule, severity) of the rules on a single pair: seg, num and punct.
 
-    ``pairs`` has source, target and status; a null target has no issue but ``seg.empty``.
+    ``pairs`` has source, target and status; a null target has no issue but
+    ``seg.empty``. Where it has ``untranslated_allowed``, those pairs may stay
+    as they are (a left join with the list by hash gives the column).
     """
+    allowed = F.coalesce("untranslated_allowed", F.lit(False)) if "untranslated_allowed" in pairs.columns else F.lit(False)
     s, t = F.col("source"), F.coalesce("target", F.lit(""))
     there = F.col("target").isNotNull()
     numbers = number_issues(src_lang, tgt_lang)
@@ -155,7 +175,7 @@ def issues(pairs: DataFrame, key: list[str], src_lang: str, tgt_lang: str, rules
     digits = s.rlike("[0-9]")
     rows = pairs.withColumn("__num", numbers(F.when(digits, s), F.when(digits, t))) if {"num.missing", "num.altered"} & set(rules) else pairs
     checks = {
-        "seg.empty": F.col("status").isin("translated", "confirmed") & (F.trim(t) == ""), "seg.untranslated": there & untranslated(s, t),
+        "seg.empty": F.col("status").isin("translated", "confirmed") & (F.trim(t) == ""), "seg.untranslated": there & untranslated(s, t) & ~allowed,
         "num.missing": there & (F.size("__num.missing") > 0) if "__num" in rows.columns else F.lit(False),
         "num.altered": there & (F.size("__num.altered") > 0) if "__num" in rows.columns else F.lit(False),
         "punct.terminal": there & punct_terminal(s, t), "punct.brackets": there & punct_brackets(s, t),
@@ -165,14 +185,34 @@ def issues(pairs: DataFrame, key: list[str], src_lang: str, tgt_lang: str, rules
     return rows.select(*key, F.explode(found).alias("i")).select(*key, "i.rule", "i.severity")
 
 
-def inconsistent(pairs: DataFrame, key: list[str]) -> DataFrame:
+def inconsistent(pairs: DataFrame, key: list[str], group: list[str] | None = None) -> DataFrame:
     """Pairs whose source has another target elsewhere, or whose target another source.
 
-    Least and greatest of each group are enough, so groups aren't gathered.
+    ``group`` names columns of a plural group: its members may differ among
+    themselves, so only pairs outside a pair's own group count (a null group
+    is none). Least and greatest of all and of the own group are enough, so
+    groups aren't gathered.
     """
-    by_source = pairs.groupBy("source").agg(F.min("target").alias("lo"), F.max("target").alias("hi")).where("lo <> hi").select("source", F.lit("consistency.target_differs").alias("rule"))
-    by_target = pairs.groupBy("target").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).where("lo <> hi").select("target", F.lit("consistency.source_differs").alias("rule"))
-    return pairs.join(by_source, "source").select(*key, "rule").unionByName(pairs.join(by_target, "target").select(*key, "rule"))
+    rules = (("source", "target", "consistency.target_differs"), ("target", "source", "consistency.source_differs"))
+    found = [_differing(pairs, key, group or [], same, other).withColumn("rule", F.lit(rule)) for same, other, rule in rules]
+    return found[0].unionByName(found[1])
+
+
+def _differing(pairs: DataFrame, key: list[str], group: list[str], same: str, other: str) -> DataFrame:
+    """Pairs (key) with an equal ``same`` and another ``other`` outside their own group."""
+    if not group:
+        several = pairs.groupBy(same).agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo <> hi").select(same)
+        return pairs.join(several, same).select(*key)
+    # Two least and two greatest groups' values tell what lies outside any one group.
+    own = F.when(F.concat(*[F.col(g).cast("string") for g in group]).isNotNull(), F.to_json(F.struct(*group))).otherwise(F.to_json(F.struct(*key)))
+    rows = pairs.withColumn("__own", own)
+    each = rows.groupBy(same, "__own").agg(F.min(other).alias("lo"), F.max(other).alias("hi"))
+    low = Window.partitionBy(same).orderBy("lo", "__own")
+    high = Window.partitionBy(same).orderBy(F.col("hi").desc(), "__own")
+    ends = each.withColumn("i", F.row_number().over(low)).withColumn("j", F.row_number().over(high)).where("i <= 2 or j <= 2")
+    ends = ends.groupBy(same).agg(F.array_sort(F.collect_list(F.struct("lo", "__own"))).alias("lows"), F.sort_array(F.collect_list(F.struct("hi", "__own")), asc=False).alias("highs"))
+    outside = lambda c, v: F.filter(c, lambda x: x["__own"] != F.col("__own"))[0][v]
+    return rows.join(ends, same).where((outside("lows", "lo") != F.col(other)) | (outside("highs", "hi") != F.col(other))).select(*key)
 
 
 def carried(issues_now: DataFrame, before: DataFrame, key: list[str]) -> DataFrame:
@@ -215,7 +255,3 @@ def next_open(rows: DataFrame, file_col: str = "doc_id") -> DataFrame:
 
 def glossary_issues(mismatches: DataFrame, key: list[str]) -> DataFrame:
     return mismatches.select(*key, F.lit("term.glossary_mismatch").alias("rule"), F.lit(SEVERITY["term.glossary_mismatch"]).alias("severity")).distinct()
-
-
-def word_count_of(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("words", T.count_words(F.col("source")))
