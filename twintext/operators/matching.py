@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twintext.functions import text as T
+from twintext.functions import tokens as K
+from twintext.stages import materialise
 
 #: Characters that stand for the distinct words of a pair: any row of single UTF-16 units would do.
 ALPHABET = "".join(chr(0x4E00 + i) for i in range(16_384))
+# Bounds of a fuzzy threshold, and what a numeral and a tag cost.
+FLOOR, CEILING, NUMBER_PENALTY, TAG_PENALTY, TAG_CAP = 50, 99, 2, 1, 5
 
 
 def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -22,21 +28,35 @@ def normalized(rows: DataFrame, col: str) -> DataFrame:
     return rows.withColumn("plain", T.normalize(F.col(col))).withColumn("hash", T.text_hash(F.col("plain")))
 
 
-def exact_match(rows: DataFrame, memories: DataFrame, key: list[str]) -> DataFrame:
+def _langs(rows: DataFrame, langs: tuple[str, ...]) -> DataFrame:
+    """Adds the primary subtags of the language columns, by which segments and units meet."""
+    return rows.withColumns({f"__{c}": T.primary_subtag(F.col(c)) for c in langs})
+
+
+def exact_match(rows: DataFrame, memories: DataFrame, key: list[str], langs: tuple[str, ...] = ()) -> DataFrame:
     """The best exact hit of each segment (columns key and hash) in memories (hash, tu_id, priority, quality, updated_at).
 
-    The first memory by priority with a hit wins; in it the highest quality,
-    then the latest change, then the least tu_id.
+    ``langs`` names the language columns of both sides (source and target)
+    that must agree by primary subtag. The first memory by priority with a hit
+    wins; in it the highest quality, then the latest change, then the least
+    tu_id (a number). Retired units (``deleted``, if there is such a column)
+    have no hits.
     """
-    order = [F.col("priority"), F.col("quality").desc_nulls_last(), F.col("updated_at").desc_nulls_last(), F.col("tu_id")]
-    best = memories.withColumn("__rank", F.row_number().over(Window.partitionBy("hash").orderBy(*order))).where("__rank = 1").drop("__rank")
-    return rows.select(*key, "hash").join(best, "hash")
+    live = memories.where("not deleted").drop("deleted") if "deleted" in memories.columns else memories
+    on = ["hash", *[f"__{c}" for c in langs]]
+    rest = [c for c in live.columns if c not in ("hash", "priority", "quality", "updated_at", "tu_id", *langs)]
+    order = F.struct((-F.col("priority")).alias("p"), F.col("quality").alias("q"), F.col("updated_at").alias("u"), (-F.col("tu_id")).alias("t"), *rest)
+    best = _langs(live, langs).groupBy(*on).agg(F.max(order).alias("x"))
+    best = best.select(*on, (-F.col("x.t")).alias("tu_id"), (-F.col("x.p")).alias("priority"), F.col("x.q").alias("quality"), F.col("x.u").alias("updated_at"), *[F.col(f"x.{c}").alias(c) for c in rest])
+    return _langs(rows, langs).select(*key, *on).join(best, on).drop(*on[1:])
 
 
-def propagation(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The donor of each unconfirmed segment: the first confirmed one with its hash (columns key, hash, confirmed)."""
-    donors = rows.where("confirmed").groupBy("hash").agg(F.min(F.struct(*key)).alias("donor"))
-    return rows.where("not confirmed").join(donors, "hash").select(*key, "hash", *[F.col(f"donor.{k}").alias(f"donor_{k}") for k in key])
+def propagation(rows: DataFrame, key: list[str], langs: tuple[str, ...] = ()) -> DataFrame:
+    """The donor of each unconfirmed segment: the first confirmed one with its hash and languages (columns key, hash, confirmed)."""
+    rows = _langs(rows, langs)
+    on = ["hash", *[f"__{c}" for c in langs]]
+    donors = rows.where("confirmed").groupBy(*on).agg(F.min(F.struct(*key)).alias("donor"))
+    return rows.where("not confirmed").join(donors, on).select(*key, "hash", *[F.col(f"donor.{k}").alias(f"donor_{k}") for k in key])
 
 
 def segment_context(rows: DataFrame, file_col: str = "doc_id") -> DataFrame:
@@ -45,6 +65,20 @@ def segment_context(rows: DataFrame, file_col: str = "doc_id") -> DataFrame:
     return rows.withColumn("prev_hash", F.lag("hash").over(w)).withColumn("next_hash", F.lead("hash").over(w))
 
 
+def confirmed_context(rows: DataFrame, file_col: str = "doc_id", hash_col: str = "target_hash") -> DataFrame:
+    """Target hashes of the nearest confirmed segments before and after each segment of the file.
+
+    ``rows`` has ord, confirmed and the hash of the target. The segment that
+    is being confirmed counts as one itself, so its neighbours are those of a
+    log of confirmed targets with it in its place.
+    """
+    w = Window.partitionBy(file_col).orderBy("ord")
+    known = F.when(F.col("confirmed"), F.col(hash_col))
+    before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return rows.withColumn("prev_target", before).withColumn("next_target", after)
+
+
 def context_match(rows: DataFrame, memory: DataFrame, key: list[str]) -> DataFrame:
     """Segments whose hash and both neighbours equal a memory variant's (hash, prev_hash, next_hash, tu_id)."""
     m = memory.select("tu_id", *[F.col(c).alias(f"__{c}") for c in ("hash", "prev_hash", "next_hash")])
@@ -59,84 +93,176 @@ def ambiguous_siblings(rows: DataFrame, file_col: str = "doc_id", group_col: str
 
 
 def words_distance(a: Column, b: Column, limit: Column | int | None = None) -> Column:
-    """Levenshtein distance over words: each distinct word of the pair becomes one character."""
+    """Levenshtein distance over words, -1 beyond ``limit``: each distinct word of the pair becomes one character.
+
+    A pair of more distinct words than there are characters is an error here;
+    ``fuzzy_pairs`` measures such pairs word by word.
+    """
     words = F.array_distinct(F.concat(a, b))
     coded = lambda x: F.array_join(F.transform(x, lambda w: F.substr(F.lit(ALPHABET), F.array_position(words, w).cast("int"), F.lit(1))), "")
-    return F.levenshtein(coded(a), coded(b))
+    found = F.levenshtein(coded(a), coded(b)) if limit is None else F.call_function("levenshtein", coded(a), coded(b), F.lit(limit).cast("int") if isinstance(limit, int) else limit.cast("int"))
+    return F.when(F.size(words) <= len(ALPHABET), found).otherwise(F.raise_error(F.lit("a pair has too many distinct words")).cast("int"))
+
+
+def _long_distance(a: list[str], b: list[str], limit: int) -> int:
+    """The same for pairs of any size, within a band around the diagonal."""
+    if abs(len(a) - len(b)) > limit:
+        return -1
+    codes: dict[str, int] = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in t]) for t in (a, b))
+    row = np.arange(len(y) + 1)
+    for i, w in enumerate(x, 1):
+        lo, hi = max(1, i - limit), min(len(y), i + limit)
+        new = np.full(len(y) + 1, limit + 1)
+        new[0] = i
+        new[lo : hi + 1] = np.minimum(row[lo - 1 : hi] + (y[lo - 1 : hi] != w), row[lo : hi + 1] + 1)
+        # An insertion adds one to the cell before: a running minimum of value less place.
+        at = np.arange(lo - 1, hi + 1)
+        new[lo - 1 : hi + 1] = np.minimum.accumulate(new[lo - 1 : hi + 1] - at) + at
+        row = new
+    return int(row[-1]) if row[-1] <= limit else -1
+
 
+@F.pandas_udf("int")
+def _long_distances(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
+    return pd.Series([_long_distance(list(x), list(y), int(n)) for x, y, n in zip(a, b, limit, strict=True)], dtype="int32")
 
-def score(a: Column, b: Column, a_numerals: Column, b_numerals: Column, least: int) -> Column:
-    """0 to 99: the share of words that stay, less 2 for each numeral that differs in place; null below ``least``."""
+
+def edit_limit(a: Column, b: Column, least: int) -> Column:
+    """Most edits with which a pair can still score ``least``."""
+    return F.floor(F.greatest(F.size(a), F.size(b)) * F.lit(100 - least) / 100).cast("int")
+
+
+def scored(distance: Column, a: Column, b: Column, a_numerals: Column, b_numerals: Column, least: int, tag_difference: Column | int = 0) -> Column:
+    """0 to 99: the share of words that stay, less 2 for each numeral that differs in place and 1 for each tag (5 at most)."""
     longer = F.nullif(F.greatest(F.size(a), F.size(b)), F.lit(0))
-    d = words_distance(a, b)
-    base = F.floor(F.lit(100) * (longer - d) / longer)
+    base = F.floor(F.lit(100) * (longer - distance) / longer)
     n = F.least(F.size(a_numerals), F.size(b_numerals))
     differ = F.size(F.filter(F.zip_with(F.slice(a_numerals, 1, n), F.slice(b_numerals, 1, n), lambda x, y: x != y), lambda x: x))
-    found = F.least(F.lit(99), base - 2 * differ).cast("int")
-    return F.when((F.size(a) > 0) & (F.size(b) > 0) & (base >= least) & (found >= least), found)
+    tags = F.least(F.lit(TAG_CAP), F.lit(TAG_PENALTY) * (F.lit(tag_difference) if isinstance(tag_difference, int) else tag_difference))
+    found = F.least(F.lit(CEILING), base - NUMBER_PENALTY * differ - tags).cast("int")
+    return F.when((F.size(a) > 0) & (F.size(b) > 0) & (distance >= 0) & (found >= least), found)
 
 
-def _numbered(words: Column) -> Column:
-    """Equal words of a text become different tokens: word and how many came before."""
-    return F.transform(words, lambda w, i: F.concat(w, F.lit("\t"), F.size(F.filter(F.slice(words, 1, i), lambda x: x == w)).cast("string")))
+def score(a: Column, b: Column, a_numerals: Column, b_numerals: Column, least: int, tag_difference: Column | int = 0) -> Column:
+    """``scored`` with the distance of the words; null below ``least``."""
+    return scored(words_distance(a, b, edit_limit(a, b, least)), a, b, a_numerals, b_numerals, least, tag_difference)
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, least: int = 75) -> DataFrame:
+def _threshold(least: int) -> int:
+    if not FLOOR <= least <= CEILING:
+        raise ValueError(f"a threshold lies from {FLOOR} to {CEILING}")
+    return least
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, least: int = 75, langs: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of texts (left: a, plain; right: b, plain) that score at least ``least``: a, b, score.
 
     A prefix filter: within the distance that ``least`` allows, two texts share
     one of their L + 1 rarest words, L being the largest number of edits, so
-    only those are joined. No pair is lost.
+    only those are joined. No pair is lost. ``langs`` are columns of both
+    sides whose primary subtags must agree. With ``slots`` (tags as role and
+    kind; left also ``all_slots``) on both sides tags count.
     """
-    prepare = lambda df, key: df.select(key, T.fuzzy_words(F.col("plain")).alias("w"), T.numerals(F.col("plain")).alias("num")).where(F.size("w") > 0)
+    _threshold(least)
+    on = [f"__{c}" for c in langs]
+    tagged = "slots" in left.columns and "slots" in right.columns
+
+    def prepare(df: DataFrame, key: str) -> DataFrame:
+        extra = [c for c in ("slots", "all_slots") if tagged and c in df.columns]
+        rows = _langs(df, langs).select(key, *on, *extra, T.fuzzy_words(F.col("plain")).alias("w"), T.numerals(F.col("plain")).alias("num")).where(F.size("w") > 0)
+        return materialise(rows, "fuzzy-words", compression="zstd")
+
     l, r = prepare(left, "a"), prepare(right, "b")  # noqa: E741
-    tokens = lambda df, key: df.select(key, F.size("w").alias("n"), F.explode(_numbered(F.col("w"))).alias("token"))
-    lt, rt = tokens(l, "a"), tokens(r, "b")
-    df = lt.select("token").unionByName(rt.select("token")).groupBy("token").count()
+
+    def tokens(df: DataFrame, key: str) -> DataFrame:
+        """Equal words of a text are different tokens: the word and how many came before."""
+        counted = df.select(key, *on, F.size("w").alias("n"), F.explode("w").alias("word")).groupBy(key, *on, "n", "word").agg(F.count(F.lit(1)).alias("times"))
+        return counted.select(key, *on, "n", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i"), "word").select(key, *on, "n", F.xxhash64("word", "i", *on).alias("token"))
+
+    lt, rt = materialise(tokens(l, "a"), "fuzzy-tokens", compression="zstd"), materialise(tokens(r, "b"), "fuzzy-tokens", compression="zstd")
+    # Tokens of one side alone join nothing, but hold their places among the rarest.
+    df = materialise(lt.select("token").unionByName(rt.select("token")).groupBy("token").count(), "fuzzy-counts")
 
     def prefixes(t: DataFrame, key: str) -> DataFrame:
         edits = F.expr(f"((n * 100) div {least}) * {100 - least} div 100")
         rarest = F.row_number().over(Window.partitionBy(key).orderBy("count", "token"))
-        return t.join(df, "token").withColumn("__rank", rarest).where(F.col("__rank") <= edits + 1).select(key, "token", F.col("n").alias(f"n_{key}"))
+        ranked = t.join(df, "token").withColumn("__rank", rarest).where((F.col("__rank") <= edits + 1) & (F.col("count") > 1))
+        return ranked.select(key, "token", F.col("n").alias(f"n_{key}"))
 
     near = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {least}"
     candidates = prefixes(lt, "a").join(prefixes(rt, "b"), "token").where(near).select("a", "b").distinct()
-    r2 = r.select("b", F.col("w").alias("w2"), F.col("num").alias("num2"))
-    scored = candidates.join(l, "a").join(r2, "b").select("a", "b", score(F.col("w"), F.col("w2"), F.col("num"), F.col("num2"), least).alias("score"))
-    return scored.where(F.col("score").isNotNull())
-
-
-def fuzzy_match(rows: DataFrame, memory: DataFrame, key: list[str], least: int = 75, limit: int = 3) -> DataFrame:
+    r2 = r.select("b", F.col("w").alias("w2"), F.col("num").alias("num2"), *[F.col("slots").alias("slots2")] * tagged)
+    pairs = candidates.join(l.drop(*on), "a").join(r2, "b")
+    if tagged:
+        both = K.slot_difference(F.col("slots"), F.col("slots2"))
+        pairs = pairs.withColumn("__tags", F.least(both, K.slot_difference(F.col("all_slots"), F.col("slots2"))) if "all_slots" in pairs.columns else both)
+    tags = F.col("__tags") if tagged else 0
+    pairs = materialise(pairs, "fuzzy-candidates", compression="zstd")
+    big = F.size(F.array_distinct(F.concat("w", "w2"))) > len(ALPHABET)
+    limit = edit_limit(F.col("w"), F.col("w2"), least)
+    sides = ("w", "w2", "num", "num2")
+    plain = pairs.where(~big).select("a", "b", score(*[F.col(c) for c in sides], least, tags).alias("score"))
+    long = pairs.where(big).withColumn("__d", _long_distances("w", "w2", limit)).select("a", "b", scored(F.col("__d"), *[F.col(c) for c in sides], least, tags).alias("score"))
+    found = plain.unionByName(long) if pairs.where(big).limit(1).count() else plain
+    return found.where(F.col("score").isNotNull())
+
+
+def fuzzy_match(rows: DataFrame, memory: DataFrame, key: list[str], least: int = 75, limit: int = 3, langs: tuple[str, ...] = ()) -> DataFrame:
     """The ``limit`` best units (tu_id, plain, quality, updated_at) for each segment (key, plain).
 
-    Equal texts are scored once. Order: score, priority of the memory (if it
-    has that column; the least wins), quality, latest change, tu_id.
+    Equal texts (with equal tags) are scored once. Order: score, priority of
+    the memory (if it has that column; the least wins), quality, latest
+    change, tu_id.
     """
-    texts = rows.select("plain").distinct().withColumn("a", F.sha2("plain", 256))
-    pairs = fuzzy_pairs(texts, memory.select(F.col("tu_id").alias("b"), "plain"), least)
+    extra = [c for c in (*langs, "slots", "all_slots") if c in rows.columns]
+    text_id = F.sha2(F.to_json(F.struct("plain", *extra)), 256).alias("a")
+    asked = rows.select(*key, "plain", *extra, text_id)
+    texts = asked.groupBy("a").agg(*[F.first(c).alias(c) for c in ("plain", *extra)])
+    units = memory.where("not deleted") if "deleted" in memory.columns else memory
+    pairs = fuzzy_pairs(texts, units.select(F.col("tu_id").alias("b"), "plain", *langs, *[c for c in ("slots",) if c in memory.columns]), least, langs)
     priority = F.col("priority") if "priority" in memory.columns else F.lit(None).cast("int")
     hits = pairs.join(memory.select(F.col("tu_id").alias("b"), priority.alias("priority"), "quality", "updated_at"), "b")
     order = [F.col("score").desc(), F.col("priority").asc_nulls_last(), F.col("quality").desc_nulls_last(), F.col("updated_at").desc_nulls_last(), F.col("b")]
     top = hits.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("rank") <= limit)
-    return rows.select(*key, F.sha2("plain", 256).alias("a")).join(top, "a").select(*key, F.col("b").alias("tu_id"), "score", "rank")
+    return asked.select(*key, "a").join(top, "a").select(*key, F.col("b").alias("tu_id"), "score", "rank")
 
 
-def pretranslate(rows: DataFrame, memory: DataFrame, key: list[str], least: int = 75) -> DataFrame:
-    """Each open segment's outcome: exact, propagated, fuzzy or unmatched; confirmed ones are skipped.
+def pretranslate(rows: DataFrame, memory: DataFrame, key: list[str], least: int | None = 75, langs: tuple[str, ...] = ()) -> DataFrame:
+    """Each segment's outcome: exact, tagdiff, propagated, fuzzy, unmatched or skipped, with origin, status and unit.
 
     ``rows`` has key, plain, hash, confirmed; ``memory`` has tu_id, plain,
-    hash, priority, quality, updated_at. Fuzzy runs only on what is left.
+    hash, priority, quality, updated_at. Confirmed segments are skipped, and
+    so are those with ``protected`` or ``sibling`` set (where ``rows`` has
+    those columns): plural forms of one string want different targets. With
+    ``tokens`` and ``formats`` in the rows, and ``tokens`` (target tokens) in
+    the memory, an exact match whose tags don't correspond is a ``tagdiff``.
+    Only an exact match with its tags is translated; all else is a draft.
+    Fuzzy runs only on what is left, and not at all where ``least`` is null or
+    ``spaced`` (a column) is false.
     """
-    open_ = rows.where("not confirmed")
-    exact = exact_match(open_, memory, key).select(*key, F.col("tu_id").alias("exact_tu"))
-    donor = propagation(rows, key).select(*key, F.lit(True).alias("donated"))
-    placed = rows.join(exact, key, "left").join(donor, key, "left")
-    rest = placed.where("not confirmed and exact_tu is null and donated is null").select(*key, "plain")
-    fuzzy = fuzzy_match(rest, memory, key, least, 1).select(*key, F.col("tu_id").alias("fuzzy_tu"), "score")
-    out = placed.join(fuzzy, key, "left")
+    skip = F.col("confirmed")
+    for c in ("protected", "sibling"):
+        skip = skip | F.coalesce(c, F.lit(False)) if c in rows.columns else skip
+    rows = materialise(rows.withColumn("__skip", skip), "segments", compression="zstd")
+    open_ = rows.where("not __skip")
+    tagged = {"tokens", "formats"} <= set(rows.columns) and "tokens" in memory.columns
+    exact = exact_match(open_, memory, key, langs).select(*key, F.col("tu_id").alias("exact_tu"), *[F.col("tokens").alias("exact_tokens")] * tagged)
+    donor = propagation(rows, key, langs).select(*key, F.lit(True).alias("donated"))
+    placed = materialise(rows.join(exact, key, "left").join(donor, key, "left"), "placed", compression="zstd")
+    rest = placed.where("not __skip and exact_tu is null and donated is null")
+    rest = rest.where("spaced") if "spaced" in rows.columns else rest
+    if least is None:
+        out = placed.withColumn("fuzzy_tu", F.lit(None).cast("long")).withColumn("score", F.lit(None).cast("int"))
+    else:
+        out = placed.join(fuzzy_match(rest, memory, key, least, 1, langs).select(*key, F.col("tu_id").alias("fuzzy_tu"), "score"), key, "left")
+    fits = K.place_match(F.col("exact_tokens"), F.col("tokens"), F.col("formats"))["tags_matched"] if tagged else F.lit(True)
     outcome = (
-        F.when(F.col("confirmed"), "skipped").when(F.col("exact_tu").isNotNull(), "exact").when(F.col("donated"), "propagated")
+        F.when(F.col("__skip"), "skipped").when(F.col("exact_tu").isNotNull(), F.when(fits, "exact").otherwise("tagdiff")).when(F.col("donated"), "propagated")
         .when(F.col("fuzzy_tu").isNotNull(), "fuzzy").otherwise("unmatched")
     )
-    origin = F.when(outcome == "exact", "tm_exact").when(outcome == "propagated", "propagated").when(outcome == "fuzzy", T.fuzzy_origin(F.col("score")))
-    return out.select(*key, "plain", outcome.alias("outcome"), origin.alias("origin"), F.coalesce("exact_tu", "fuzzy_tu").alias("tu_id"))
+    out = out.withColumn("outcome", outcome)
+    origins = {"exact": F.lit("tm_exact"), "tagdiff": F.lit("tm_exact_tagdiff"), "propagated": F.lit("propagated"), "fuzzy": T.fuzzy_origin(F.col("score"))}
+    origin = F.coalesce(*[F.when(F.col("outcome") == k, v) for k, v in origins.items()])
+    status = F.when(F.col("outcome") == "exact", "translated").when(F.col("outcome").isin("tagdiff", "propagated", "fuzzy"), "draft")
+    return out.select(*key, "plain", "outcome", origin.alias("origin"), status.alias("status"), F.coalesce("exact_tu", "fuzzy_tu").alias("tu_id"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twintext.functions import text as T
+from twintext.functions import tokens as K
 
 # Rules and their severity.
 SEVERITY = {
@@ -229,22 +230,17 @@ def marks(found: DataFrame, key: list[str]) -> DataFrame:
 
 
 def tag_issues(pairs: DataFrame, key: list[str], source_col: str = "source_tokens", target_col: str = "target_tokens") -> DataFrame:
-    """Tags missing from or extra in the target, and tags that don't nest.
+    """Tags missing from or extra in the target, and tags that don't nest: rule, severity and what is wrong.
 
-    Tokens are structs (t, v, id): t is text, open, close or ph.
+    ``message`` lists the ids, or the codes of ``structure_errors``; they count
+    for each role apart.
     """
-    ids = lambda c: F.array_distinct(F.transform(F.filter(c, lambda x: x["t"] != "text"), lambda x: x["id"]))
-    state = F.struct(F.array().cast("array<int>").alias("open"), F.lit(True).alias("ok"))
-
-    def step(acc: Column, x: Column) -> Column:
-        pops = (F.size(acc["open"]) > 0) & (F.try_element_at(acc["open"], F.lit(-1)) == x["id"])
-        opened = F.when(x["t"] == "open", F.array_append(acc["open"], x["id"])).when((x["t"] == "close") & pops, F.slice(acc["open"], 1, F.greatest(F.size(acc["open"]) - 1, F.lit(0)))).otherwise(acc["open"])
-        return F.struct(opened.alias("open"), (acc["ok"] & ((x["t"] != "close") | F.coalesce(pops, F.lit(False)))).alias("ok"))
-
-    nested = F.aggregate(target_col, state, step, lambda acc: acc["ok"] & (F.size(acc["open"]) == 0))
-    checks = {"tag.missing": F.size(F.array_except(ids(source_col), ids(target_col))) > 0, "tag.extra": F.size(F.array_except(ids(target_col), ids(source_col))) > 0, "tag.unbalanced": ~nested}
-    found = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in checks.items()]))
-    return pairs.select(*key, F.explode(found).alias("rule"))
+    s, t = F.col(source_col), F.col(target_col)
+    ids = lambda x: F.array_join(F.array_distinct(F.concat(x["pairs"], x["placeholders"])).cast("array<string>"), ",")
+    rows = pairs.select(*key, ids(K.missing_tags(s, t)).alias("tag.missing"), ids(K.missing_tags(t, s)).alias("tag.extra"), F.array_join(F.transform(K.structure_errors(t), lambda e: F.concat_ws(" ", e["code"], e["id"].cast("string"))), "; ").alias("tag.unbalanced"))
+    rules = ("tag.missing", "tag.extra", "tag.unbalanced")
+    found = F.array_compact(F.array(*[F.when(F.col(f"`{r}`") != "", F.struct(F.lit(r).alias("rule"), F.lit(SEVERITY[r]).alias("severity"), F.col(f"`{r}`").alias("message"))) for r in rules]))
+    return rows.select(*key, F.explode(found).alias("i")).select(*key, "i.*")
 
 
 def next_open(rows: DataFrame, file_col: str = "doc_id") -> DataFrame:

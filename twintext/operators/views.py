@@ -37,8 +37,8 @@ def draft_selection(rows: DataFrame, covered: DataFrame, key: list[str], file_co
     near = [F.lag("plain", i).over(w) for i in range(around, 0, -1)] + [F.lead("plain", i).over(w) for i in range(1, around + 1)]
     rows = rows.withColumn("context", F.array_join(F.array_compact(F.array(*near)), "\n"))
     open_ = rows.where("not confirmed").join(covered.select("hash").distinct(), "hash", "left_anti")
-    first = F.row_number().over(Window.partitionBy("hash").orderBy(*key))
-    return open_.withColumn("__r", first).where("__r = 1").select(*key, "plain", "context")
+    first = open_.groupBy("hash").agg(F.min(F.struct(*key, "plain", "context")).alias("x"))
+    return first.select(*[F.col(f"x.{c}").alias(c) for c in (*key, "plain", "context")])
 
 
 def source_preview(rows: DataFrame, by: str, order: str, text: str, n: int = 3) -> DataFrame:
@@ -66,18 +66,11 @@ def term_entries(variants: DataFrame, preferred: DataFrame) -> DataFrame:
 
 
 def stale_uses(found: DataFrame, limit: int = 500) -> DataFrame:
-    """The first ``limit`` stale uses (key columns first) with the number of all."""
-    keys = [c for c in found.columns if c != "kind"]
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    return found.orderBy(*keys).limit(limit).join(F.broadcast(total)).withColumn("truncated", F.col("total") > limit)
+    """The first ``limit`` stale uses of mismatches (key columns, kind, found) with the number of all.
 
-
-def remapped(source_slots: Column, target_slots: Column) -> Column:
-    """For each memory tag (role, kind) the segment's tag id of the same role, kind and occurrence; null if counts differ.
-
-    Slots are structs (slot, id) with role and kind joined in ``slot``.
+    Stale is a forbidden rendering, or an alternative where the preferred one is missing.
     """
-    same = F.array_sort(F.transform(source_slots, lambda x: x["slot"])) == F.array_sort(F.transform(target_slots, lambda x: x["slot"]))
-    nth = lambda slots, i, slot: F.size(F.filter(F.slice(slots, 1, i + 1), lambda y: y["slot"] == slot))
-    pick = lambda x, i: F.element_at(F.filter(source_slots, lambda y: y["slot"] == x["slot"]), nth(target_slots, i, x["slot"]))["id"]
-    return F.when(same, F.transform(target_slots, pick))
+    stale = found.where("kind = 'forbidden' or found is not null")
+    keys = [c for c in found.columns if c not in ("kind", "found")]
+    total = stale.agg(F.count(F.lit(1)).alias("total"))
+    return stale.orderBy(*keys).limit(limit).join(F.broadcast(total)).withColumn("truncated", F.col("total") > limit)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twintext.functions import text as T
+from twintext.functions import tokens as K
 from twintext.operators import audit, business, glossary, matching, memory, qa, search, segmentation, views
 from twintext.sources import writers
 
 KEY = ["doc_id", "ord"]
+LANG = ("lang",)
 TODAY = "1998-01-01"
 
 
@@ -31,10 +35,10 @@ def statused(rows: DataFrame) -> DataFrame:
 
 
 def memory_of(spark: SparkSession, d: str) -> DataFrame:
-    """Two memories: benchmark items, and the first lines of documents labelled good."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("tu_id"), F.col("text").alias("line"), F.lit(1).alias("priority"), F.lit(3).alias("quality"), F.lit("2024-01-01").alias("updated_at"))
-    good = lines(spark, d).where("ord = 0").join(table(spark, d, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id")
-    docs = good.select((F.col("doc_id") + 1_000_000).alias("tu_id"), "line", F.lit(2).alias("priority"), (F.col("doc_id") % 5).cast("int").alias("quality"), F.lit("2024-02-01").alias("updated_at"))
+    """Two memories: benchmark items, and the lines of documents labelled good."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("tu_id"), F.lit("en").alias("lang"), F.col("text").alias("line"), F.lit(1).alias("priority"), F.lit(3).alias("quality"), F.lit("2024-01-01").alias("updated_at"))
+    good = lines(spark, d).join(table(spark, d, "labels").where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    docs = good.select((F.col("doc_id") * 100_000 + F.col("ord") + 1_000_000).alias("tu_id"), "lang", "line", F.lit(2).alias("priority"), (F.col("doc_id") % 5).cast("int").alias("quality"), F.lit("2024-02-01").alias("updated_at"))
     return matching.normalized(items.unionByName(docs), "line").drop("line")
 
 
@@ -63,19 +67,20 @@ def word_counts(spark, d):
 
 def repetition_analysis(spark, d):
     rows = hashed_lines(spark, d).withColumn("words", T.count_words(F.col("line")))
-    first = F.row_number().over(Window.partitionBy("hash").orderBy("doc_id", "ord")) == 1
-    rows = rows.withColumn("first", first)
-    return rows.groupBy("source").agg(
-        F.count(F.lit(1)).alias("segments"), F.sum("words").alias("words"), F.count(F.when(~F.col("first"), 1)).alias("repeated"), F.sum(F.when(F.col("first"), 0).otherwise(F.col("words"))).alias("repeated_words"),
-    )
+    # The first occurrence of each text counts for its source; all others are repeats.
+    first = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "ord", "source", "words")).alias("x"))
+    first = first.groupBy(F.col("x.source").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.words").alias("w"))
+    every = rows.groupBy("source").agg(F.count(F.lit(1)).alias("segments"), F.sum("words").alias("words"))
+    out = every.join(first, every["source"].eqNullSafe(first["source"]), "left").drop(first["source"])
+    return out.select("source", "segments", "words", (F.col("segments") - F.coalesce("n", F.lit(0))).alias("repeated"), (F.col("words") - F.coalesce("w", F.lit(0))).alias("repeated_words"))
 
 
 def exact_match(spark, d):
-    return matching.exact_match(hashed_lines(spark, d), memory_of(spark, d), KEY).select(*KEY, "tu_id", "priority", "quality")
+    return matching.exact_match(hashed_lines(spark, d), memory_of(spark, d), KEY, LANG).select(*KEY, "tu_id", "priority", "quality")
 
 
 def propagation(spark, d):
-    return matching.propagation(statused(hashed_lines(spark, d)), KEY).drop("hash")
+    return matching.propagation(statused(hashed_lines(spark, d)), KEY, LANG).drop("hash")
 
 
 def segment_context(spark, d):
@@ -94,16 +99,16 @@ def ambiguous_siblings(spark, d):
 
 
 def fuzzy_match(spark, d):
-    return matching.fuzzy_match(hashed_lines(spark, d), memory_of(spark, d).where("priority = 1"), KEY)
+    return matching.fuzzy_match(hashed_lines(spark, d), memory_of(spark, d), KEY, langs=LANG)
 
 
 def pretranslate_summary(spark, d):
-    out = matching.pretranslate(statused(hashed_lines(spark, d)), memory_of(spark, d).where("priority = 1"), KEY)
+    out = matching.pretranslate(statused(hashed_lines(spark, d)), memory_of(spark, d), KEY, langs=LANG)
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("segments"), F.sum(T.count_words(F.col("plain"))).alias("words"))
 
 
 def tier_analysis(spark, d):
-    out = matching.pretranslate(statused(hashed_lines(spark, d)), memory_of(spark, d).where("priority = 1"), KEY)
+    out = matching.pretranslate(statused(hashed_lines(spark, d)), memory_of(spark, d), KEY, langs=LANG)
     return out.where("outcome <> 'skipped'").groupBy(T.tier_for_origin(F.col("origin")).alias("tier")).agg(F.sum(T.count_words(F.col("plain"))).alias("words"))
 
 
@@ -170,22 +175,36 @@ def qa_rule_counts(spark, d):
     return found.groupBy("rule").agg(F.count(F.when(~F.col("dismissed"), 1)).alias("open"), F.count(F.when(F.col("dismissed"), 1)).alias("dismissed"))
 
 
+#: Kinds of the elements of web pages; all others are hidden.
+KINDS = {"b": "b", "strong": "b", "i": "i", "em": "i", "a": "link", "br": "br", "img": "image", "p": "style", "h1": "style", "li": "style"}
+
+
+def page_tokens(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    return pages.select("page_id", "html", K.markup_tokens(F.col("html"), KINDS).alias("m")).select("page_id", "html", "m.tokens", "m.formats")
+
+
+def page_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each page as source, the next one's tokens as target."""
+    pages = page_tokens(spark, d)
+    return pages.join(pages.select((F.col("page_id") - 1).alias("page_id"), F.col("tokens").alias("target_tokens"), F.col("formats").alias("target_formats")), "page_id")
+
+
 def qa_tags(spark, d):
-    tags = F.transform(F.regexp_extract_all("html", F.lit("</?[a-z]+"), F.lit(0)), lambda x: F.struct(F.when(F.startswith(x, F.lit("</")), "close").otherwise("open").alias("t"), x.alias("v"), (F.length(x) - F.when(F.startswith(x, F.lit("</")), 2).otherwise(1)).alias("id")))
-    pages = table(spark, d, "pages").select("page_id", tags.alias("source_tokens"))
-    nxt = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("source_tokens").alias("target_tokens"))
-    return qa.tag_issues(pages.join(nxt, "page_id"), ["page_id"])
+    return qa.tag_issues(page_pairs(spark, d).withColumnRenamed("tokens", "source_tokens"), ["page_id"])
 
 
 def term_candidates(spark, d):
-    rows = hashed_lines(spark, d).where("lang = 'en'").select(*KEY, "plain")
-    return glossary.term_candidates(rows, "en", KEY)
+    """Terms of each language with stop words."""
+    rows = hashed_lines(spark, d).select(*KEY, "lang", "plain")
+    of = lambda lang: glossary.term_candidates(rows.where(T.primary_subtag(F.col("lang")) == lang), lang, KEY).withColumn("lang", F.lit(lang))
+    return functools.reduce(DataFrame.unionByName, [of(lang) for lang in glossary.STOPWORDS])
 
 
 def term_mismatch(spark, d):
-    """Frequent words of the benchmark as terms: each one's rendering is itself, the next one is forbidden."""
+    """Frequent words of the benchmark as terms: each one's rendering is itself, one with ``ed`` will do, its plural is forbidden."""
     words = table(spark, d, "benchmark").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("term")).groupBy("term").count().where("count >= 2")
-    terms = words.select("term", F.col("term").alias("preferred"), F.concat("term", F.lit("s")).alias("forbidden"))
+    terms = words.select("term", F.col("term").alias("preferred"), F.concat("term", F.lit("s")).alias("forbidden"), F.array(F.concat("term", F.lit("ed"))).alias("alternatives"))
     return glossary.term_mismatch(turns(spark, d).select("conv_id", "turn", "source", "target"), terms, ["conv_id", "turn"], "en", "en")
 
 
@@ -217,7 +236,7 @@ def changed_words(spark, d):
 
 def client_rates(spark, d):
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("pair"), (F.col("n_nationkey") * 0.01).alias("rate"), (F.col("n_regionkey") * 5.0).alias("minimum"))
-    own = table(spark, d, "customer").where("c_custkey <= 10").groupBy(F.col("c_nationkey").alias("pair")).agg(F.round(F.avg("c_acctbal") / 10000, 4).alias("rate"), F.lit(None).cast("double").alias("minimum"))
+    own = table(spark, d, "customer").where("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("pair")).agg(F.round(F.avg("c_acctbal") / 10000, 4).alias("rate"), F.lit(None).cast("double").alias("minimum"))
     return business.client_rates(n, own, ["pair"], ["rate", "minimum"])
 
 
@@ -324,8 +343,11 @@ def csv_cells(spark, d):
 
 
 def audit_chain(spark, d):
+    """Every user's log, with the body of every event whose id is divisible by 1,000 changed after the fact."""
     e = table(spark, d, "events").select("user_id", "event_id", audit.canonical("event_id", "event_type", "props").alias("body"))
-    return audit.verify_chain(audit.chained(e, "user_id", "event_id"), "user_id", "event_id")
+    log = audit.chained(e, "user_id", "event_id")
+    forged = F.when(F.col("event_id") % 1000 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body"))
+    return audit.verify_chain(log.withColumn("body", forged), "user_id", "event_id")
 
 
 def panel_counts(spark, d):
