@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a single longer text is taken alone.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones(1, np.uint64)
 

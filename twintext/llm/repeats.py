@@ -45,16 +45,16 @@ SHARDS = 256
 _INVERSE = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
 
 
-def window_hashes(data: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all strings of ``width`` bytes, by their first byte."""
     n = len(data) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1 + 256 * seed)) * powers(len(data) + 1)[: len(data)], out=sums[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data) + 1)[: len(data)], out=sums[1:])
     scale = np.full(n, _INVERSE)
     scale[0] = 1
-    return mixed((sums[width:] - sums[:n]) * np.multiply.accumulate(scale), seed)
+    return mixed((sums[width:] - sums[:n]) * np.multiply.accumulate(scale))
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
@@ -281,9 +281,9 @@ def _windows(length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, place, text in zip(*[batch.column(c).to_pylist() for c in ("key", "place", "bytes")], strict=True):
-                data = np.frombuffer(text, np.uint8)
-                a, b = window_hashes(data, length), window_hashes(data, length, 1)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(a), pa.binary()), pa.array(np.arange(len(a)) + place, pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["key", "place", "a", "b"])
+                n = len(text) - length + 1
+                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[i : i + length]) for i in range(n)), np.int64).reshape(n, 2)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.binary()), pa.array(np.arange(n) + place, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["key", "place", "a", "b"])
 
     return find
 

@@ -2,41 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a session without that setting (local tests) gets a temporary folder
-    of its own.
-    """
-    path = spark.conf.get(_KEY, None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-twintext-")
-        spark.conf.set(_KEY, path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and
-    a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from twintext.stages import materialise, new_path, shared_dir
 
+__all__ = ["BROADCAST_BYTES", "join_checked", "materialise", "new_path", "per_shard", "shared_dir"]
 
 #: Most bytes of a table that is sent to every executor.
 BROADCAST_BYTES = 32 << 20
