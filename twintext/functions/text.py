@@ -92,6 +92,26 @@ def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def is_slug(text: Column) -> Column:
+    return text.rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$")
+
+
+def email_key(text: Column) -> Column:
+    """An address as it is compared: trimmed, in lower case."""
+    return F.lower(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""))
+
+
+def tmx_to_iso(text: Column) -> Column:
+    """``20240131T120000Z`` as ISO 8601 with milliseconds; null for anything else."""
+    parts = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})Z$", "$1-$2-$3T$4:$5:$6.000Z")
+    good = F.coalesce(F.try_to_timestamp(F.regexp_replace(parts, "[TZ]", " "), F.lit("yyyy-MM-dd HH:mm:ss.SSS ")).isNotNull(), F.lit(False))
+    return F.when(text.rlike(r"^\d{8}T\d{6}Z$") & good, parts)
+
+
+def iso_to_tmx(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"\.\d+", ""), "[-:]", "")
+
+
 def is_calendar_date(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
@@ -149,4 +169,10 @@ TIERS = ("exact", "ice", "fuzzy_95_99", "fuzzy_85_94", "fuzzy_75_84", "fuzzy_50_
 
 
 def format_micros(micros: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f", (micros / F.lit(1_000_000)).cast("double"))
+    """Micros (a long) as fixed-point text, half away from zero, without passing through floating point."""
+    unit = 10 ** (6 - digits)
+    whole = F.abs(micros) + F.lit(unit // 2)
+    parts = F.floor(whole / F.lit(unit).cast("decimal(20,0)")).cast("long")
+    text = F.lpad(parts.cast("string"), F.greatest(F.length(parts.cast("string")), F.lit(digits + 1)), F.lit("0"))
+    sign = F.when((micros < 0) & (parts != 0), "-").otherwise("")
+    return F.concat(sign, F.substr(text, F.lit(1), F.length(text) - digits), F.lit("."), F.right(text, F.lit(digits))) if digits else F.concat(sign, parts.cast("string"))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from twintext.functions import text as T
 from twintext.functions import tokens as K
@@ -123,7 +124,7 @@ def _long_distance(a: list[str], b: list[str], limit: int) -> int:
     return int(row[-1]) if row[-1] <= limit else -1
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _long_distances(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series([_long_distance(list(x), list(y), int(n)) for x, y, n in zip(a, b, limit, strict=True)], dtype="int32")
 

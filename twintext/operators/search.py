@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +27,43 @@ def concordance(rows: DataFrame, phrase: str, key: list[str], text_col: str = "l
     if len(phrase) > MAX_CHARS or not 0 < len(phrase.split()) <= MAX_WORDS:
         raise ValueError("a phrase has 1 to 12 words and 120 characters at most")
     wanted = T.concordance_text(F.lit(phrase))
-    hits = rows.where(F.contains(T.concordance_text(F.col(text_col)), wanted)).select(*key)
+    # A phrase of plain letters can only lie in texts that hold its first word or letters beyond ASCII.
+    first = re.match(r"[a-z0-9]+", phrase.lower())
+    near = F.contains(F.lower(text_col), F.lit(first[0])) | F.col(text_col).rlike("[^\\x{0}-\\x{7f}]") if first else F.lit(True)
+    hits = rows.where(near).where(F.contains(T.concordance_text(F.col(text_col)), wanted)).select(*key)
     # limit + 1 rows reach one task, not all hits.
     top = hits.orderBy(*[F.col(k).desc() for k in key]).limit(limit + 1)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*[F.col(k).desc() for k in key])))
     return ranked.withColumn("more", F.max("rank").over(Window.partitionBy()) > limit).where(F.col("rank") <= limit)
 
 
+def concordance_pairs(variants: DataFrame, phrase: str, searched: str, other: str, limit: int = 50) -> DataFrame:
+    """Units whose text in one language holds the phrase, with the best counterpart in the other.
+
+    ``variants`` has priority (of the memory), tu_id, tuv_id, lang, plain,
+    quality, updated_at and deleted. Memories come in order of priority and
+    share one limit; in each the newest variant comes first. The counterpart
+    is the one of highest quality, then latest change, then least tuv_id;
+    units without one are left out. Languages meet by primary subtag.
+    """
+    if len(phrase) > MAX_CHARS or not 0 < len(phrase.split()) <= MAX_WORDS:
+        raise ValueError("a phrase has 1 to 12 words and 120 characters at most")
+    live = variants.where("not deleted").withColumn("__primary", T.primary_subtag(F.col("lang")))
+    primary = lambda lang: lang.lower().replace("_", "-").split("-")[0]
+    folded = T.concordance_text(F.col("plain"))
+    # A phrase of plain letters can only lie in texts that hold its first word or letters beyond ASCII.
+    first = re.match(r"[a-z0-9]+", phrase.lower())
+    near = F.contains(F.lower("plain"), F.lit(first[0])) | F.col("plain").rlike("[^\\x{0}-\\x{7f}]") if first else F.lit(True)
+    hits = live.where((F.col("__primary") == primary(searched)) & near).where(F.contains(folded, T.concordance_text(F.lit(phrase))))
+    best = F.max_by(F.struct(F.col("tuv_id").alias("other_id"), F.col("plain").alias("other"), F.col("quality").alias("other_quality")), F.struct("quality", "updated_at", (-F.col("tuv_id")).alias("id")))
+    counterparts = live.where(F.col("__primary") == primary(other)).join(hits.select("priority", "tu_id").distinct(), ["priority", "tu_id"], "left_semi").groupBy("priority", "tu_id").agg(best.alias("x"))
+    order = [F.col("priority"), F.col("tuv_id").desc()]
+    found = hits.join(counterparts, ["priority", "tu_id"]).select("priority", "tu_id", "tuv_id", "plain", "x.*")
+    top = found.orderBy(*order).limit(limit + 1)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return ranked.withColumn("more", F.max("rank").over(Window.partitionBy()) > limit).where(F.col("rank") <= limit)
+
+
 def ranges_in(text: str, phrase: str) -> list[tuple[int, int]]:
     """Code-point ranges (end exclusive) of the phrase's whole-word occurrences, none overlapping."""
     plain = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.category(c).startswith("M")).lower()
@@ -61,14 +95,44 @@ def document_frequency(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select(F.explode(F.array_distinct(words)).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
+#: Bytes of query vectors that are held against all others at once.
+QUERY_BYTES = 16 << 20
+
+
 def top_by_dot(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` largest dot products for each query, exactly; a query isn't its own hit.
 
-    Queries are a stated set, held against all rows in one pass.
+    Queries are a stated set, held against all rows in blocks of bounded size:
+    each task keeps the ``k`` best of its rows for every query of the block.
     """
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("__q")))
-    dot = F.aggregate(F.zip_with(F.col(vector_col), F.col("__q"), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.join(q, F.col(id_col) != F.col("query_id")).select("query_id", id_col, dot.alias("dot"))
+    kind = dict(vectors.dtypes)[id_col]
+    size = queries.agg(F.max(F.size(vector_col)).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    blocks = max(1, -(-(size["n"] or 0) * (size["d"] or 1) * 8 // QUERY_BYTES))
+    dealt = queries.select(id_col, vector_col).withColumn("__block", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
+
+    def held(block: int) -> DataFrame:
+        rows = dealt.where(F.col("__block") == block).toArrow()
+        ids = rows[id_col].to_pylist()
+        q = np.array(rows[vector_col].to_pylist(), float).reshape(len(ids), -1)
+        place = {i: n for n, i in enumerate(ids)}
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not len(batch) or not ids:
+                    continue
+                own = batch.column(id_col).to_pylist()
+                dots = q @ np.array(batch.column(vector_col).to_pylist(), float).T
+                for col, i in enumerate(own):
+                    if i in place:
+                        dots[place[i], col] = -np.inf
+                # Ties at the last place all go on: ids decide later.
+                last = np.sort(dots, axis=1)[:, -min(k, len(own))]
+                row, col = np.nonzero((dots >= last[:, None]) & np.isfinite(dots))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row]), pa.array([own[c] for c in col]), pa.array(dots[row, col])], names=["query_id", id_col, "dot"])
+
+        return vectors.select(id_col, vector_col).mapInArrow(score, f"query_id {kind}, {id_col} {kind}, dot double")
+
+    scored = functools.reduce(DataFrame.unionByName, [held(b) for b in range(blocks)])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("dot").desc(), id_col))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

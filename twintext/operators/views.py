@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twintext.operators.qa import SEVERITY
+
 
 def panel_counts(issues: DataFrame, severities: tuple[str, ...] = (), rules: tuple[str, ...] = ()) -> DataFrame:
     """Counts by severity and by rule, each under the other one's choice (nothing chosen: all)."""
@@ -14,12 +16,42 @@ def panel_counts(issues: DataFrame, severities: tuple[str, ...] = (), rules: tup
     return by_severity.unionByName(by_rule)
 
 
+def panel_issues(issues: DataFrame, key: list[str], severities: tuple[str, ...] = (), rule: str | None = None, dismissed: bool = False) -> DataFrame:
+    """The issues that a panel lists, by place of their segment, the worst first, then in the order of the rules."""
+    rows = issues.where(F.col("severity").isin(*severities)) if severities else issues
+    rows = rows.where(F.col("rule") == rule) if rule else rows
+    rows = rows if dismissed or "dismissed" not in rows.columns else rows.where("not dismissed")
+    rank = F.array_position(F.lit(["info", "warning", "error"]).cast("array<string>"), F.col("severity"))
+    return rows.orderBy(*key, rank.desc(), F.array_position(F.lit(list(SEVERITY)).cast("array<string>"), F.col("rule")))
+
+
+def origin_counts(segments: DataFrame) -> DataFrame:
+    """Segments by origin, the empty one for none."""
+    return segments.groupBy(F.coalesce("origin", F.lit("")).alias("origin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def grid(segments: DataFrame, statuses: tuple[str, ...] = (), origin: str | None = None, marks: str = "any", text: str = "", open_id: int | None = None) -> DataFrame:
+    """Segments (id, status, origin, source, target, worst) that a filter shows; the open one always stays.
+
+    ``marks`` is any, flagged, errors or clean; ``text`` is looked for in
+    source and target, cases folded.
+    """
+    shown = F.col("status").isin(*statuses) if statuses else F.lit(True)
+    shown = shown & (F.coalesce("origin", F.lit("")) == origin if origin is not None else F.lit(True))
+    worst = F.col("worst")
+    shown = shown & {"any": F.lit(True), "flagged": worst.isNotNull(), "errors": F.coalesce(worst == "error", F.lit(False)), "clean": worst.isNull()}[marks]
+    if text:
+        holds = lambda c: F.coalesce(F.contains(F.lower(c), F.lower(F.lit(text))), F.lit(False))
+        shown = shown & (holds("source") | holds("target"))
+    return segments.where(shown if open_id is None else shown | (F.col("id") == open_id))
+
+
 def tier_forecast(words: DataFrame, rates: DataFrame, by: str) -> DataFrame:
     """Micros due per group (by, tier, words) under a rate card (tier, micros, currency).
 
     Null unless the priced tiers share one currency; unpriced words are counted.
     """
-    rows = words.groupBy(by, "tier").agg(F.sum("words").alias("words")).join(F.broadcast(rates), "tier", "left")
+    rows = words.groupBy(by, "tier").agg(F.sum("words").alias("words")).join(rates, "tier", "left")
     due = F.sum(F.col("words") * F.col("micros"))
     return rows.groupBy(by).agg(
         F.when(F.count_distinct("currency") == 1, due).cast("long").alias("micros_due"), F.when(F.count_distinct("currency") == 1, F.min("currency")).alias("currency"),

@@ -298,8 +298,11 @@ def status_counts(spark, d):
 
 
 def illegal_transitions(spark, d):
-    moves = spark.createDataFrame([("view", "click"), ("click", "purchase"), ("signup", "view"), ("view", "view")], "from_state string, to_state string")
-    return business.illegal_moves(table(spark, d, "events"), moves, "user_id", ["ts", "event_id"], "event_type").select("event_id", "from_state", "to_state")
+    """Users' events read as the states of an order."""
+    states = {"view": "submitted", "click": "approved", "signup": "in_progress", "purchase": "delivered", "error": "cancelled"}
+    state = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in states.items()])
+    log = table(spark, d, "events").withColumn("state", state)
+    return business.illegal_moves(log, business.order_moves(spark), "user_id", ["ts", "event_id"], "state").select("event_id", "from_state", "to_state")
 
 
 def progress(spark, d):

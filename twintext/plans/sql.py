@@ -166,8 +166,10 @@ SELECT vendor_id, count(*) AS answered, count(*) FILTER (status <> 'declined') A
 CASE WHEN s_acctbal >= 0 AND s_acctbal < 3000 THEN 'busy' END, CASE WHEN s_acctbal < 0 THEN 'away' END, CASE WHEN s_suppkey % 7 = 0 THEN 'not_in_client_pool' END], lambda x: x IS NOT NULL), ',') AS reasons FROM supplier, region""",
     "status_counts": """SELECT p.o_orderpriority, s.o_orderstatus, count(o.o_orderkey) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) p CROSS JOIN (VALUES ('O'), ('F'), ('P'), ('X')) s(o_orderstatus)
 LEFT JOIN orders o ON o.o_orderpriority = p.o_orderpriority AND o.o_orderstatus = s.o_orderstatus GROUP BY 1, 2""",
-    "illegal_transitions": """SELECT event_id, from_state, event_type AS to_state FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state FROM events)
-WHERE from_state IS NOT NULL AND from_state <> event_type AND (from_state, event_type) NOT IN (('view', 'click'), ('click', 'purchase'), ('signup', 'view'))""",
+    "illegal_transitions": """WITH e AS (SELECT *, CASE event_type WHEN 'view' THEN 'submitted' WHEN 'click' THEN 'approved' WHEN 'signup' THEN 'in_progress' WHEN 'purchase' THEN 'delivered' ELSE 'cancelled' END AS state FROM events)
+SELECT event_id, from_state, state AS to_state FROM (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state FROM e)
+WHERE from_state IS NOT NULL AND from_state <> state AND NOT (state = 'cancelled' AND from_state IN ('submitted', 'approved', 'in_progress'))
+AND (from_state, state) NOT IN (('submitted', 'approved'), ('approved', 'in_progress'), ('in_progress', 'delivered'))""",
     "progress": f"""WITH {LINES}, n AS (SELECT source, {words('line')} AS words, doc_id % 3 = 0 AS done FROM lines WHERE doc_id % 10 <> 9)
 SELECT source, count(*) FILTER (done) AS confirmed, count(*) AS segments, coalesce(sum(words) FILTER (done), 0)::BIGINT AS confirmed_words, sum(words)::BIGINT AS words FROM n GROUP BY source""",
     "next_open": f"""WITH {LINES} SELECT doc_id, ord, min(CASE WHEN (doc_id + ord) % 3 = 0 THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_open FROM lines""",
