@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twintext.llm import exact_dedup as module
-from twintext.llm.exact_dedup import drop_exact_duplicates, exact_dedup
+from twintext.llm.exact_dedup import DigestIndex, drop_exact_duplicates, exact_dedup
 
 ROWS = [(1, "a"), (2, "a"), (3, "b"), (4, None), (5, ""), (None, "a"), (None, "c"), (6, "x" * 100_000), (7, "x" * 100_000), (8, "é"), (8, "é"), (9, "A"), (3, "c")]
 
@@ -43,3 +43,24 @@ def test_drop_keeps_columns(spark):
     left = drop_exact_duplicates(docs, keep="max")
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.where("text = 'a'").collect()) == [2]
     assert exact_dedup(docs.limit(0)).collect() == []
+
+
+def test_filter_probes_and_runs(spark):
+    """Over several runs the filter lets every digest of several rows through, and few others."""
+    index = DigestIndex(spark)
+    rows = [(i, f"text {i % 900 if i % 3 else i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [index.flush(docs.where(f"doc_id % 3 = {k}"), "doc_id", "text") for k in range(3)]
+    index.compact()
+    n = {}
+    for _, t in rows:
+        n[t] = n.get(t, 0) + 1
+    probed = [r for run in runs for r in index.probe(run).collect()]
+    assert len(probed) == 3000 and all(r["__hit"] for r in probed if n[rows[r["__id"]][1]] > 1)
+    single = [r["__hit"] for r in probed if n[rows[r["__id"]][1]] == 1]
+    assert single and sum(single) < 0.2 * len(single)
+    found = {r["__id"]: (r["__keep"], r["__n"]) for run in runs for r in index.lookup(run).collect()}
+    least = {}
+    for i, t in rows:
+        least[t] = min(least.get(t, i), i)
+    assert found == {i: (least[t], n[t]) for i, t in rows}

@@ -1,11 +1,13 @@
 """Exact deduplication by a log-structured merge index of text digests.
 
 ``DigestIndex`` keeps ``(digest, id)`` entries. ``flush`` writes a batch as a
-level-0 run: files sorted by digest, with Parquet Bloom filters and min/max
-statistics on the digest, so that a point lookup opens few of them.
-``compact`` merges all runs into level 1, one row per digest with the
-identifier that stays. Hits are then compared byte by byte with the text that
-stays; should two texts share a digest, their group is split by the text.
+level-0 run of files sorted by digest. ``compact`` merges all runs into level
+1, one row per digest with the identifier that stays, and builds a filter of
+the digests that occur more than once. A lookup probes the filter first: a row
+that it rules out is the only one of its digest and reads nothing more; only
+hits are joined with level 1. Hits are then compared byte by byte with the
+text that stays; should two texts share a digest, their group is split by the
+text.
 
 Every group is aggregated in two steps, by ``(digest, shard)`` and by
 ``digest``, and results return to the rows through ``(digest, shard)``, so a
@@ -19,9 +21,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twintext.llm.storage import materialise, new_path, per_shard
+from twintext.llm.storage import join_checked, materialise, new_path, per_shard
 
 SHARDS = 256
+#: Bits of the filter for each digest that occurs more than once: about one other digest in 16 hits it.
+BITS_PER_DIGEST = 16
 #: Most digests with copies that are sent to every executor (32 bytes each).
 BROADCAST_DIGESTS = 100_000
 #: Copies compared with one replica of the text that stays.
@@ -59,8 +63,7 @@ class DigestIndex:
             docs.select(F.col(id_col).alias("__id"), text.alias("__text"))
             .select("__id", self.digest(F.col("__text")).alias("__digest"), self.shard(F.col("__id")).alias("__shard"), F.unhex(F.sha2("__text", 256)).alias("__sha"))
             .sortWithinPartitions("__digest")
-            .write.option("parquet.bloom.filter.enabled#__digest", "true")
-            .parquet(run)
+            .write.parquet(run)
         )
         self.runs.append(run)
         return self.spark.read.parquet(run)
@@ -71,13 +74,38 @@ class DigestIndex:
         by_shard = self.spark.read.parquet(*self.runs).groupBy("__digest", "__shard").agg(best("__id").alias("__keep"), F.count(F.lit(1)).alias("__n"))
         merged = by_shard.groupBy("__digest").agg(best("__keep").alias("__keep"), F.sum("__n").alias("__n"))
         path = new_path(self.spark, "lsm") if self.level1 is not None else f"{self.path}/level1"
-        merged.sortWithinPartitions("__digest").write.option("parquet.bloom.filter.enabled#__digest", "true").parquet(path)
+        merged.sortWithinPartitions("__digest").write.parquet(path)
         self.level1 = self.spark.read.schema(merged.schema).parquet(path)
+        self._build_filter()
         return self.level1
 
+    def _place(self) -> Column:
+        """A digest's place among the bits of the filter, from 1."""
+        return F.pmod(F.xxhash64("__digest"), F.lit(self.bits)) + 1
+
+    def _build_filter(self) -> None:
+        """Bitmaps by bucket: a bit for each digest of several rows."""
+        several = self.level1.where("__n > 1")
+        self.bits = BITS_PER_DIGEST * max(several.count(), 1)
+        rows = several.select(self._place().alias("x"))
+        maps = rows.groupBy(F.bitmap_bucket_number("x").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("__map"))
+        self.filter = materialise(maps, "lsm-filter")
+
+    def probe(self, rows: DataFrame) -> DataFrame:
+        """Adds ``__hit``: false only for rows whose digest no other row has."""
+        x = self._place()
+        rows = rows.withColumn("__bucket", F.bitmap_bucket_number(x)).withColumn("__bit", F.bitmap_bit_position(x))
+        found = join_checked(rows, self.filter, ["__bucket"], how="left", row_bytes=4096)
+        byte = F.conv(F.hex(F.substring(F.col("__map"), (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1, F.lit(False))
+        return found.withColumn("__hit", hit).drop("__bucket", "__bit", "__map")
+
     def lookup(self, run: DataFrame) -> DataFrame:
-        """Adds __keep and __n to the rows of a run, by (digest, shard)."""
-        return per_shard(run, self.level1, ["__digest"])
+        """Adds __keep and __n to the rows of a run; only hits of the filter meet level 1, by (digest, shard)."""
+        probed = self.probe(run)
+        alone = probed.where("not __hit").withColumn("__keep", F.col("__id")).withColumn("__n", F.lit(1).cast("long")).drop("__hit")
+        hits = probed.where("__hit").drop("__hit")
+        return alone.unionByName(per_shard(hits, self.level1, ["__digest"]).select(alone.columns))
 
 
 def _verified(index: DigestIndex, docs: DataFrame, hits: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,6 +117,8 @@ def _verified(index: DigestIndex, docs: DataFrame, hits: DataFrame, id_col: str,
     if few:
         rows = rows.join(F.broadcast(dups), "__digest")
     else:
+        # Only rows that the filter lets through bring their texts to the join.
+        rows = index.probe(rows).where("__hit").drop("__hit")
         rows = rows.join(per_shard(hits.select("__digest", "__shard").distinct(), dups, ["__digest"]), ["__digest", "__shard"])
     replicas = F.ceil(F.col("__n") / F.lit(COPIES_PER_REPLICA)).cast("int")
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__id", F.lit("salt")), replicas).cast("int"))
