@@ -21,7 +21,7 @@ BITS = 15
 ORDERS = (1, 2, 3)
 #: Expected number of documents per language that the model learns from, chosen by hash of the id.
 DOCS_PER_LANG = 2_000
-#: Most languages that a model tells apart: the most frequent ones.
+#: Most languages that a model tells apart (its table holds them times the buckets); more are an error.
 MAX_LANGS = 1_000
 UNKNOWN = "und"
 
@@ -107,7 +107,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, alpha: float = 0.5) -> LanguageModel:
     """Learns from rows with a language for which ``learn`` holds, about ``docs_per_lang`` of each language."""
     rows = docs.where(learn).where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__lang").limit(MAX_LANGS).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__lang").limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"a model tells at most {MAX_LANGS} languages apart")
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([], np.zeros((0, 1 << BITS)), np.zeros(0))
