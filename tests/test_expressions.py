@@ -67,6 +67,8 @@ def test_punctuation(spark):
 @pytest.mark.parametrize(("s", "t", "src", "tgt", "want"), [
     ("1,000.50 and 3", "1 000,50 et 3", "en", "fr", ([], [])), ("1,000", "1 000", "en", "en", ([], ["1,000"])), ("5 of 7", "5", "en", "de", (["7"], [])),
     ("2024-05-06", "06.05.2024", "en", "de", ([], [])), ("3.2.1", "3.2.1", "en", "de", ([], [])), ("", "4", "en", "de", ([], [])),
+    ("June 5, 2024", "05.06.2024", "en", "de", ([], [])), ("3 and 3", "3.2.1", "en", "de", ([], [])), ("On 03/12/2025, 40 people.", "Am 12.03.2025.", "en", "de", (["40"], [])), ("10 and 10", "10", "en", "en", (["10"], [])),
+    ("1,000", "10.00 and 1000", "en", "en", ([], [])), ("1.5", "1,5", "xx", "yy", ([], ["1.5"])), ("1'234.5", "1,234.5", "de_CH", "en", ([], [])),
 ])
 def test_numbers(s, t, src, tgt, want):
     assert qa.compare_numerals(s, t, src, tgt) == want

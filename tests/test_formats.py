@@ -60,7 +60,7 @@ def test_native_memory(spark, tmp_path):
     db.close()
     (tmp_path / "n.sdltm").write_bytes(b"no database")
     rows = readers.read_native_memory(spark, str(tmp_path / "*.sdltm")).orderBy("path").collect()
-    assert (rows[0].uuid, rows[0].src_lang, rows[0].source, rows[0].target) == ("g", "en-US", "Page 1", "") and rows[1].error
+    assert (rows[0].uuid, rows[0].src_lang, rows[0].source, rows[0].target) == ("g", "en-US", "Page 1", None) and rows[1].error
 
 
 def test_ooxml(spark, tmp_path):

@@ -25,7 +25,7 @@ PARITY = ('"', "“”„")
 CLOSERS = r"[\s\"'“”‘’«»‹›)\]}]+$"
 TERMINAL = ".!?…"
 ENUMERATOR = r"^\s*[0-9A-Za-z]{1,2}\)"
-SPACES = "[    ]"
+SPACES = "[ \u00a0\u202f\u2009]"
 FOLLOWER = r"(?=$|[\s\"'”’»)\]}.,;:!?…])"
 # Marks by language: no space before; a no-break space before; one after.
 SPACING = {"fr": (",.", ";:!?»", "«"), "fr-ca": (",.;", ":»", "«"), "fr-ch": (",.;", "", ""), "": (",.;:", "", "")}
@@ -42,7 +42,7 @@ def _by_tag(lang: str, tags: dict, primaries: dict, otherwise):
     return tags.get(tag, primaries.get(tag.split("-")[0], otherwise))
 
 
-NUMERAL = re.compile(r"[0-9]{1,3}(?:[   ][0-9]{3}(?![0-9]))+(?:[.,][0-9]+)?|[0-9]+(?:[.,'’][0-9]+)*")
+NUMERAL = re.compile(r"[0-9]{1,3}(?:[ \u00a0\u202f\u2009][0-9]{3}(?![0-9]))+(?:[.,][0-9]+)?|[0-9]+(?:[.,'’][0-9]+)*")
 
 
 def _count(text: Column, mark: str) -> Column:

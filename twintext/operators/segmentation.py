@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+import xml.etree.ElementTree as ET
 from dataclasses import dataclass
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from twintext.functions import tokens as K
+from twintext.sources.inline import cut
+
 # What ends a sentence, what trails it, and words with a dot that doesn't end one.
 TERMINATORS = ".!?…"
 SEPARATORS = "|"
@@ -27,6 +32,9 @@ ABBREVIATIONS = {
     "nl": "dhr mevr dr prof enz bijv d.w.z blz nr art",
     "ko": "", "vi": "",
 }
+#: Longest word that a dot is looked up with.
+LOOK_BACK = 40
+_GAP, _SPACES = re.compile("[ \\u00a0\\u202f]+"), re.compile(r"\s*")
 NUMBER_LED = frozenset(("no", "nr", "fig", "vol", "art", "núm", "pág", "n", "blz", "abs", "bd"))
 ORDINALS = frozenset(("de", "nl"))
 
@@ -68,8 +76,8 @@ def _after_trailing(text: str, at: int) -> int:
     while True:
         while at < len(text) and text[at] in TRAILING:
             at += 1
-        gap = re.match(r"[   ]+", text[at:])
-        mark = at + gap.end() if gap else at
+        gap = _GAP.match(text, at)
+        mark = gap.end() if gap else at
         if gap and text[mark : mark + 1] and text[mark] in SPACED_CLOSING and (mark + 1 == len(text) or text[mark + 1].isspace()):
             at = mark + 1
             continue
@@ -80,13 +88,14 @@ def _dot_is_inner(text: str, dot: int, after: int, start: int, rules: Rules) ->
     """Whether a dot belongs to a number, an initial or an abbreviation."""
     before = text[dot - 1 : dot]
     if before.isdigit():
-        if re.fullmatch(r"\s*[^\W\d_]+\s+\d+", text[start:dot]) and text[start:dot].strip()[:1].isupper():
+        if dot - start < 2 * LOOK_BACK and re.fullmatch(r"\s*[^\W\d_]+\s+\d+", text[start:dot]) and text[start:dot].strip()[:1].isupper():
             return True
         if rules.ordinals and text[after : after + 1].isalpha() and not text[after].isupper():
             return True
     if before.isupper() and not text[dot - 2 : dot - 1].isalpha():
         return True
-    word = re.search(r"[^\s(\[\"'«“„]*$", text[:dot])[0].lower()
+    # No abbreviation is longer than that.
+    word = re.search(r"[^\s(\[\"'«“„]*$", text[max(0, dot - LOOK_BACK) : dot])[0].lower()
     if word in rules.abbreviations:
         return word not in NUMBER_LED or text[after : after + 1].isdigit()
     return False
@@ -100,22 +109,23 @@ def boundaries(text: str, rules: Rules) -> list[int]:
             for m in re.finditer(f"(?:{before})(?={after})", text):
                 decided[m.end()] = keep
     found, i, n = [], 0, len(text)
-    while i < n:
+    first, last = n - len(text.lstrip()), len(text.rstrip()) - 1
+    # Only marks are looked at, not every character.
+    marks = re.compile("[" + re.escape(SEPARATORS + TERMINATORS + rules.extra) + "]")
+    while (mark := marks.search(text, i)) is not None:
+        i = mark.start()
         c = text[i]
         if c in SEPARATORS:
-            if text[:i].strip() and text[i + 1 :].strip():
+            if first < i < last:
                 found.append(i + 1)
             i += 1
             continue
-        if c not in TERMINATORS + rules.extra:
-            i += 1
-            continue
         end = i + 1
         while end < n and text[end] in TERMINATORS:
             end += 1
         run = text[i:end]
         at = _after_trailing(text, end)
-        after = at + len(text[at:]) - len(text[at:].lstrip())
+        after = _SPACES.match(text, at).end()
         choice = decided.get(at)
         if choice is None:
             inner = run == ".." or (run == "." and _dot_is_inner(text, i, after, found[-1] if found else 0, rules))
@@ -160,3 +170,99 @@ def split_at(rows: DataFrame, file_col: str, at: Column) -> DataFrame:
     w = Window.partitionBy(file_col).orderBy("ord", "part")
     out = rows.select("*", F.posexplode(parts).alias("part", "piece"))
     return out.withColumn("new_ord", F.row_number().over(w) - 1).drop("text", "part").withColumnRenamed("piece", "text")
+
+
+def segment_tokens(rows: DataFrame, key: list[str], tokens_col: str = "tokens", lang_col: str = "lang") -> DataFrame:
+    """Token streams cut at their sentences: key, ``ord`` within the stream, ``start`` (place in its visible text) and tokens.
+
+    Pairs that a cut goes through are closed and opened again; pieces without
+    text are dropped, and tags are numbered anew in each. A language without
+    rules isn't cut.
+    """
+    known = {lang: rules_for(lang) for lang in ABBREVIATIONS}
+
+    @F.pandas_udf(f"array<struct<start:int,tokens:{K.TOKENS}>>")
+    def split(streams: pd.Series, langs: pd.Series) -> pd.Series:
+        out = []
+        for stream, lang in zip(streams, langs, strict=True):
+            tokens = [(x["t"], x["v"], x["id"], x["k"]) for x in (stream if stream is not None else ())]
+            text = "".join(v if t == "text" else "￼" for t, v, _, _ in tokens if t in ("text", "ph"))
+            rules = known.get(re.split("[-_]", (lang or "").lower())[0])
+            pieces = cut(tokens, boundaries(text, rules) if rules else [])
+            out.append([{"start": start, "tokens": [dict(zip(("t", "v", "id", "k"), x, strict=True)) for x in piece]} for piece, start in pieces])
+        return pd.Series(out)
+
+    found = rows.select(*key, F.posexplode(split(F.col(tokens_col), F.col(lang_col))).alias("ord", "x"))
+    return found.select(*key, "ord", "x.start", "x.tokens")
+
+
+def merge_next(rows: DataFrame, file_col: str, chosen: Column) -> DataFrame:
+    """Joins each chosen segment with the next one of its paragraph and numbers the file anew.
+
+    ``rows`` has ord, para_key, tokens and status; a run of chosen segments
+    becomes one. Tags of the later part get ids beyond the first's. A segment
+    that is locked, or next to one that is, or the last of its paragraph,
+    stays as it is. What is joined is new again: no status, no origin.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(file_col).orderBy("ord")
+    same = F.lead("para_key").over(w).eqNullSafe(F.col("para_key")) & F.lead("ord").over(w).isNotNull()
+    free = (F.col("status") != "locked") & (F.lead("status").over(w) != "locked")
+    rows = rows.withColumn("__on", F.coalesce(chosen & same & free, F.lit(False)))
+    begins = ~F.coalesce(F.lag("__on").over(w), F.lit(False))
+    rows = rows.withColumn("__group", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    shift = F.coalesce(F.array_max(F.transform("tokens", lambda x: F.coalesce(x["id"], F.lit(0)))), F.lit(0))
+    part = F.struct("ord", "tokens", shift.alias("most"), "status", "para_key")
+    groups = rows.groupBy(file_col, "__group").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    state = F.struct(F.array().cast(K.TOKENS).alias("tokens"), F.lit(0).alias("most"))
+
+    def step(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["tokens"], lambda y: F.struct(y["t"].alias("t"), y["v"].alias("v"), (y["id"] + acc["most"]).cast("int").alias("id"), y["k"].alias("k")))
+        return F.struct(F.concat(acc["tokens"], moved).alias("tokens"), (acc["most"] + x["most"]).cast("int").alias("most"))
+
+    tokens = K.joined(F.aggregate("p", state, step, lambda acc: acc["tokens"]))
+    status = F.when(F.size("p") > 1, "new").otherwise(F.element_at("p", 1)["status"])
+    out = groups.select(file_col, F.element_at("p", 1)["ord"].alias("__ord"), F.element_at("p", 1)["para_key"].alias("para_key"), tokens.alias("tokens"), status.alias("status"), F.size("p").alias("parts"))
+    return out.withColumn("ord", F.row_number().over(Window.partitionBy(file_col).orderBy("__ord")) - 1).drop("__ord")
+
+
+_SRX = "{http://www.lisa.org/srx20}"
+
+
+def read_srx(content: str, lang: str) -> Rules:
+    """Rules of a language from an SRX file: the base rules with the file's patterns, which decide first.
+
+    A language is mapped by the first pattern that fits its tag; all that fit,
+    if the file cascades. A pattern that can't be compiled is refused.
+    """
+    root = ET.fromstring(content)
+    header = root.find(f"{_SRX}header")
+    cascade = header is not None and header.get("cascade") == "yes"
+    maps = [m for m in root.iter(f"{_SRX}languagemap") if re.fullmatch(m.get("languagepattern", ""), lang)]
+    names = [m.get("languagerulename") for m in (maps if cascade else maps[:1])]
+    breaks, keeps = [], []
+    for name in names:
+        for group in (g for g in root.iter(f"{_SRX}languagerule") if g.get("languagerulename") == name):
+            for rule in group.iter(f"{_SRX}rule"):
+                pair = tuple((rule.findtext(f"{_SRX}{x}") or "") for x in ("beforebreak", "afterbreak"))
+                for pattern in pair:
+                    re.compile(pattern)
+                (keeps if rule.get("break") == "no" else breaks).append(pair)
+    return rules_for(lang, breaks=tuple(breaks), keeps=tuple(keeps))
+
+
+def write_srx(rules: Rules) -> str:
+    """The rules' own patterns and abbreviations as an SRX file of one language."""
+    line = lambda how, before, after: f'<rule break="{how}"><beforebreak>{escape(before)}</beforebreak><afterbreak>{escape(after)}</afterbreak></rule>'
+    words = [line("no", rf"\b(?i:{re.escape(w)})\.", r"\s") for w in sorted(rules.abbreviations)]
+    body = [line("no", *x) for x in rules.keeps] + words + [line("yes", *x) for x in rules.breaks]
+    return (
+        '<?xml version="1.0" encoding="UTF-8"?><srx xmlns="http://www.lisa.org/srx20" version="2.0"><header segmentsubflows="yes" cascade="no"/><body><languagerules>'
+        f'<languagerule languagerulename="{rules.lang}">{"".join(body)}</languagerule></languagerules><maprules><languagemap languagepattern="{rules.lang}.*" languagerulename="{rules.lang}"/></maprules></body></srx>'
+    )
+
+
+def word_list(text: str) -> frozenset[str]:
+    """A list of words, one a line, as abbreviations; blank lines and comments (#) go."""
+    return frozenset(w.strip().rstrip(".").lower() for w in text.splitlines() if w.strip() and not w.startswith("#"))

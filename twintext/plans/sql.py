@@ -59,7 +59,7 @@ def _terminal(x: str) -> str:
     return f"regexp_matches(regexp_replace({x}, {_quoted(_CLOSERS.replace(chr(39) * 2, chr(39)))}, ''), '[.!?…]$')"
 
 
-_SP = "[    ]"
+_SP = "[ \u00a0\u202f\u2009]"
 LINE_PAIRS = f"""{LINES}, line_pairs AS (
   SELECT * FROM (SELECT doc_id, ord, line AS source, lead(line) OVER (PARTITION BY doc_id ORDER BY ord) AS target FROM lines) WHERE target IS NOT NULL)"""
 QA = f"""{LINE_PAIRS}, issues AS (
