@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from twintext.functions import tokens as K
 from twintext.operators import audit, business, glossary, matching, memory, qa, search, views
 from twintext.operators.segmentation import rules_for, segment_texts, sentences
+from twintext.plans import queries
 
 
 def levenshtein(a, b):
@@ -61,7 +63,7 @@ def test_term_candidates_leave_covered_words(spark):
 def test_tags(spark):
     tok = "array<struct<t:string,v:string,id:int>>"
     rows = spark.createDataFrame([(1, [("open", "", 1), ("text", "x", None), ("close", "", 1)], [("open", "", 1), ("close", "", 1)]), (2, [("ph", "", 3)], [("open", "", 1), ("open", "", 2), ("close", "", 1)])], f"k long, source_tokens {tok}, target_tokens {tok}")
-    assert sorted(tuple(r) for r in qa.tag_issues(rows, ["k"]).collect()) == [(2, "tag.extra"), (2, "tag.missing"), (2, "tag.unbalanced")]
+    assert sorted(tuple(r) for r in qa.tag_issues(rows, ["k"]).collect()) == [(2, "tag.extra", "error", "1,2"), (2, "tag.missing", "error", "3"), (2, "tag.unbalanced", "error", "interleaved 1; unclosed 1; unclosed 2")]
 
 
 def test_audit_chain(spark):
@@ -106,12 +108,6 @@ def test_segment_texts(spark):
 
 
 
-def test_remapped_tags(spark):
-    slot = "array<struct<slot:string,id:int>>"
-    rows = spark.createDataFrame([(1, [("open:b", 4), ("open:b", 9), ("ph:x", 2)], [("open:b", 1), ("ph:x", 2), ("open:b", 3)]), (2, [("open:b", 4)], [("open:i", 1)])], f"k long, s {slot}, t {slot}")
-    assert [r[0] for r in rows.orderBy("k").select(views.remapped(F.col("s"), F.col("t"))).collect()] == [[4, 2, 9], None]
-
-
 def test_highlights(spark):
     rows = spark.createDataFrame([(1, "Éa b! ea  B, eab ea-b"), (2, None), (3, "none")], "k long, x string").orderBy("k")
     got = [r[0] for r in rows.select(search.highlight_ranges(F.col("x"), "ea b")).collect()]
@@ -133,3 +129,103 @@ def test_earlier_memory_wins_ties_of_fuzzy_scores(spark):
     rows = spark.createDataFrame([(1, "one two three four five")], "k int, plain string")
     memory = spark.createDataFrame([(1, "one two three four six", 2, 5, "2024-02-01"), (2, "one two three four ten", 1, 0, "2024-01-01")], "tu_id long, plain string, priority int, quality int, updated_at string")
     assert [(r["tu_id"], r["rank"]) for r in matching.fuzzy_match(rows, memory, ["k"]).orderBy("rank").collect()] == [(2, 1), (1, 2)]
+
+
+def test_fuzzy_by_language_and_tags(spark):
+    """Against all pairs: languages must agree, numerals and tags cost."""
+    r = random.Random(9)
+    text = lambda: " ".join(r.choice(["a", "b", "c", "d", "1", "2", "3.5"]) for _ in range(r.randint(1, 9)))
+    slots = lambda: [r.choice(["open:b", "ph:br"]) for _ in range(r.randint(0, 3))]
+    left = [(str(i), text(), r.choice(["en-GB", "de"]), slots()) for i in range(30)]
+    right = [(str(i), text(), r.choice(["en", "de_AT", "fr"]), slots()) for i in range(30)]
+    df = lambda rows, key: spark.createDataFrame(rows, f"{key} string, plain string, lang string, slots array<string>")
+    got = {(x["a"], x["b"]): x["score"] for x in matching.fuzzy_pairs(df(left, "a"), df(right, "b"), 60, ("lang",)).collect()}
+    number = lambda w: w[0].isdigit()
+    want = {}
+    for i, a, la, sa in left:
+        for j, b, lb, sb in right:
+            x, y = a.split(), b.split()
+            n = max(len(x), len(y))
+            d = levenshtein(["#" if number(w) else w for w in x], ["#" if number(w) else w for w in y])
+            misses = sum(p != q for p, q in zip(filter(number, x), filter(number, y), strict=False))
+            tags = sum(abs(sa.count(k) - sb.count(k)) for k in {*sa, *sb})
+            score = min(99, 100 * (n - d) // n - 2 * misses - min(5, tags))
+            if la[:2] == lb[:2] and score >= 60:
+                want[i, j] = score
+    assert got == want and want
+    with pytest.raises(ValueError):
+        matching.fuzzy_pairs(df(left, "a"), df(right, "b"), 49)
+
+
+def test_pairs_of_very_many_words(spark, monkeypatch):
+    monkeypatch.setattr(matching, "ALPHABET", "".join(chr(0x4E00 + i) for i in range(12)))
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    other = words[:54] + ["x", "y", "z"] + words[57:]
+    rows = lambda key, *texts: spark.createDataFrame([(str(i), " ".join(t)) for i, t in enumerate(texts)], f"{key} string, plain string")
+    got = matching.fuzzy_pairs(rows("a", words, words[:6]), rows("b", other, words[:5], words[1:]), 50).collect()
+    assert {(x["a"], x["b"]): x["score"] for x in got} == {("0", "0"): 95, ("0", "2"): 98, ("1", "1"): 83}
+
+
+def test_cascade_with_tags_siblings_and_languages(spark):
+    bold, plain = [("open", None, 1, None), ("text", "one two three four", None, None), ("close", None, 1, None)], [("text", "one two three four", None, None)]
+    formats = [(1, "b", True, "inline", "<b>", "</b>")]
+    base = (False, False, False, "en")
+    rows = [(1, "one two three four", bold, formats, *base), (2, "one two three four", plain, [], *base), (3, "one two three four", plain, [], False, True, False, "en"), (4, "one two three four", plain, [], False, False, True, "en"), (5, "one two three four", plain, [], False, False, False, "de"), (6, "one two three five", plain, [], *base)]
+    df = spark.createDataFrame([(k, p, p, t, f, c, s, x, lang) for k, p, t, f, c, s, x, lang in rows], f"k int, plain string, hash string, tokens {K.TOKENS}, formats {K.FORMATS}, confirmed boolean, sibling boolean, protected boolean, lang string")
+    memory = spark.createDataFrame([(9, "one two three four", "one two three four", 1, 3, "x", "en-US", [("open", None, 1, "i"), ("text", "eins", None, None), ("close", None, 1, None)])], f"tu_id long, plain string, hash string, priority int, quality int, updated_at string, lang string, tokens {K.TOKENS}")
+    got = {r.k: (r.outcome, r.origin, r.status) for r in matching.pretranslate(df, memory, ["k"], langs=("lang",)).collect()}
+    assert got == {1: ("tagdiff", "tm_exact_tagdiff", "draft"), 2: ("exact", "tm_exact", "translated"), 3: ("skipped", None, None), 4: ("skipped", None, None), 5: ("unmatched", None, None), 6: ("fuzzy", "tm_fuzzy_75", "draft")}
+    assert {r.k for r in matching.pretranslate(df, memory, ["k"], None, ("lang",)).where("outcome = 'unmatched'").collect()} == {5, 6}
+
+
+def test_queries_of_the_cascade(spark, tmp_path):
+    """Whole memories, by brute force over small tables."""
+    r = random.Random(12)
+    line = lambda: " ".join(r.choice("alpha beta gamma delta eps zeta".split()) for _ in range(r.randint(2, 7)))
+    pool = [line() for _ in range(25)]
+    docs = [(i, "\n".join(r.choice(pool) if r.random() < 0.7 else line() for _ in range(4)), r.choice(["en", "de"]), f"s{i % 2}") for i in range(30)]
+    items, good = [(i, r.choice(pool)) for i in range(6)], {i for i in range(30) if i % 4 == 0}
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, int(i in good)) for i, *_ in docs], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    segments = [(i, k, x, lang) for i, t, lang, _ in docs for k, x in enumerate(t.split("\n"))]
+    units = [(i, t, "en", 1, 3, "2024-01-01") for i, t in items] + [(i * 100_000 + k + 1_000_000, x, lang, 2, i % 5, "2024-02-01") for i, k, x, lang in segments if i in good]
+    score = lambda a, b: min(99, 100 * (max(len(a), len(b)) - levenshtein(a, b)) // max(len(a), len(b)))
+    best = {}
+    for text, lang in {(x, lang) for _, _, x, lang in segments}:
+        hits = [(-score(text.split(), u[1].split()), u[3], -u[4], [-ord(c) for c in u[5]], u[0]) for u in units if u[2] == lang]
+        best[text, lang] = [(h[4], -h[0], n) for n, h in enumerate(sorted(h for h in hits if -h[0] >= 75)[:3], 1)]
+    want = sorted((i, k, *hit) for i, k, x, lang in segments for hit in best[x, lang])
+    assert sorted((x.doc_id, x.ord, x.tu_id, x.score, x["rank"]) for x in queries.fuzzy_match(spark, str(tmp_path)).collect()) == want
+    exact, donors = {(u[1], u[2]) for u in units}, {(x, lang) for i, _, x, lang in segments if i % 3 == 0}
+    outcome, tiers = {}, {}
+    for i, _, x, lang in segments:
+        o = "skipped" if i % 3 == 0 else "exact" if (x, lang) in exact else "propagated" if (x, lang) in donors else "fuzzy" if best[x, lang] else "unmatched"
+        n = len(x.split())
+        c, w = outcome.get(o, (0, 0))
+        outcome[o] = (c + 1, w + n)
+        if o != "skipped":
+            s = best[x, lang][0][1] if o == "fuzzy" else 0
+            tier = "exact" if o in ("exact", "propagated") else "fuzzy_95_99" if s >= 95 else "fuzzy_85_94" if s >= 85 else "fuzzy_75_84" if s >= 75 else "no_match"
+            tiers[tier] = tiers.get(tier, 0) + n
+    assert {x.outcome: (x.segments, x.words) for x in queries.pretranslate_summary(spark, str(tmp_path)).collect()} == outcome
+    assert {x.tier: x.words for x in queries.tier_analysis(spark, str(tmp_path)).collect()} == tiers
+
+
+def test_plural_groups_may_differ(spark):
+    rows = [(1, "s", "a", 1), (2, "s", "b", 1), (3, "t", "c", 2), (4, "t", "d", 2), (5, "t", "e", None), (6, "u", "f", None), (7, "u", "f", None), (8, "v", "f", 3), (9, "x", "g", None), (10, "x", "h", None)]
+    df = spark.createDataFrame(rows, "k int, source string, target string, unit_group int")
+    want = set()
+    for k, s, t, g in rows:
+        for k2, s2, t2, g2 in rows:
+            if k != k2 and not (g is not None and g == g2):
+                want |= {(k, "consistency.target_differs")} if s == s2 and t != t2 else set()
+                want |= {(k, "consistency.source_differs")} if t == t2 and s != s2 else set()
+    assert {tuple(x) for x in qa.inconsistent(df, ["k"], ["unit_group"]).collect()} == want
+
+
+def test_audit_snapshots(spark):
+    log = spark.createDataFrame([(i, "u1", "name", i % 2, f"d{i}") for i in range(6)], "id long, actor string, actor_label string, tenant_id int, detail string")
+    after = audit.erased(log, "u1").where("id <> 2").withColumn("detail", F.when(F.col("id") == 4, "x").otherwise(F.col("detail")))
+    assert {tuple(x) for x in audit.forbidden_changes(log, after).collect()} == {(2, "deleted"), (4, "updated")}
+    assert [x.id for x in audit.page_of(log, 1, 5, 1).collect()] == [3]

@@ -96,13 +96,13 @@ def ambiguous_siblings(rows: DataFrame, file_col: str = "doc_id", group_col: str
 def words_distance(a: Column, b: Column, limit: Column | int | None = None) -> Column:
     """Levenshtein distance over words, -1 beyond ``limit``: each distinct word of the pair becomes one character.
 
-    A pair of more distinct words than there are characters is an error here;
+    A pair of more distinct words than there are characters gives null here;
     ``fuzzy_pairs`` measures such pairs word by word.
     """
     words = F.array_distinct(F.concat(a, b))
     coded = lambda x: F.array_join(F.transform(x, lambda w: F.substr(F.lit(ALPHABET), F.array_position(words, w).cast("int"), F.lit(1))), "")
     found = F.levenshtein(coded(a), coded(b)) if limit is None else F.call_function("levenshtein", coded(a), coded(b), F.lit(limit).cast("int") if isinstance(limit, int) else limit.cast("int"))
-    return F.when(F.size(words) <= len(ALPHABET), found).otherwise(F.raise_error(F.lit("a pair has too many distinct words")).cast("int"))
+    return F.when(F.size(words) <= len(ALPHABET), found)
 
 
 def _long_distance(a: list[str], b: list[str], limit: int) -> int:

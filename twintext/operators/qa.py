@@ -212,7 +212,7 @@ def _differing(pairs: DataFrame, key: list[str], group: list[str], same: str, ot
     high = Window.partitionBy(same).orderBy(F.col("hi").desc(), "__own")
     ends = each.withColumn("i", F.row_number().over(low)).withColumn("j", F.row_number().over(high)).where("i <= 2 or j <= 2")
     ends = ends.groupBy(same).agg(F.array_sort(F.collect_list(F.struct("lo", "__own"))).alias("lows"), F.sort_array(F.collect_list(F.struct("hi", "__own")), asc=False).alias("highs"))
-    outside = lambda c, v: F.filter(c, lambda x: x["__own"] != F.col("__own"))[0][v]
+    outside = lambda c, v: F.try_element_at(F.filter(c, lambda x: x["__own"] != F.col("__own")), F.lit(1))[v]
     return rows.join(ends, same).where((outside("lows", "lo") != F.col(other)) | (outside("highs", "hi") != F.col(other))).select(*key)
 
 
