@@ -159,9 +159,11 @@ def _threshold(least: int) -> int:
 def fuzzy_pairs(left: DataFrame, right: DataFrame, least: int = 75, langs: tuple[str, ...] = ()) -> DataFrame:
     """All pairs of texts (left: a, plain; right: b, plain) that score at least ``least``: a, b, score.
 
-    A prefix filter: within the distance that ``least`` allows, two texts share
-    one of their L + 1 rarest words, L being the largest number of edits, so
-    only those are joined. No pair is lost. ``langs`` are columns of both
+    A prefix filter: an edit changes at most q runs of q words, so two texts
+    within the distance that ``least`` allows share one of their rarest runs,
+    of so many that the others could be missing. Pairs of neighbouring words
+    are used where the texts are long enough for that, single words elsewhere.
+    No pair is lost. ``langs`` are columns of both
     sides whose primary subtags must agree. With ``slots`` (tags as role and
     kind; left also ``all_slots``) on both sides tags count.
     """
@@ -176,23 +178,40 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: int = 75, langs: tuple
 
     l, r = prepare(left, "a"), prepare(right, "b")  # noqa: E741
 
+    # From so many words on, two texts within the threshold share a pair of neighbouring words.
+    edits = lambda n: n * (100 - least) // 100
+    from_ = next((k for k in range(2, 200) if all(n - 1 - 2 * edits(n) >= 1 for n in range(k, 1000))), None) if least > 50 else None
+
     def tokens(df: DataFrame, key: str) -> DataFrame:
-        """Equal words of a text are different tokens: the word and how many came before."""
-        counted = df.select(key, *on, F.size("w").alias("n"), F.explode("w").alias("word")).groupBy(key, *on, "n", "word").agg(F.count(F.lit(1)).alias("times"))
-        return counted.select(key, *on, "n", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i"), "word").select(key, *on, "n", F.xxhash64("word", "i", *on).alias("token"))
+        """Single words (q 1) of texts that can meet a short one, pairs of neighbours (q 2) of all others.
+
+        Equal ones of a text are different tokens: the token and how many came before.
+        """
+        n = F.size("w")
+        single = F.transform("w", lambda x: F.xxhash64(x))
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.xxhash64(F.get(F.col("w"), i - 1), F.get(F.col("w"), i)))
+        kinds = [F.when(n < (from_ * 100 // least + 1 if from_ else 1 << 30), F.struct(F.lit(1).alias("q"), single.alias("x")))]
+        kinds += [F.when(n >= from_, F.struct(F.lit(2).alias("q"), pairs.alias("x")))] if from_ else []
+        rows = df.select(key, *on, n.alias("n"), F.explode(F.array_compact(F.array(*kinds))).alias("k")).select(key, *on, "n", "k.q", F.explode("k.x").alias("x"))
+        counted = rows.groupBy(key, *on, "n", "q", "x").agg(F.count(F.lit(1)).alias("times"))
+        return counted.select(key, *on, "n", "q", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i"), "x").select(key, *on, "n", "q", F.xxhash64("q", "x", "i", *on).alias("token"))
 
     lt, rt = materialise(tokens(l, "a"), "fuzzy-tokens", compression="zstd"), materialise(tokens(r, "b"), "fuzzy-tokens", compression="zstd")
     # Tokens of one side alone join nothing, but hold their places among the rarest.
     df = materialise(lt.select("token").unionByName(rt.select("token")).groupBy("token").count(), "fuzzy-counts")
 
     def prefixes(t: DataFrame, key: str) -> DataFrame:
-        edits = F.expr(f"((n * 100) div {least}) * {100 - least} div 100")
-        rarest = F.row_number().over(Window.partitionBy(key).orderBy("count", "token"))
-        ranked = t.join(df, "token").withColumn("__rank", rarest).where((F.col("__rank") <= edits + 1) & (F.col("count") > 1))
-        return ranked.select(key, "token", F.col("n").alias(f"n_{key}"))
+        # Of a text's tokens so many can be missing from a partner, whatever its length.
+        partner = F.sequence(F.col("n"), F.floor(F.col("n") * 100 / least).cast("int"))
+        missing = F.array_max(F.transform(partner, lambda m: F.col("n") - m + F.col("q") * F.floor(m * F.lit(100 - least) / 100)))
+        rarest = F.row_number().over(Window.partitionBy(key, "q").orderBy("count", "token"))
+        ranked = t.join(df, "token").withColumn("__rank", rarest).where((F.col("__rank") <= missing + 1) & (F.col("count") > 1))
+        return ranked.select(key, "token", F.col("q").alias(f"q_{key}"), F.col("n").alias(f"n_{key}"), (F.col("n") - F.col("q") + 2 - F.col("__rank")).alias(f"left_{key}"))
 
     near = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {least}"
-    candidates = prefixes(lt, "a").join(prefixes(rt, "b"), "token").where(near).select("a", "b").distinct()
+    # If this is the first token that both have, no more than what follows it is shared.
+    enough = f"least(left_a, left_b) >= greatest(n_a, n_b) - q_a + 1 - q_a * (greatest(n_a, n_b) * {100 - least} div 100)"
+    candidates = prefixes(lt, "a").join(prefixes(rt, "b"), "token").where(near).where(enough).select("a", "b").distinct()
     r2 = r.select("b", F.col("w").alias("w2"), F.col("num").alias("num2"), *[F.col("slots").alias("slots2")] * tagged)
     pairs = candidates.join(l.drop(*on), "a").join(r2, "b")
     if tagged:
