@@ -93,13 +93,14 @@ def ambiguous_siblings(rows: DataFrame, file_col: str = "doc_id", group_col: str
     return rows.where(F.col(group_col).isNotNull()).withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1")
 
 
-def words_distance(a: Column, b: Column, limit: Column | int | None = None) -> Column:
+def words_distance(a: Column, b: Column, limit: Column | int | None = None, words: Column | None = None) -> Column:
     """Levenshtein distance over words, -1 beyond ``limit``: each distinct word of the pair becomes one character.
 
     A pair of more distinct words than there are characters gives null here;
-    ``fuzzy_pairs`` measures such pairs word by word.
+    ``fuzzy_pairs`` measures such pairs word by word. ``words`` is a column of
+    the pair's distinct words: with it they are not found anew for each word.
     """
-    words = F.array_distinct(F.concat(a, b))
+    words = F.array_distinct(F.concat(a, b)) if words is None else words
     coded = lambda x: F.array_join(F.transform(x, lambda w: F.substr(F.lit(ALPHABET), F.array_position(words, w).cast("int"), F.lit(1))), "")
     found = F.levenshtein(coded(a), coded(b)) if limit is None else F.call_function("levenshtein", coded(a), coded(b), F.lit(limit).cast("int") if isinstance(limit, int) else limit.cast("int"))
     return F.when(F.size(words) <= len(ALPHABET), found)
@@ -218,11 +219,14 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: int = 75, langs: tuple
         both = K.slot_difference(F.col("slots"), F.col("slots2"))
         pairs = pairs.withColumn("__tags", F.least(both, K.slot_difference(F.col("all_slots"), F.col("slots2"))) if "all_slots" in pairs.columns else both)
     tags = F.col("__tags") if tagged else 0
-    pairs = materialise(pairs, "fuzzy-candidates", compression="zstd")
-    big = F.size(F.array_distinct(F.concat("w", "w2"))) > len(ALPHABET)
+    pairs = materialise(pairs.withColumn("__words", F.array_distinct(F.concat("w", "w2"))), "fuzzy-candidates", compression="zstd")
+    big = F.size("__words") > len(ALPHABET)
     limit = edit_limit(F.col("w"), F.col("w2"), least)
     sides = ("w", "w2", "num", "num2")
-    plain = pairs.where(~big).select("a", "b", score(*[F.col(c) for c in sides], least, tags).alias("score"))
+    within = words_distance(F.col("w"), F.col("w2"), limit, F.col("__words"))
+    # Written, so that the distance is computed once.
+    measured = materialise(pairs.where(~big).withColumn("__d", within).where("__d >= 0"), "fuzzy-measured", compression="zstd")
+    plain = measured.select("a", "b", scored(F.col("__d"), *[F.col(c) for c in sides], least, tags).alias("score"))
     long = pairs.where(big).withColumn("__d", _long_distances("w", "w2", limit)).select("a", "b", scored(F.col("__d"), *[F.col(c) for c in sides], least, tags).alias("score"))
     found = plain.unionByName(long) if pairs.where(big).limit(1).count() else plain
     return found.where(F.col("score").isNotNull())
