@@ -51,15 +51,15 @@ def test_xliff_export(spark, tmp_path):
 
 
 def test_native_memory(spark, tmp_path):
-    db = sqlite3.connect(tmp_path / "m.sdltm")
+    db = sqlite3.connect(tmp_path / "m.db")
     db.execute("CREATE TABLE translation_memories (id INTEGER, source_language TEXT, target_language TEXT)")
     db.execute("CREATE TABLE translation_units (id INTEGER, guid TEXT, source_segment TEXT, target_segment TEXT)")
     db.execute("INSERT INTO translation_memories VALUES (1, 'en-US', 'de-DE')")
     db.execute("INSERT INTO translation_units VALUES (1, 'g', '<Segment><Elements><Tag><Type>Start</Type></Tag><Text><Value>Page </Value></Text><Text><Value>1</Value></Text></Elements></Segment>', '<broken')")
     db.commit()
     db.close()
-    (tmp_path / "n.sdltm").write_bytes(b"no database")
-    rows = readers.read_native_memory(spark, str(tmp_path / "*.sdltm")).orderBy("path").collect()
+    (tmp_path / "n.db").write_bytes(b"no database")
+    rows = readers.read_native_memory(spark, str(tmp_path / "*.db")).orderBy("path").collect()
     assert (rows[0].uuid, rows[0].src_lang, rows[0].source, rows[0].target) == ("g", "en-US", "Page 1", None) and rows[1].error
 
 

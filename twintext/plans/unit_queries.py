@@ -10,6 +10,7 @@ from twintext.functions import tokens as K
 from twintext.operators import audit, business, glossary, matching, search, units, views
 from twintext.plans.queries import KEY, hashed_lines, line_pairs, page_pairs, page_tokens, qa_issues, table
 from twintext.plans.sql import HASHED, LINE_PAIRS, QA, words
+from twintext.stages import materialise
 
 def token_text(spark: SparkSession, d: str) -> DataFrame:
     p, t, f = page_tokens(spark, d), F.col("tokens"), F.col("formats")
@@ -26,8 +27,10 @@ def placed_matches(spark, d):
     """The next page's tokens as a memory's, placed on each page."""
     pairs = page_pairs(spark, d)
     memory = K.to_memory(F.col("target_tokens"), F.col("target_formats"))
-    placed = pairs.select("page_id", K.place_match(memory, F.col("tokens"), F.col("formats")).alias("p"), K.slot_difference(K.slots(K.without_hidden(F.col("tokens"), F.col("formats")), F.col("formats")), K.slots(memory)).alias("difference"))
-    return placed.select("page_id", F.col("p.tags_matched").alias("tags_matched"), "difference")
+    pairs = materialise(pairs.select("page_id", "tokens", "formats", memory.alias("memory")), "page-pairs")
+    t, f = F.col("tokens"), F.col("formats")
+    placed = pairs.select("page_id", K.place_match(F.col("memory"), t, f).alias("p"), K.slot_difference(K.slots(K.without_hidden(t, f), f), K.slots(F.col("memory"))).alias("difference"))
+    return materialise(placed, "placed").select("page_id", F.col("p.tags_matched").alias("tags_matched"), "difference")
 
 
 def confirmed_context(spark, d):
