@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twintext.llm.conversations import damaged, repair
 from twintext.llm.decontaminate import contamination
 from twintext.llm.exact_dedup import exact_dedup
 from twintext.llm.lang_id import fit_language, identify_language
@@ -92,8 +93,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    found = repair(damaged(conversations), copies_col="copies")
+    out = conversations.select("conv_id").distinct()
+    for part in (found.summary(), found.digests()):
+        part = part.withColumnRenamed("conv_id", "__id")
+        out = out.join(part, out["conv_id"].eqNullSafe(part["__id"]), "left").drop("__id")
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_quality, op4_language, op5_toxicity, op6_secret_scan, op7_url_filter, op8_mixing, op9_repeat_removal, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_quality, op4_language, op5_toxicity, op6_secret_scan, op7_url_filter, op8_mixing, op9_repeat_removal, op10_near_dedup, op13_conversation_repair)}
 
 
 _OP1 = """
