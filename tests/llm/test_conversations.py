@@ -97,7 +97,7 @@ def test_long_conversation_spans_blocks_and_partitions(spark, monkeypatch, block
 def test_repaired_turns_are_a_dialogue(spark):
     rows = [(1, 0, "system", "Be brief."), (1, 1, "assistant", "Hello."), (1, 2, "assistant", "Hello."), (1, 3, "user", "Bye")]
     found = repair(spark.createDataFrame(rows, SCHEMA).withColumn("part", F.lit("x")).withColumn("edit", F.lit("y")))
-    assert found.summary().collect()[0]["audit"] == "KRDR" or found.summary().collect()[0]["audit"]
+    assert found.summary().collect()[0]["audit"] == plain([r[1:] for r in rows])[6]
     turns = [(r.role, r.text) for r in found.turns().orderBy("part", "line", "item").collect()]
     assert re.fullmatch("(s?(ua)+)?", "".join(r[0] for r, _ in turns)) and turns[0] == ("system", "Be brief.")
 
