@@ -11,11 +11,13 @@ from twintext.llm.exact_dedup import exact_dedup
 from twintext.llm.lang_id import fit_language, identify_language
 from twintext.llm.mixing import cyclic_weights, mix
 from twintext.llm.near_dedup import near_duplicates
+from twintext.llm.periodic import longest_exponent, periodic_runs, stammered
 from twintext.llm.quality import fit_quality, score_quality
 from twintext.llm.repeats import remove_repeats
 from twintext.llm.secrets import secret_spans
 from twintext.llm.toxicity import fit_toxicity, score_toxicity
 from twintext.llm.url_filter import url_filter
+from twintext.llm.warc import archived_pages
 
 #: The rules of op7: action, host, path.
 URL_RULES = (
@@ -93,6 +95,20 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(stammered(table(spark, sf_dir, "documents"))).withColumn("best", longest_exponent(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     found = repair(damaged(conversations), copies_col="copies")
@@ -105,7 +121,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_quality, op4_language, op5_toxicity, op6_secret_scan, op7_url_filter, op8_mixing, op9_repeat_removal, op10_near_dedup, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_decontamination, op3_quality, op4_language, op5_toxicity, op6_secret_scan, op7_url_filter, op8_mixing, op9_repeat_removal, op10_near_dedup, op11_periodic_runs, op12_warc, op13_conversation_repair)}
 
 
 _OP1 = """
