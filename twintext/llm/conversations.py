@@ -181,7 +181,9 @@ def _paths(blocks: DataFrame) -> DataFrame:
     ))
     paths = paths.withColumn("seams", seams).withColumn("paths", F.aggregate("blocks", zero, through))
     p = F.col("paths")
-    paths = paths.withColumn("best", F.least(ended(p["n"], 0, ""), ended(p["a"], 0, ""), ended(p["u"], INSERT, "I"), ended(p["s"], 2 * INSERT, "II")))
+    best = _let(p, lambda p: F.least(ended(p["n"], 0, ""), ended(p["a"], 0, ""), ended(p["u"], INSERT, "I"), ended(p["s"], 2 * INSERT, "II")))
+    # A table, so that the lambdas below read what is computed once.
+    paths = materialise(paths.withColumn("best", best).drop("paths"), "best-paths")
     total = lambda field: F.aggregate("seams", F.lit(0), lambda acc, x: acc + x[field])
     pieces = F.transform("blocks", lambda b, i: F.struct(
         b["pid"].alias("__pid"), b["sub"].alias("__sub"), F.get(F.col("best.audit"), i).alias("piece"), F.get(F.col("best.states"), i).alias("state"),
@@ -197,16 +199,20 @@ def _edits(blocks: DataFrame, paths: DataFrame) -> DataFrame:
     """A row per block with ``edits``: its turns in order, each with its part of the audit (``I*[KRD]``) and the output turns before it."""
     pieces = paths.select("__conv", F.explode("pieces").alias("p")).select("__conv", "p.*")
     both = blocks.select("__conv", "__pid", "__sub", "spans", "turns").join(pieces, ["__conv", "__pid", "__sub"])
-    both = both.withColumn("ops", F.regexp_extract_all("piece", F.lit("I*[KRD]"), F.lit(0)))
-    # The end of the conversation belongs to its last turn.
-    both = both.withColumn("ops", F.transform("ops", lambda op, i: F.when(i == F.size("ops") - 1, F.concat(op, "end")).otherwise(op)))
-    out = F.zip_with("turns", "ops", lambda t, op: F.struct(t.alias("turn"), op.alias("op")))
-    both = both.withColumn("edits", out)
-    opening = F.get(F.filter("edits", lambda e: e["op"] != "D"), F.lit(0))
-    shift = F.when(F.col("state") == STATES.index("u"), 1).when((F.col("state") == STATES.index("n")) & opening["op"].startswith("K") & (opening["turn"]["initial"] == "s"), 1).otherwise(0)
-    before = lambda i: F.length(F.replace(F.array_join(F.slice("ops", F.lit(1), i), ""), F.lit("D"), F.lit("")))
-    edits = F.transform("edits", lambda e, i: F.struct(e["turn"].alias("turn"), e["op"].alias("op"), (before(i) + F.col("shift")).alias("at")))
-    return both.withColumn("shift", shift).select("__conv", "__pid", "__sub", "spans", edits.alias("edits"))
+
+    def placed(ops: Column) -> Column:
+        edits = F.zip_with("turns", ops, lambda t, op: F.struct(t.alias("turn"), op.alias("op")))
+        opening = F.get(F.filter(edits, lambda e: e["op"] != "D"), F.lit(0))
+        system = (F.col("state") == STATES.index("n")) & opening["op"].startswith("K") & (opening["turn"]["initial"] == "s")
+        shift = F.when((F.col("state") == STATES.index("u")) | system, 1).otherwise(0)
+        before = lambda i: F.length(F.replace(F.array_join(F.slice(ops, F.lit(1), i), ""), F.lit("D"), F.lit("")))
+        at = lambda n: F.transform(edits, lambda e, i: F.struct(e["turn"].alias("turn"), e["op"].alias("op"), (before(i) + n).alias("at")))
+        return _let(shift, at)
+
+    # The end of the conversation belongs to its last turn. What a lambda reads is bound first, or each element would compute it anew.
+    ops = F.regexp_extract_all("piece", F.lit("I*[KRD]"), F.lit(0))
+    ended = lambda raw: F.transform(raw, lambda op, i: F.when(i == F.size(raw) - 1, F.concat(op, "end")).otherwise(op))
+    return both.select("__conv", "__pid", "__sub", "spans", _let(ops, lambda raw: _let(ended(raw), placed)).alias("edits"))
 
 
 def _hashed(chunked: bool):
