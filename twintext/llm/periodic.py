@@ -193,7 +193,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranges = ranges.withColumn("__last", F.col("__first") + span - 1).repartition("__digest", "__first")
     runs = ranges.select("__digest", "__text", "__first", "__last").mapInArrow(_ranges, f"__digest string, runs array<{_RUN}>")
     runs = runs.groupBy("__digest").agg(F.flatten(F.collect_list("runs")).alias("__runs"))
-    sharded = long.withColumn("__shard", F.spark_partition_id() % SHARDS)
+    sharded = long.withColumn("__shard", F.pmod(F.xxhash64("__id"), F.lit(SHARDS)))
     whole = per_shard(sharded, runs, ["__digest"]).select("__id", "__text", "__runs").mapInArrow(_finish, out)
     return short.unionByName(whole).withColumnRenamed("__id", id_col)
 

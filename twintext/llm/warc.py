@@ -39,6 +39,8 @@ SEGMENT = 4 << 20
 MIN_BYTES = 0
 #: Shards of the rows of one payload, where the payloads are too many to broadcast.
 SHARDS = 64
+#: Where a file begins that is read in one piece.
+WHOLE = -1
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("9d2f2c1e-5a0b-4c53-8f0e-2a4f7e1b6c55")
@@ -134,7 +136,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     if groups.count() * 128 <= BROADCAST_BYTES:
         rows = rows.join(F.broadcast(groups), "digest", "left")
     else:
-        rows = rows.withColumn("__shard", F.spark_partition_id() % SHARDS)
+        rows = rows.withColumn("__shard", F.pmod(F.xxhash64("id", "url"), F.lit(SHARDS)))
         dealt = per_shard(rows.select("digest", "__shard").distinct(), groups, ["digest"])
         rows = rows.join(dealt, ["digest", "__shard"], "left")
     response = F.col("keep").isNull() | F.col("id").eqNullSafe(F.col("keep"))
@@ -184,7 +186,7 @@ class _Walk:
         self.open = None  # the decoder of a member that has not ended
         self.data: list[bytes] = []
         self.raw: list[bytes] = []
-        self.started = False
+        self.started = self.named = False  # a member has ended in this range; the open one's header is read
 
     def _rest(self, kind: str, raws: list[bytes]) -> list[dict]:
         self.seq += 1
@@ -202,7 +204,7 @@ class _Walk:
 
     def add(self, piece: bytes) -> list[dict]:
         if self.open is None:
-            self.open = zlib.decompressobj(31)
+            self.open, self.named = zlib.decompressobj(31), False
         self.raw.append(MAGIC + piece)
         try:
             self.data.append(self.open.decompress(MAGIC + piece))
@@ -211,6 +213,7 @@ class _Walk:
         got = self.data[0] if len(self.data[0]) >= len(VERSION) else b"".join(self.data)[: len(VERSION)]
         if not (got.startswith(VERSION) or VERSION.startswith(got)):
             return self._refuse()
+        self.named = got.startswith(VERSION)
         if not self.open.eof:
             return []
         if not got or self.open.unused_data.strip(b"\0"):
@@ -221,7 +224,8 @@ class _Walk:
 
     def end(self) -> list[dict]:
         raws, self.open = self.raw, None
-        return self._rest("begun", raws)
+        # What comes behind a whole member begins one, however little of it is here.
+        return self._rest("begun" if self.started or self.named else "rest", raws)
 
 
 def _rows(found: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -245,11 +249,12 @@ def _scan(payloads: bool):
                     out += walk.end() if walk else []
                     walk = _Walk(file, begin)
                     # Before the first magic of a file there is nothing.
-                    if begin == 0:
-                        if piece.strip(b"\0"):
-                            raise ValueError(f"{file} does not begin with a gzip member")
-                        continue
-                for row in walk.add(piece):
+                    pieces = piece.split(MAGIC) if begin == WHOLE else [piece]
+                    if begin <= 0 and pieces.pop(0).strip(b"\0"):
+                        raise ValueError(f"{file} does not begin with a gzip member")
+                else:
+                    pieces = [piece]
+                for row in (row for p in pieces for row in walk.add(p)):
                     size += len(row["payload"] or row["raw"] or b"")
                     out.append(row if payloads else row | {"payload": None})
                 if size >= SEGMENT:
@@ -263,18 +268,21 @@ def _scan(payloads: bool):
 
 
 def _glue(payloads: bool):
-    """A member whose parts lie in several ranges."""
+    """Members whose parts lie in several ranges."""
     schema = _arrow(_FOUND)
 
     def run(table: pa.Table) -> pa.Table:
         parts = table.sort_by([("begin", "ascending"), ("seq", "ascending")])
-        raw = b"".join(parts["raw"].to_pylist())
-        decoder = zlib.decompressobj(31)
-        data = decoder.decompress(raw)
-        if not decoder.eof or decoder.unused_data.strip(b"\0"):
-            raise ValueError(f"{parts['file'][0]} is damaged in the range from {parts['begin'][0]}")
-        row = _record(data)
-        return pa.Table.from_pylist([row if payloads else row | {"payload": None}], schema)
+        raw, out = b"".join(parts["raw"].to_pylist()), []
+        while raw:
+            decoder = zlib.decompressobj(31)
+            data = decoder.decompress(raw)
+            if not decoder.eof:
+                raise ValueError(f"{parts['file'][0]} is damaged in the range from {parts['begin'][0]}")
+            row = _record(data)
+            out.append(row if payloads else row | {"payload": None})
+            raw = decoder.unused_data.lstrip(b"\0")
+        return pa.Table.from_pylist(out, schema)
 
     return run
 
@@ -302,15 +310,16 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     ``payloads=False``). Payloads are checked against their digests; damaged
     archives are an error.
 
-    Names that end in ``.gz`` keep Spark from splitting a file; such ones are
-    read in one task each, member by member. Payloads that hold whole archives
+    Spark's text source would unpack files whose name ends in ``.gz``; these
+    are read whole, in one task each (at most 2 GiB). Payloads that hold whole archives
     uncompressed could pass for records at the start of a range, and are found
     as damage.
     """
     options = {"lineSep": MAGIC.decode("latin-1"), "encoding": "ISO-8859-1"}
-    # Members are decoded here, not by the text source.
-    options |= {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec", "io.compress.passthrough.extension": ".gz"}
-    pieces = spark.read.options(**options).text(path).select(F.col("value").cast("binary").alias("piece"), F.input_file_name().alias("file"), F.input_file_block_start().alias("begin"))
+    text = spark.read.options(**options, pathGlobFilter="{*[!z],*[!g]z,*[!.]gz}").text(path)
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    pieces = text.select(F.col("value").cast("binary").alias("piece"), F.input_file_name().alias("file"), F.input_file_block_start().alias("begin"))
+    pieces = pieces.unionByName(whole.select(F.col("content").alias("piece"), F.col("path").alias("file"), F.lit(WHOLE).cast("bigint").alias("begin")))
     found = materialise(pieces.mapInArrow(_scan(payloads), _FOUND), "records")
     # The few ends of ranges: each begun member goes on in the rests behind it.
     ends = found.where("kind in ('begun', 'rest')").select("file", "begin", "seq", "kind", "raw")
