@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twintext.functions import text as T
 from twintext.operators.qa import SEVERITY
 
 
@@ -88,9 +89,9 @@ def quote_lines(lines: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def term_entries(variants: DataFrame, preferred: DataFrame) -> DataFrame:
-    """Terms with their preferred rendering, alternatives and forbidden ones by language."""
+    """Terms with their preferred rendering, alternatives and forbidden ones by primary language."""
     chosen = preferred.select("term_id", "lang", F.col("variant_id").alias("preferred"))
-    rows = variants.join(chosen, ["term_id", "lang"], "left")
+    rows = variants.withColumn("lang", T.primary_subtag(F.col("lang"))).join(chosen, ["term_id", "lang"], "left")
     other = F.when(~F.col("forbidden") & (F.col("variant_id") != F.col("preferred")), F.col("variant_id"))
     out = rows.groupBy("term_id", "lang").agg(F.max("preferred").alias("preferred"), F.array_sort(F.collect_set(other)).alias("a"), F.array_sort(F.collect_set(F.when(F.col("forbidden"), F.col("variant_id")))).alias("f"))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")

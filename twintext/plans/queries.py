@@ -209,24 +209,48 @@ def term_mismatch(spark, d):
 
 
 def _decisions(spark, d):
+    """Events as a glossary's decisions: mostly exceptions, now and then a ruling, in two languages with a region each."""
     e = table(spark, d, "events")
-    kind = F.when(F.col("event_type") == "error", "deprecation").when(F.col("event_type") == "click", "segment_exception").otherwise("choice")
-    return e.select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("term_id"), F.when(F.col("event_id") % 2 == 0, "de").otherwise("fr").alias("lang"), (F.col("event_id") % 5).alias("variant_id"), kind.alias("kind"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("decided_at"), F.col("user_id").alias("segment"))
+    i = F.col("event_id")
+    kind = F.when(i % 40 == 0, "deprecation").when(i % 30 == 1, "choice").when(i % 30 == 7, "override").otherwise("segment_exception")
+    lang = F.when(i % 4 == 0, "de").when(i % 4 == 1, "fr").when(i % 4 == 2, "de-AT").otherwise("fr_CA")
+    return e.select(i.alias("id"), (F.col("user_id") % 40).alias("term_id"), lang.alias("lang"), F.concat(F.lit("r"), i % 5).alias("chosen"), kind.alias("kind"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("decided_at"), F.when(i % 11 != 0, F.col("event_type")).alias("project"), F.col("user_id").alias("segment"))
+
+
+def _variants(x):
+    """A rendering for each text that was chosen in a language; some are forbidden."""
+    seen = x.groupBy("term_id", "lang", F.col("chosen").alias("plain")).agg(F.min("id").alias("variant_id"))
+    return seen.withColumn("forbidden", F.col("variant_id") % 4 == 0)
 
 
 def preferred_variant(spark, d):
     x = _decisions(spark, d)
-    variants = x.select("term_id", "lang", "variant_id").distinct().withColumn("forbidden", (F.col("term_id") + F.col("variant_id")) % 4 == 0)
-    return glossary.preferred_variant(variants, x)
+    return glossary.preferred_variant(_variants(x), x)
 
 
 def exception_proposals(spark, d):
-    return glossary.exception_proposals(_decisions(spark, d), 2)
+    x = _decisions(spark, d)
+    return glossary.exception_proposals(x, _variants(x), x.select("term_id", (F.col("term_id") % 13 == 0).alias("deleted")).distinct())
+
+
+def _flag_inputs(spark, d):
+    e = table(spark, d, "events")
+    key = F.col("user_id") % 200
+    rendering = F.when(key % 3 == 0, "click").otherwise(F.col("event_type"))
+    found = e.where("user_id % 7 <> 0").select(key.alias("term_key"), rendering.alias("rendering_key"), (F.col("value") / 500).alias("confidence"))
+    keys = e.select(key.alias("term_key")).distinct()
+    return keys, found, keys.where("term_key % 5 = 0").select("term_key", F.when(F.col("term_key") % 2 == 0, "click").otherwise("view").alias("preferred_key"))
 
 
 def flag_terms(spark, d):
-    e = table(spark, d, "events").select((F.col("user_id") % 200).alias("term_key"), F.col("event_type").alias("rendering_key"), (F.col("value") / 100).alias("confidence"))
-    return glossary.flag_terms(e).select("term_key", "renderings", F.array_join("reasons", ",").alias("reasons"))
+    out = glossary.flag_terms(*_flag_inputs(spark, d))
+    return out.select("term_key", "renderings", F.array_join("reasons", ",").alias("reasons"))
+
+
+def flag_unaligned(spark, d):
+    keys, _, decided = _flag_inputs(spark, d)
+    out = glossary.flag_terms(keys, None, decided)
+    return out.select("term_key", "renderings", F.array_join("reasons", ",").alias("reasons"))
 
 
 def changed_words(spark, d):
@@ -379,8 +403,7 @@ def quote_lines(spark, d):
 
 def term_entries(spark, d):
     x = _decisions(spark, d)
-    variants = x.select("term_id", "lang", "variant_id").distinct().withColumn("forbidden", (F.col("term_id") + F.col("variant_id")) % 4 == 0)
-    return views.term_entries(variants, glossary.preferred_variant(variants, x))
+    return views.term_entries(_variants(x), glossary.preferred_variant(_variants(x), x))
 
 
 def stale_scan(spark, d):
@@ -405,7 +428,7 @@ def pair_choices(spark, d):
 _ALL = (
     normalize_hash, word_counts, repetition_analysis, exact_match, propagation, segment_context, context_match, ambiguous_siblings, fuzzy_match, pretranslate_summary, tier_analysis,
     concordance, term_document_frequency, vector_topk, unembedded, memory_merge, write_back_upsert, memory_languages, qa_issues, qa_inverted, qa_numbers, qa_marks, qa_consistency,
-    qa_rule_counts, qa_tags, term_candidates, term_mismatch, preferred_variant, exception_proposals, flag_terms, changed_words, client_rates, order_estimate, deadline_agenda, notices_due,
+    qa_rule_counts, qa_tags, term_candidates, term_mismatch, preferred_variant, exception_proposals, flag_terms, flag_unaligned, changed_words, client_rates, order_estimate, deadline_agenda, notices_due,
     tier_payable, currency_totals, vendor_record, eligibility, status_counts, illegal_transitions, progress, next_open, payment_ledger, membership_union, fold_export, find_replace,
     grid_filter, csv_cells, audit_chain, panel_counts, tier_forecast, draft_selection, source_preview, quote_lines, term_entries, stale_scan, segment_sentences, tmx_export, pair_choices,
 )

@@ -72,9 +72,18 @@ QA = f"""{LINE_PAIRS}, issues AS (
     WHERE trim(target, ' ') <> '' AND (regexp_matches(target, '{_SP}{{2,}}') OR regexp_matches(target, '{_SP}[,;:]') OR regexp_matches(target, '{_SP}\\.([^.]|$)')))"""
 
 DECISIONS = """decisions AS (
-  SELECT event_id AS id, user_id % 40 AS term_id, CASE WHEN event_id % 2 = 0 THEN 'de' ELSE 'fr' END AS lang, event_id % 5 AS variant_id,
-         CASE event_type WHEN 'error' THEN 'deprecation' WHEN 'click' THEN 'segment_exception' ELSE 'choice' END AS kind,
-         strftime(ts, '%Y-%m-%d %H:%M:%S') AS decided_at, user_id AS segment FROM events)"""
+  SELECT *, string_split_regex(lower(lang), '[-_]')[1] AS primary_lang FROM (
+    SELECT event_id AS id, user_id % 40 AS term_id, CASE event_id % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'fr' WHEN 2 THEN 'de-AT' ELSE 'fr_CA' END AS lang, 'r' || (event_id % 5) AS chosen,
+           CASE WHEN event_id % 40 = 0 THEN 'deprecation' WHEN event_id % 30 = 1 THEN 'choice' WHEN event_id % 30 = 7 THEN 'override' ELSE 'segment_exception' END AS kind,
+           strftime(ts, '%Y-%m-%d %H:%M:%S') AS decided_at, CASE WHEN event_id % 11 <> 0 THEN event_type END AS project, user_id AS segment FROM events)),
+variants AS (SELECT *, variant_id % 4 = 0 AS forbidden FROM (SELECT term_id, lang, primary_lang, chosen AS plain, min(id) AS variant_id FROM decisions GROUP BY ALL)),
+rulings AS (SELECT term_id, primary_lang, chosen, max(decided_at) AS decided_at, max(id) AS id FROM decisions WHERE kind NOT IN ('deprecation', 'segment_exception') GROUP BY ALL),
+preferred AS (SELECT * FROM (
+  SELECT v.*, r.decided_at, row_number() OVER (PARTITION BY v.term_id, v.primary_lang ORDER BY r.decided_at DESC NULLS LAST, r.id DESC NULLS LAST, v.variant_id) AS place
+  FROM variants v LEFT JOIN rulings r ON r.term_id = v.term_id AND r.primary_lang = v.primary_lang AND r.chosen = v.plain WHERE NOT forbidden) WHERE place = 1)"""
+_FLAGS = """keys AS (SELECT DISTINCT user_id % 200 AS term_key FROM events),
+entries AS (SELECT term_key, CASE WHEN term_key % 2 = 0 THEN 'click' ELSE 'view' END AS preferred FROM keys WHERE term_key % 5 = 0),
+renderings AS (SELECT user_id % 200 AS term_key, CASE WHEN user_id % 200 % 3 = 0 THEN 'click' ELSE event_type END AS rendering, max(value / 500) AS confidence FROM events WHERE user_id % 7 <> 0 GROUP BY 1, 2)"""
 
 
 def _xml(x: str) -> str:
@@ -132,15 +141,19 @@ SELECT coalesce(o.o_orderkey, c.o_orderkey) AS o_orderkey, coalesce(c.plain, o.p
     "qa_consistency": f"""WITH {LINE_PAIRS}, t AS (SELECT doc_id, ord, lower(source) AS source, lower(target) AS target FROM line_pairs)
 SELECT doc_id, ord, 'consistency.target_differs' AS rule FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.source = t.source AND u.target <> t.target)
 UNION ALL SELECT doc_id, ord, 'consistency.source_differs' FROM t WHERE EXISTS (SELECT 1 FROM t u WHERE u.target = t.target AND u.source <> t.source)""",
-    "preferred_variant": f"""WITH {DECISIONS}, v AS (SELECT DISTINCT term_id, lang, variant_id FROM decisions WHERE (term_id + variant_id) % 4 <> 0),
-d AS (SELECT term_id, lang, variant_id, max((decided_at, id)) AS last FROM decisions WHERE kind = 'choice' GROUP BY 1, 2, 3)
-SELECT term_id, lang, variant_id, last[1] AS decided_at FROM (
-  SELECT v.*, d.last, row_number() OVER (PARTITION BY v.term_id, v.lang ORDER BY d.last DESC NULLS LAST, v.variant_id) AS r FROM v LEFT JOIN d USING (term_id, lang, variant_id)) WHERE r = 1""",
-    "exception_proposals": f"""WITH {DECISIONS}, o AS (SELECT term_id, lang, variant_id, max(id) AS last FROM decisions WHERE kind <> 'segment_exception' GROUP BY 1, 2, 3)
-SELECT term_id, lang, variant_id, count(DISTINCT segment) AS segments FROM decisions LEFT JOIN o USING (term_id, lang, variant_id)
-WHERE kind = 'segment_exception' AND (last IS NULL OR id > last) GROUP BY 1, 2, 3 HAVING count(DISTINCT segment) >= 2""",
-    "flag_terms": """SELECT term_key, renderings, array_to_string(list_filter([CASE WHEN renderings >= 2 THEN 'inconsistent' END, CASE WHEN confidence < 0.7 THEN 'uncertain' END, CASE WHEN renderings = 0 THEN 'unaligned' END], lambda x: x IS NOT NULL), ',') AS reasons
-FROM (SELECT user_id % 200 AS term_key, count(DISTINCT event_type) AS renderings, max(value / 100) AS confidence FROM events GROUP BY 1)""",
+    "preferred_variant": f"WITH {DECISIONS} SELECT term_id, primary_lang AS lang, variant_id, plain, decided_at FROM preferred",
+    "exception_proposals": f"""WITH {DECISIONS}
+SELECT d.term_id, d.lang, d.chosen, p.plain AS preferred, count(DISTINCT d.project || chr(31) || d.segment) AS segments
+FROM decisions d JOIN variants v ON v.term_id = d.term_id AND v.lang = d.lang AND v.plain = d.chosen AND NOT v.forbidden
+JOIN preferred p ON p.term_id = d.term_id AND p.primary_lang = d.primary_lang AND p.variant_id <> v.variant_id
+WHERE d.kind = 'segment_exception' AND d.project IS NOT NULL AND d.segment IS NOT NULL AND d.term_id % 13 <> 0
+  AND d.id > coalesce((SELECT max(r.id) FROM decisions r WHERE r.term_id = d.term_id AND r.primary_lang = d.primary_lang AND r.kind <> 'segment_exception'), 0)
+GROUP BY ALL HAVING segments >= 3""",
+    "flag_terms": f"""WITH {_FLAGS}, g AS (
+  SELECT r.term_key, count(*) AS renderings, max(confidence) AS confidence, coalesce(bool_or(rendering <> preferred), FALSE) AS other FROM renderings r LEFT JOIN entries USING (term_key) GROUP BY r.term_key)
+SELECT term_key, renderings, concat_ws(',', CASE WHEN renderings >= 2 THEN 'inconsistent' WHEN confidence < 0.7 THEN 'uncertain' END, CASE WHEN other THEN 'glossary_mismatch' END) AS reasons
+FROM g WHERE renderings >= 2 OR confidence < 0.7 OR other""",
+    "flag_unaligned": f"WITH {_FLAGS} SELECT term_key, 0::BIGINT AS renderings, 'unaligned' AS reasons FROM keys WHERE term_key NOT IN (SELECT term_key FROM entries)",
     "changed_words": f"""WITH {HASHED}, known AS (SELECT DISTINCT hash FROM hashed WHERE doc_id % 2 = 0), n AS (SELECT source AS file, hash, {words('line')} AS words FROM hashed WHERE doc_id % 2 = 1)
 SELECT file, sum(words)::BIGINT AS words, coalesce(sum(words) FILTER (hash NOT IN (SELECT hash FROM known)), 0)::BIGINT AS changed FROM n GROUP BY file""",
     "client_rates": """WITH n AS (SELECT n_nationkey AS pair, n_nationkey * 0.01::DOUBLE AS rate, n_regionkey * 5.0::DOUBLE AS minimum FROM nation),
@@ -186,7 +199,7 @@ FROM v WHERE tu_id % 9 <> 0""",
     "pair_choices": "SELECT a.lang AS src, b.lang AS tgt FROM (SELECT DISTINCT lang FROM documents) a, (SELECT DISTINCT lang FROM documents) b WHERE a.lang <> b.lang",
 }
 
-_PREFERRED, _MISMATCH, _ESTIMATE = SQL["preferred_variant"], SQL["term_mismatch"], SQL["order_estimate"]
+_MISMATCH, _ESTIMATE = SQL["term_mismatch"], SQL["order_estimate"]
 SQL |= {
     "panel_counts": f"""WITH {QA} SELECT 'severity' AS facet, severity AS value, count(*) AS n FROM issues WHERE rule IN ('punct.brackets', 'punct.terminal') GROUP BY 1, 2
 UNION ALL SELECT 'rule', rule, count(*) FROM issues WHERE severity = 'warning' GROUP BY 1, 2""",
@@ -198,9 +211,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id, ord) AS r
 SELECT doc_id, ord, sha256(plain) AS plain, sha256(context) AS context FROM r WHERE r = 1""",
     "source_preview": f"""WITH {LINES} SELECT doc_id, segments, place, text FROM (SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS segments, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS place, sha256(line) AS text FROM lines) WHERE place <= 3""",
     "quote_lines": f"WITH e AS ({_ESTIMATE}) SELECT * FROM e WHERE order_id % 3 <> 0",
-    "term_entries": f"""WITH {DECISIONS}, v AS (SELECT DISTINCT term_id, lang, variant_id, (term_id + variant_id) % 4 = 0 AS forbidden FROM decisions), p AS (SELECT * FROM ({_PREFERRED}))
-SELECT v.term_id, v.lang, max(p.variant_id) AS preferred, coalesce(string_agg(v.variant_id, ',' ORDER BY v.variant_id) FILTER (NOT forbidden AND v.variant_id <> p.variant_id), '') AS alternatives,
-       coalesce(string_agg(v.variant_id, ',' ORDER BY v.variant_id) FILTER (forbidden), '') AS forbidden FROM v LEFT JOIN p ON p.term_id = v.term_id AND p.lang = v.lang GROUP BY 1, 2""",
+    "term_entries": f"""WITH {DECISIONS}
+SELECT v.term_id, v.primary_lang AS lang, max(p.variant_id) AS preferred, coalesce(string_agg(v.variant_id, ',' ORDER BY v.variant_id) FILTER (NOT v.forbidden AND v.variant_id <> p.variant_id), '') AS alternatives,
+       coalesce(string_agg(v.variant_id, ',' ORDER BY v.variant_id) FILTER (v.forbidden), '') AS forbidden
+FROM variants v LEFT JOIN preferred p ON p.term_id = v.term_id AND p.primary_lang = v.primary_lang GROUP BY 1, 2""",
     "stale_scan": f"""WITH f AS (SELECT * FROM ({_MISMATCH}) WHERE found IS NOT NULL), n AS (SELECT count(*) AS total FROM f) SELECT conv_id, turn, term, kind, found, total, total > 500 AS truncated FROM (SELECT * FROM f ORDER BY conv_id, turn, term LIMIT 500), n""",
 }
 
