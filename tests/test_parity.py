@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 from twintext.plans import queries as first
-from twintext.plans import sql, unit_queries
+from twintext.plans import project_queries, sql, unit_queries
 
 SF = "/root/testdata/sf0.001"
-queries = lambda: first.queries() | unit_queries.queries()
-oracle_sql = lambda: sql.oracle_sql() | unit_queries.oracle_sql()
+queries = lambda: first.queries() | unit_queries.queries() | project_queries.queries()
+oracle_sql = lambda: sql.oracle_sql() | unit_queries.oracle_sql() | project_queries.oracle_sql()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
