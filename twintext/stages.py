@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -29,10 +32,83 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Removes a query's shuffle files once it has ended; what it wrote needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and
-    a lost executor costs no recomputation."""
+    a lost executor costs no recomputation. The shuffle files of the write go."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the tables that are written inside, but for those given to what it yields; these belong to the scope around.
+
+    For steps whose results are tables themselves: nothing that is still to be
+    computed may read what goes.
+    """
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._stage_path)
+        return df
+
+    _scopes.append([])
+    try:
+        yield keep
+    except BaseException:
+        _scopes.pop()
+        raise
+    for path in _scopes.pop():
+        if path in kept:
+            if _scopes:
+                _scopes[-1].append(path)
+        else:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table of ``materialise`` that nothing reads any more."""
+    for scope in _scopes:
+        if df._stage_path in scope:
+            scope.remove(df._stage_path)
+    _remove(df.sparkSession, df._stage_path)
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Adds the place (from 1) of each row within ``by``, in order; without ``by`` within all rows.
+
+    Rows are dealt by ranges of key and order, numbered within each partition,
+    and shifted by what earlier partitions hold of the same key. So a key of
+    any size is spread, and no task sees more than a partition.
+    """
+    dealt = rows.repartitionByRange(*by, *order).withColumn("__pid", F.spark_partition_id())
+    dealt = materialise(dealt, "ranges")
+    local = dealt.withColumn("__n", F.row_number().over(Window.partitionBy(*by, "__pid").orderBy(*order)))
+    counts = dealt.groupBy(*by, "__pid").agg(F.count(F.lit(1)).alias("__count"))
+    before = F.sum("__count").over(Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__pid").alias("__at"), F.coalesce(before, F.lit(0)).alias("__shift"))
+    same = F.col("__pid") == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return local.join(shifts, same).select(*rows.columns, (F.col("__n") + F.col("__shift")).alias(name))
