@@ -1,10 +1,12 @@
 """Secret spans, URL rules and mixing against plain Python."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from twintext.llm.mixing import cyclic_weights, mix
+from twintext.llm.mixing import mixed_documents, cyclic_weights, mix
 from twintext.llm.queries import URL_RULES
 from twintext.llm.secrets import EXAMPLE_OWNERS, EXAMPLE_REPOS, KINDS, OPAQUE, secret_spans
 from twintext.llm.url_filter import url_filter
@@ -103,3 +105,16 @@ def test_mix(spark):
     again = mix(docs.repartition(7), cyclic_weights(docs), keep=("source",)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
     assert mix(docs.limit(0), cyclic_weights(docs.limit(0))).collect() == []
+
+
+def test_mixed_documents_are_those_that_the_mix_takes(spark):
+    rng = random.Random(8)
+    rows = [(i % 50 if i % 9 else None, "w " * rng.choice([0, 1, 3, 3, 7]) + rng.choice("ab"), rng.choice(["a", "b", "c", None, "d"])) for i in range(400)] + [(1, None, "a")] + [(77, "same text", "b")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x")).withColumn("extra", F.lit(1))
+    weights = cyclic_weights(docs)
+    want = sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mix(docs, weights).where("taken > 0").collect()), key=repr)
+    got = mixed_documents(docs, weights)
+    assert got.columns == ["doc_id", "text", "source", "extra", "size", "source_size", "target", "taken"]
+    assert sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got.collect()), key=repr) == want
+    assert all(len((r.text or "").split()) == r.size for r in got.collect())
+    assert mixed_documents(docs.where("false"), weights).collect() == []

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twintext.llm.storage import materialise
+from twintext.llm.storage import BROADCAST_BYTES, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Positions have 60 bits; those above this one name the range of a source in which documents are put in order (1024 ranges).
@@ -81,19 +81,29 @@ def mix(
     as many words as the documents together. Returns one row per document: the
     id, ``size`` (words), ``source_size``, ``target`` (words that its source
     should give), ``taken`` (words taken, repetitions counted) and the columns
-    named in ``keep``.
+    named in ``keep``; ``mixed_documents`` gives whole documents.
 
     A null text has size 0, as an empty one; such documents are never taken. A
     null source is a source of its own. A source without a weight gets none. Repeated rows
     are documents of their own, the order of equal ones being without
     consequence. Empty tables give an empty result.
     """
+    placed = _placed(_sized(docs, id_col, text_col, source_col, seed, keep), weights, source_col, max_epochs)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - F.col("__start")))
+    taken = F.col("__whole") * F.col("size") + part
+    return placed.select(F.col("__id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"__keep_{c}").alias(c) for c in keep])
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = docs.select(
-        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"),
-        _position(F.col(id_col), seed).alias("__pos"), *[F.col(c).alias(f"__keep_{c}") for c in keep],
-    ).withColumn("__bucket", F.shiftright("__pos", BUCKET_SHIFT).cast("int"))
-    if not keep:
-        rows = materialise(rows, "mix-sizes")
+        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"), _position(F.col(id_col), seed).alias("__pos"),
+        *[F.col(c).alias(f"__keep_{c}") for c in keep],
+    )
+    return materialise(rows.withColumn("__bucket", F.shiftright("__pos", BUCKET_SHIFT).cast("int")), "mix-sizes")
+
+
+def _placed(rows: DataFrame, weights: DataFrame, source_col: str, max_epochs: float) -> DataFrame:
+    """Sized rows with what their source gives (source_size, target, __whole, __rest) and the words before them in its order (__start)."""
     in_buckets = materialise(rows.groupBy("__source", "__bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     sizes = in_buckets.groupBy("__source").agg(F.sum("words").alias("size"))
     given = weights.select(F.col(source_col).alias("__name"), F.col("weight").cast("double").alias("weight"))
@@ -108,7 +118,40 @@ def mix(
     buckets = buckets.join(targets, F.col("__source").eqNullSafe(F.col("__name"))).drop("__name").withColumnRenamed("__source", "__of").withColumnRenamed("__bucket", "__in")
     placed = rows.join(buckets, F.col("__source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__in")))
     inside = Window.partitionBy("__source", "__bucket").orderBy("__pos", "__id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - start))
-    taken = F.col("__whole") * F.col("size") + part
-    return placed.select(F.col("__id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"__keep_{c}").alias(c) for c in keep])
+    return placed.withColumn("__start", F.col("__before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+
+
+def mixed_documents(
+    docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: float = 3.0, seed: int = 0,
+) -> DataFrame:
+    """The documents that ``mix`` takes words of, all columns, with ``size``, ``source_size``, ``target`` and ``taken``.
+
+    A source's documents are taken in one order up to a cut, so each row is
+    judged by its own place and its source's cut: texts are neither joined by
+    id nor sorted. Of rows with the id and size of the cut those of the least
+    text digest come first. Columns of these names are replaced.
+    """
+    rows = materialise(_placed(_sized(docs, id_col, text_col, source_col, seed), weights, source_col, max_epochs), "mix-placed")
+    key, own = F.struct("__pos", "__id", "size"), F.struct(F.col("__source"))
+    inside = (F.col("size") > 0) & (F.col("__start") <= F.col("__rest")) & (F.col("__rest") < F.col("__start") + F.col("size"))
+    sums = [F.first(c).alias(c) for c in ("source_size", "target", "__whole", "__rest")]
+    cuts = materialise(rows.groupBy(own.alias("__of")).agg(*sums, F.min(F.when(inside, key)).alias("__key")), "mix-cuts")
+    few = cuts.count() * 256 <= BROADCAST_BYTES
+    sent = F.broadcast(cuts) if few else cuts
+    # Where the rows of the cut's id and size begin, and how many there are.
+    ties = rows.select(own.alias("__of"), key.alias("__key"), "__start").join(sent.select("__of", "__key"), ["__of", "__key"])
+    ties = ties.groupBy("__of").agg(F.min("__start").alias("__first"), F.count(F.lit(1)).alias("__same"))
+    cuts = materialise(cuts.join(ties, "__of", "left"), "mix-cuts")
+    given = ("size", "source_size", "target", "taken")
+    named = docs.drop(*given).withColumns({"__id": F.col(id_col), "size": word_count(F.col(text_col)), "__pos": _position(F.col(id_col), seed), "__of": F.struct(F.col(source_col).alias("__source"))})
+    met = named.join(F.broadcast(cuts) if few else cuts, "__of")
+    place = F.when(F.col("__key").isNull() | (key < F.col("__key")), F.col("size")).when(key > F.col("__key"), 0)
+    single = F.when(F.col("__same") == 1, F.col("__rest") - F.col("__first"))
+    met = met.withColumn("__part", F.coalesce(place, single))
+    columns = [F.col(c) for c in docs.columns if c not in given]
+    out = lambda df: df.select(*columns, "size", "source_size", "target", (F.col("__whole") * F.col("size") + F.col("__part")).cast("long").alias("taken")).where("taken > 0")
+    # Rows that share the cut's id and size: the first of them are whole, one is partial.
+    tied = met.where("__part is null").withColumn("__nth", F.row_number().over(Window.partitionBy("__of").orderBy(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))))
+    left = F.col("__rest") - F.col("__first") - (F.col("__nth") - 1) * F.col("size")
+    tied = tied.withColumn("__part", F.greatest(F.lit(0), F.least(F.col("size"), left))).drop("__nth")
+    return out(met.where("__part is not null")).unionByName(out(tied)) if cuts.where("__same > 1").limit(1).count() else out(met)

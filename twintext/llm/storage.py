@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twintext.stages import materialise, new_path, shared_dir
+from twintext.stages import discard, materialise, new_path, scratch, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "join_checked", "materialise", "new_path", "per_shard", "shared_dir"]
+__all__ = ["BROADCAST_BYTES", "discard", "join_checked", "materialise", "new_path", "per_shard", "scratch", "shared_dir"]
 
 #: Most bytes of a table that is sent to every executor.
 BROADCAST_BYTES = 32 << 20
