@@ -32,10 +32,10 @@ def reasons(segments: DataFrame, wanted: DataFrame) -> DataFrame:
 def _in_context(segments: DataFrame, accepted: DataFrame) -> DataFrame:
     """The accepted segments with the hashes around them: of the sources in the file, and of the confirmed targets with all accepted ones among them."""
     rows = segments.join(accepted.select("id", F.lit(True).alias("__new")), "id", "left")
-    side = lambda c: K.to_memory(F.col(c), F.col("formats"))
-    plain = T.normalize(K.plain_text(side("target")))
-    rows = rows.withColumns({"__confirmed": (F.col("status") == "confirmed") | F.col("__new").isNotNull(), "__target_hash": T.text_hash(plain)})
-    narrow = rows.select("id", "file_id", "ord", "status", "hash", "__new", F.col("__confirmed").alias("confirmed"), "__target_hash")
+    confirmed = (F.col("status") == "confirmed") | F.col("__new").isNotNull()
+    plain = K.plain_text(K.to_memory(F.col("target"), F.col("formats")))
+    narrow = materialise(rows.select("id", "file_id", "ord", "status", "hash", "__new", confirmed.alias("confirmed"), plain.alias("__plain")), "context")
+    narrow = narrow.withColumn("__target_hash", T.text_hash(T.normalize(F.col("__plain"))))
     sources = segment_context(narrow.where("status <> 'locked'"), "file_id").select("id", "prev_hash", "next_hash")
     targets = confirmed_context(narrow, "file_id", "__target_hash").where("__new").select("id", "prev_target", "next_target")
     return segments.join(targets, "id").join(sources, "id", "left")
