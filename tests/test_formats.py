@@ -5,7 +5,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from twintext.sources import readers, writers
+from twintext.functions import tokens as K
+from twintext.sources import readers, writers, xliff_export
 from twintext.streaming import incoming
 
 TMX = """<?xml version="1.0"?><tmx version="1.4"><header/><body>
@@ -43,7 +44,7 @@ def test_xliff_export(spark, tmp_path):
     (tmp_path / "b.xlf").write_text(XLIFF)
     files = spark.read.format("binaryFile").load(str(tmp_path / "*.xlf"))
     targets = files.where("path like '%a.xlf'").select("path", F.posexplode(F.array(F.lit(None).cast("string"), F.lit("Neu"), F.lit("X"))).alias("ord", "target")).where("target is not null")
-    out = {r.path[-5:]: bytes(r.content) for r in writers.export_xliff(files, targets).collect()}
+    out = {r.path[-5:]: bytes(r.content) for r in xliff_export.export_xliff(files, targets).collect()}
     (tmp_path / "c").mkdir()
     (tmp_path / "c/a.xlf").write_bytes(out["a.xlf"])
     rows = readers.read_xliff(spark, str(tmp_path / "c/a.xlf")).orderBy("ord").collect()
@@ -92,3 +93,27 @@ def test_stream(spark, tmp_path):
     incoming.per_batch(incoming.arriving(stream), lambda b: b.select("text", "hash"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 3 and out.select("hash").distinct().count() == 3
+
+
+CODED = """<?xml version="1.0"?>
+<x:xliff xmlns:x="urn:oasis:names:tc:xliff:document:2.0" version="2.0" srcLang="en" trgLang="de"><x:file id="f"><!-- <x:segment> --><x:unit id="1"><x:segment state='initial'><x:source>See <x:pc id="1" type="fmt">this</x:pc><x:ph id="2" disp="a&gt;b"/> &amp; that</x:source></x:segment>
+<x:segment><x:source><x:sc id="3"/>Open</x:source><x:target/></x:segment><x:segment state="translated"><x:source>A<x:ph id="4"/>B<x:ph id="5"/></x:source><x:target>b<x:ph id="5"/>a<x:ph id="4"/></x:target></x:segment></x:unit><x:unit id="2" translate="no"><x:segment><x:source>No</x:source></x:segment></x:unit></x:file></x:xliff>
+"""
+
+
+def test_xliff_export_keeps_codes(spark, tmp_path):
+    (tmp_path / "a.xlf").write_text(CODED)
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.xlf"))
+    rows = readers.read_xliff(spark, str(tmp_path / "*.xlf")).orderBy("ord").collect()
+    assert [[(t.t, t.v, t.id) for t in r.target_tokens or []] for r in rows][2] == [("text", "b", None), ("ph", None, 2), ("text", "a", None), ("ph", None, 1)]
+    text = lambda v: ("text", v, None, None)
+    made = lambda *targets: spark.createDataFrame([(f"file:{tmp_path}/a.xlf", *t) for t in targets], f"path string, ord int, target_tokens {K.TOKENS}, status string")
+    same = made((2, [tuple(x) for x in rows[2].target_tokens], "translated"))
+    assert bytes(xliff_export.export_xliff(files, same).collect()[0].content) == CODED.encode()
+    new = made((0, [("ph", None, 2, None), text("Siehe < "), ("open", None, 1, None), text("dies\x01"), ("close", None, 1, None)], "translated"), (1, [text("Auf")], "draft"), (2, [text("neu"), ("ph", None, 2, None)], "confirmed"), (3, [text("Nein")], "translated"))
+    (out,) = xliff_export.export_xliff(files, new, reviewed=True).collect()
+    want = CODED.replace("<x:segment state='initial'>", "<x:segment state='translated'>").replace("that</x:source>", 'that</x:source><x:target><x:ph id="2" disp="a&gt;b"/>Siehe &lt; <x:pc id="1" type="fmt">dies<cp hex="0001"/></x:pc></x:target>')
+    want = want.replace("<x:target/>", "<x:target>Auf</x:target>").replace('<x:segment state="translated">', '<x:segment state="final">').replace('b<x:ph id="5"/>a<x:ph id="4"/>', 'neu<x:ph id="5"/>')
+    assert out.error is None and bytes(out.content).decode() == want
+    (bad,) = xliff_export.export_xliff(files, made((1, [("ph", None, 9, None)], "draft"))).collect()
+    assert bad.error and bytes(bad.content) == CODED.encode()

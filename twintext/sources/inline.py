@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -83,6 +84,30 @@ def xliff_stream(node: ET.Element) -> Stream:
     return out
 
 
+_CODE = re.compile(r'^<([\w:.-]+)(?:[^>]*?\sid="([^"]*)")?')
+
+
+def code_key(markup: str) -> tuple[str, str | None]:
+    """What makes two codes of a segment's sides the same one: their element and id."""
+    m = _CODE.match(markup)
+    return (m.group(1).rpartition(":")[2], m.group(2)) if m else ("", None)
+
+
+def aligned(target: Stream, source: Stream) -> Stream:
+    """The target with the numbers of the source's codes; codes of its own come after them, and into the source's formats."""
+    known = {}
+    for f in source.formats:
+        known.setdefault(code_key(f[4]), f[0])
+    order = {}
+    for f in target.formats:
+        n = known.pop(code_key(f[4]), None)
+        if n is None:
+            n = len(source.formats) + 1
+            source.formats.append((n, *f[1:]))
+        order[f[0]] = n
+    return Stream([(t, v, order.get(n), k) for t, v, n, k in target.tokens], target.formats, target.problems)
+
+
 def tmx_stream(seg: str) -> Stream:
     """Codes of TMX 1.4: bpt with ept by number, ph, it, hi; their own text is no text of the segment."""
     out, open_codes = Stream(), {}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from twintext.functions import tokens as K
 from twintext.functions.text import tmx_to_iso
-from twintext.sources.inline import Stream, paragraph_stream, tmx_stream, xliff_stream
+from twintext.sources.inline import Stream, aligned, paragraph_stream, tmx_stream, xliff_stream
 
 LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 #: Most rows of a glossary file; more are refused.
@@ -89,6 +89,7 @@ def _xliff_rows(content: bytes, langs: tuple[str, str] | None = None) -> Iterato
             locked = unit.get("translate") == "no" or not source.strip()
             status = "locked" if locked else "new" if not target else "draft" if state == "initial" else "translated"
             streams = [xliff_stream(parts[x]) if x in parts else Stream() for x in ("source", "target")]
+            streams[1] = aligned(streams[1], streams[0])
             yield unit.get("id"), unit.get("name"), ord_, src, tgt, source, target, status, _dicts(streams[0]), _formats(streams[0]), _dicts(streams[1]) if "target" in parts else None
             ord_ += 1
 

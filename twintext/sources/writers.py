@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,36 +110,3 @@ def client_units(variants: DataFrame, most: int = 100_000) -> DataFrame:
 def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows as CSV lines whose cells no spreadsheet takes for formulas."""
     return rows.select(F.array_join(F.array(*[F.coalesce(csv_cell(F.col(c).cast("string")), F.lit("")) for c in columns]), ",").alias("value"))
-
-
-def xliff_with_targets(content: bytes, targets: dict[int, str]) -> bytes:
-    """An XLIFF 2 file with new target texts by place of the segment; their state becomes translated."""
-    root = ET.fromstring(content)
-    space = root.tag.rpartition("}")[0].lstrip("{")
-    ET.register_namespace("", space)
-    name = lambda x: f"{{{space}}}{x}" if space else x
-    ord_ = 0
-    for unit in root.iter(name("unit")):
-        for seg in (x for x in unit if x.tag in (name("segment"), name("ignorable"))):
-            if ord_ in targets and unit.get("translate") != "no":
-                target = seg.find(name("target"))
-                target = ET.SubElement(seg, name("target")) if target is None else target
-                for child in list(target):
-                    target.remove(child)
-                target.text = targets[ord_]
-                seg.set("state", "translated")
-            ord_ += 1
-    return ET.tostring(root, encoding="utf-8", xml_declaration=True)
-
-
-def export_xliff(files: DataFrame, targets: DataFrame) -> DataFrame:
-    """Files (path, content) with the targets (path, ord, target) written in; a file without any stays as it is."""
-    per_file = targets.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("ord", "target"))).alias("targets"))
-    rows = files.select("path", "content").join(per_file, "path", "left")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [bytes(c) if t is None else xliff_with_targets(bytes(c), dict(t)) for c, t in zip(batch["content"], batch["targets"], strict=True)]
-            yield pd.DataFrame({"path": batch["path"], "content": out})
-
-    return rows.mapInPandas(write, "path string, content binary")
