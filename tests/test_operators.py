@@ -229,3 +229,20 @@ def test_audit_snapshots(spark):
     after = audit.erased(log, "u1").where("id <> 2").withColumn("detail", F.when(F.col("id") == 4, "x").otherwise(F.col("detail")))
     assert {tuple(x) for x in audit.forbidden_changes(log, after).collect()} == {(2, "deleted"), (4, "updated")}
     assert [x.id for x in audit.page_of(log, 1, 5, 1).collect()] == [3]
+
+
+@pytest.mark.parametrize("size", [8 << 20, 200])
+def test_vectors_meet_in_blocks(spark, monkeypatch, size):
+    """Against a plain product; with a third of equal vectors, rows without one, and queries that are rows."""
+    monkeypatch.setattr(search, "BLOCK_BYTES", size)
+    rng = random.Random(size)
+    rows = [(i, [1.0, 2.0, 0.5] if i % 3 == 0 else None if i % 17 == 1 else [float(rng.randint(-4, 4)) for _ in range(3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.dot) for r in search.top_by_dot(df, df.where("vec_id % 10 = 0"), 4).collect()}
+    vectors = {i: v for i, v in rows if v}
+    want = {}
+    for q in (i for i in vectors if i % 10 == 0):
+        best = sorted(((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q))[:4]
+        want |= {(q, n): (i, -d) for n, (d, i) in enumerate(best, 1)}
+    assert got == want
+    assert search.top_by_dot(df, df.where("false"), 4).collect() == []

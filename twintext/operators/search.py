@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -95,46 +93,57 @@ def document_frequency(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select(F.explode(F.array_distinct(words)).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
-#: Bytes of query vectors that are held against all others at once.
-QUERY_BYTES = 16 << 20
+#: Bytes of vectors of a block, as they meet another one.
+BLOCK_BYTES = 8 << 20
+
+
+def _dealt(rows: DataFrame, id_col: str, vector_col: str, name: str) -> tuple[DataFrame, int]:
+    """The vectors dealt to blocks of bounded size, and how many there are."""
+    rows = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    size = rows.agg(F.max(F.size("vector")).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    blocks = max(1, -(-(size["n"] or 0) * (size["d"] or 1) * 8 // BLOCK_BYTES))
+    return rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
 
 
 def top_by_dot(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The ``k`` largest dot products for each query, exactly; a query isn't its own hit.
+    """The ``k`` largest dot products for each query, exactly; a query isn't its own hit, of equal ones the least id comes first.
 
-    Queries are a stated set, held against all rows in blocks of bounded size:
-    each task keeps the ``k`` best of its rows for every query of the block.
+    Queries are a stated set, held against all rows: both are dealt to blocks
+    of bounded size, and every two blocks meet in a task of their own, which
+    keeps the ``k`` best of its rows for each query. Nothing passes the driver.
+    Rows without a vector are left out.
     """
     kind = dict(vectors.dtypes)[id_col]
-    size = queries.agg(F.max(F.size(vector_col)).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    blocks = max(1, -(-(size["n"] or 0) * (size["d"] or 1) * 8 // QUERY_BYTES))
-    dealt = queries.select(id_col, vector_col).withColumn("__block", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
-
-    def held(block: int) -> DataFrame:
-        rows = dealt.where(F.col("__block") == block).toArrow()
-        ids = rows[id_col].to_pylist()
-        q = np.array(rows[vector_col].to_pylist(), float).reshape(len(ids), -1)
-        place = {i: n for n, i in enumerate(ids)}
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(batch) or not ids:
-                    continue
-                own = batch.column(id_col).to_pylist()
-                dots = q @ np.array(batch.column(vector_col).to_pylist(), float).T
-                for col, i in enumerate(own):
-                    if i in place:
-                        dots[place[i], col] = -np.inf
-                # Ties at the last place all go on: ids decide later.
-                last = np.sort(dots, axis=1)[:, -min(k, len(own))]
-                row, col = np.nonzero((dots >= last[:, None]) & np.isfinite(dots))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row]), pa.array([own[c] for c in col]), pa.array(dots[row, col])], names=["query_id", id_col, "dot"])
-
-        return vectors.select(id_col, vector_col).mapInArrow(score, f"query_id {kind}, {id_col} {kind}, dot double")
-
-    scored = functools.reduce(DataFrame.unionByName, [held(b) for b in range(blocks)])
+    v, v_blocks = _dealt(vectors, id_col, vector_col, "v")
+    q, q_blocks = _dealt(queries, id_col, vector_col, "q")
+    v = v.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    q = q.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
+
+    def product(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        names = ["query_id", id_col, "dot"]
+        if not len(asked) or not len(rows):
+            return pa.table([pa.array([], asked["id"].type), pa.array([], rows["id"].type), pa.array([], pa.float64())], names=names)
+        rows = rows.sort_by("id")
+        matrix = lambda t: t["vector"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        dots = matrix(asked) @ matrix(rows).T
+        ids, own = asked["id"].to_pylist(), rows["id"].to_pylist()
+        places: dict = {}
+        for n, i in enumerate(own):
+            places.setdefault(i, []).append(n)
+        of, at = [], []
+        for n, row in enumerate(dots):
+            row[places.get(ids[n], [])] = -np.inf
+            least = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
+            near = np.flatnonzero((row >= least) & np.isfinite(row))
+            best = near[np.argsort(-row[near], kind="stable")[:k]]
+            of.append(np.full(len(best), n))
+            at.append(best)
+        of, at = np.concatenate(of), np.concatenate(at)
+        return pa.table([asked["id"].take(pa.array(of)), rows["id"].take(pa.array(at)), pa.array(dots[of, at])], names=names)
+
+    found = q.groupBy("q", "v").cogroup(v.groupBy("q", "v")).applyInArrow(product, f"query_id {kind}, {id_col} {kind}, dot double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("dot").desc(), id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def without_vector(variants: DataFrame, vectors: DataFrame, on: list[str]) -> DataFrame:
