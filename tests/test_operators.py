@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twintext.functions import tokens as K
 from twintext.operators import audit, business, glossary, matching, memory, qa, search, views
+from twintext.operators.placing import pretranslated_targets
 from twintext.operators.segmentation import rules_for, segment_texts, sentences
 from twintext.plans import queries
 
@@ -246,3 +247,22 @@ def test_vectors_meet_in_blocks(spark, monkeypatch, size):
         want |= {(q, n): (i, -d) for n, (d, i) in enumerate(best, 1)}
     assert got == want
     assert search.top_by_dot(df, df.where("false"), 4).collect() == []
+
+
+def test_cascade_places_targets(spark):
+    """Exact and fuzzy matches on the segment's own tags, donors from other tags, hidden tags carried."""
+    text = lambda v: ("text", v, None, None)
+    bold = [(4, "b", True, "run", "<b>", "</b>"), (5, "other", False, "block", "<mark/>", "")]
+    pair = lambda n, v, k=None: [("open", None, n, k), text(v), ("close", None, n, None)]
+    rows = [
+        (1, "one two three four", pair(4, "one two three four") + [("ph", None, 5, None)], bold, False, None), (2, "one two three five", pair(4, "one two three five"), bold, False, None), (3, "lonely", [text("lonely")], [], False, None),
+        (4, "known", pair(1, "known"), [(1, "b", True, "run", "<b>", "</b>")], True, pair(1, "bekannt")), (5, "known", pair(4, "known"), bold, False, None), (6, "known", [text("known")], [], False, None), (7, "empty", [text("empty")], [], True, None), (8, "empty", [text("empty")], [], False, None),
+    ]
+    df = spark.createDataFrame([(k, p, p, t, f, c, x) for k, p, t, f, c, x in rows], f"k int, plain string, hash string, tokens {K.TOKENS}, formats {K.FORMATS}, confirmed boolean, target {K.TOKENS}")
+    memory = spark.createDataFrame([(9, "one two three four", "one two three four", 1, 3, "x", pair(1, "eins zwei", "b"))], f"tu_id long, plain string, hash string, priority int, quality int, updated_at string, tokens {K.TOKENS}")
+    got = {r.k: (r.outcome, r.status, r.target and [tuple(x)[:3] for x in r.target], r.tags_matched) for r in pretranslated_targets(df, memory, ["k"]).collect()}
+    strip = lambda xs: [x[:3] for x in xs]
+    assert got == {
+        1: ("exact", "translated", strip(pair(4, "eins zwei") + [("ph", None, 5)]), True), 2: ("fuzzy", "draft", strip(pair(4, "eins zwei")), True), 3: ("unmatched", None, None, None), 4: ("skipped", None, None, None),
+        5: ("propagated", "draft", strip(pair(4, "bekannt")), True), 6: ("propagated", "draft", strip([text("bekannt")]), True), 7: ("skipped", None, None, None), 8: ("unmatched", None, None, None),
+    }

@@ -14,6 +14,8 @@ from twintext.stages import materialise
 
 #: Characters that stand for the distinct words of a pair: any row of single UTF-16 units would do.
 ALPHABET = "".join(chr(0x4E00 + i) for i in range(16_384))
+#: Characters that stand for words by their hashes, of four hexadecimal digits each.
+FIRST_CODE, CODES = 0x3400, 0xD7FF - 0x3400
 # Bounds of a fuzzy threshold, and what a numeral and a tag cost.
 FLOOR, CEILING, NUMBER_PENALTY, TAG_PENALTY, TAG_CAP = 50, 99, 2, 1, 5
 
@@ -175,7 +177,8 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: int = 75, langs: tuple
     def prepare(df: DataFrame, key: str) -> DataFrame:
         extra = [c for c in ("slots", "all_slots") if tagged and c in df.columns]
         rows = _langs(df, langs).select(key, *on, *extra, T.fuzzy_words(F.col("plain")).alias("w"), T.numerals(F.col("plain")).alias("num")).where(F.size("w") > 0)
-        return materialise(rows, "fuzzy-words", compression="zstd")
+        code = F.array_join(F.transform("w", lambda x: F.hex(F.pmod(F.xxhash64(x), F.lit(CODES)) + FIRST_CODE)), "")
+        return materialise(rows.withColumn("code", F.decode(F.unhex(code), "UTF-16BE")), "fuzzy-words", compression="zstd")
 
     l, r = prepare(left, "a"), prepare(right, "b")  # noqa: E741
 
@@ -213,8 +216,12 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: int = 75, langs: tuple
     # If this is the first token that both have, no more than what follows it is shared.
     enough = f"least(left_a, left_b) >= greatest(n_a, n_b) - q_a + 1 - q_a * (greatest(n_a, n_b) * {100 - least} div 100)"
     candidates = prefixes(lt, "a").join(prefixes(rt, "b"), "token").where(near).where(enough).select("a", "b").distinct()
+    # One character a word, by its hash, bounds the distance from below: most candidates end here, without their words.
+    coded = candidates.join(l.select("a", F.size("w").alias("n1"), "code"), "a").join(r.select("b", F.size("w").alias("n2"), F.col("code").alias("code2")), "b")
+    most = F.floor(F.greatest("n1", "n2") * F.lit(100 - least) / 100).cast("int")
+    candidates = materialise(coded.where(F.call_function("levenshtein", F.col("code"), F.col("code2"), most) >= 0).select("a", "b"), "fuzzy-near", compression="zstd")
     r2 = r.select("b", F.col("w").alias("w2"), F.col("num").alias("num2"), *[F.col("slots").alias("slots2")] * tagged)
-    pairs = candidates.join(l.drop(*on), "a").join(r2, "b")
+    pairs = candidates.join(l.drop(*on, "code"), "a").join(r2, "b")
     if tagged:
         both = K.slot_difference(F.col("slots"), F.col("slots2"))
         pairs = pairs.withColumn("__tags", F.least(both, K.slot_difference(F.col("all_slots"), F.col("slots2"))) if "all_slots" in pairs.columns else both)
@@ -235,21 +242,39 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, least: int = 75, langs: tuple
 def fuzzy_match(rows: DataFrame, memory: DataFrame, key: list[str], least: int = 75, limit: int = 3, langs: tuple[str, ...] = ()) -> DataFrame:
     """The ``limit`` best units (tu_id, plain, quality, updated_at) for each segment (key, plain).
 
-    Equal texts (with equal tags) are scored once. Order: score, priority of
+    Equal texts (with equal tags) of either side are scored once. Order: score, priority of
     the memory (if it has that column; the least wins), quality, latest
     change, tu_id.
     """
     extra = [c for c in (*langs, "slots", "all_slots") if c in rows.columns]
-    text_id = F.sha2(F.to_json(F.struct("plain", *extra)), 256).alias("a")
-    asked = rows.select(*key, "plain", *extra, text_id)
-    texts = asked.groupBy("a").agg(*[F.first(c).alias(c) for c in ("plain", *extra)])
+    asked = rows.select(*key, "plain", *extra, _text_id("plain", *extra).alias("__text"))
+    texts = _numbered(asked, "a", ["plain", *extra])
     units = memory.where("not deleted") if "deleted" in memory.columns else memory
-    pairs = fuzzy_pairs(texts, units.select(F.col("tu_id").alias("b"), "plain", *langs, *[c for c in ("slots",) if c in memory.columns]), least, langs)
+    own = [*langs, *[c for c in ("slots",) if c in memory.columns]]
+    units = units.withColumn("__text", _text_id("plain", *own))
+    known = _numbered(units, "b", ["plain", *own])
+    pairs = fuzzy_pairs(texts, known, least, langs)
     priority = F.col("priority") if "priority" in memory.columns else F.lit(None).cast("int")
-    hits = pairs.join(memory.select(F.col("tu_id").alias("b"), priority.alias("priority"), "quality", "updated_at"), "b")
-    order = [F.col("score").desc(), F.col("priority").asc_nulls_last(), F.col("quality").desc_nulls_last(), F.col("updated_at").desc_nulls_last(), F.col("b")]
-    top = hits.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(*order))).where(F.col("rank") <= limit)
-    return asked.select(*key, "a").join(top, "a").select(*key, F.col("b").alias("tu_id"), "score", "rank")
+    order = [F.col("priority").asc_nulls_last(), F.col("quality").desc_nulls_last(), F.col("updated_at").desc_nulls_last(), F.col("tu_id")]
+    # Units of one text score alike, so no more than ``limit`` of them are needed; a text of very many units is ranked in shards first.
+    ranked = units.select("__text", "tu_id", priority.alias("priority"), "quality", "updated_at", F.pmod(F.xxhash64("tu_id"), F.lit(64)).alias("__shard"))
+    for by in (["__text", "__shard"], ["__text"]):
+        ranked = ranked.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= limit)
+    ranked = ranked.join(known.select("b", "__text"), "__text").select("b", "tu_id", "priority", "quality", "updated_at")
+    best = Window.partitionBy("a").orderBy(F.col("score").desc(), *order)
+    top = pairs.join(ranked, "b").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    top = top.join(texts.select("a", "__text"), "a").select("__text", "tu_id", "score", "rank")
+    return asked.select(*key, "__text").join(top, "__text").select(*key, "tu_id", "score", "rank")
+
+
+def _text_id(*columns: str) -> Column:
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def _numbered(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """The distinct texts (``__text``) with a short id, written so that it stays the same."""
+    texts = rows.groupBy("__text").agg(*[F.first(c).alias(c) for c in columns])
+    return materialise(texts.withColumn(name, F.monotonically_increasing_id()), "texts", compression="zstd")
 
 
 def pretranslate(rows: DataFrame, memory: DataFrame, key: list[str], least: int | None = 75, langs: tuple[str, ...] = ()) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from twintext.functions import text as T
 from twintext.functions import tokens as K
 from twintext.functions.hidden import carry_hidden_tags
-from twintext.operators import confirm, glossary_log, matching, qa_runs
+from twintext.operators import confirm, glossary_log, qa_runs
+from twintext.operators.placing import pretranslated_targets
 from twintext.operators.snapshots import Snapshots
-from twintext.plans.queries import KEY, line_pairs, lines, page_tokens, table
-from twintext.plans.sql import LINE_PAIRS, LINES, QA, normal
+from twintext.plans.queries import KEY, LANG, hashed_lines, line_pairs, lines, memory_of, page_tokens, statused, table
+from twintext.plans.sql import HASHED, LINE_PAIRS, LINES, MEMORY, QA, normal
 from twintext.sources import packages
 from twintext.stages import materialise, new_path
 
@@ -160,6 +161,16 @@ def document_roundtrip(spark, d):
     return out.select(F.col("path").cast("bigint").alias("doc_id"), "paragraphs", F.coalesce("rendered", F.lit(0).cast("bigint")).alias("rendered"), "content_sha256")
 
 
+def cascade_targets(spark, d):
+    """Exact and propagated matches of all lines with the targets that they bring; every third document is confirmed."""
+    text = lambda mark, c: F.array(K.token("text", F.concat(F.lit(mark), c)))
+    rows = statused(hashed_lines(spark, d)).withColumns({"tokens": text("", F.col("line")), "formats": F.array().cast(K.FORMATS)})
+    rows = rows.withColumn("target", F.when(F.col("confirmed") & (F.col("ord") % 2 == 0), text("T:", F.col("line"))))
+    memory = memory_of(spark, d).withColumn("tokens", text("M:", F.col("plain")))
+    out = pretranslated_targets(rows, memory, KEY, None, LANG)
+    return out.select(*KEY, "outcome", "status", F.sha2(K.plain_text(F.col("target")), 256).alias("target_sha256"), "tags_matched")
+
+
 #: Rules that the reruns apply.
 RERUN_RULES = ("seg.empty", "seg.untranslated", "punct.terminal", "punct.brackets", "punct.spacing")
 
@@ -237,6 +248,13 @@ _WML = "'<w:p><w:pPr><w:jc w:val=\"both\"/></w:pPr>' || CASE WHEN ord % 4 = 0 TH
 _ESCAPED = "replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 SQL = {
+    "cascade_targets": f"""WITH {HASHED}, {MEMORY}, hits AS (
+  SELECT h.doc_id, h.ord, first('M:' || m.plain ORDER BY m.priority, m.quality DESC, m.updated_at DESC, m.tu_id) AS target FROM hashed h JOIN memory m ON m.hash = h.hash AND m.lang = h.lang WHERE h.doc_id % 3 <> 0 GROUP BY ALL),
+donors AS (SELECT hash, lang, first('T:' || line ORDER BY doc_id, ord) AS target FROM hashed WHERE doc_id % 3 = 0 AND ord % 2 = 0 GROUP BY ALL),
+found AS (SELECT h.doc_id, h.ord, CASE WHEN h.doc_id % 3 = 0 THEN 'skipped' WHEN hits.target IS NOT NULL THEN 'exact' WHEN d.target IS NOT NULL THEN 'propagated' ELSE 'unmatched' END AS outcome,
+    CASE WHEN h.doc_id % 3 <> 0 THEN coalesce(hits.target, d.target) END AS target
+  FROM hashed h LEFT JOIN hits ON hits.doc_id = h.doc_id AND hits.ord = h.ord LEFT JOIN donors d ON d.hash = h.hash AND d.lang = h.lang)
+SELECT doc_id, ord, outcome, CASE outcome WHEN 'exact' THEN 'translated' WHEN 'propagated' THEN 'draft' END AS status, sha256(regexp_replace(target, '[\\x0B\\x0C]', ' ', 'g')) AS target_sha256, CASE WHEN target IS NOT NULL THEN TRUE END AS tags_matched FROM found""",
     "confirm_variants": f"""WITH {_PROJECT} SELECT coalesce(m.uuid, l.uuid) AS uuid, coalesce(m.lang, l.lang) AS lang, (coalesce(m.rev, 0) + coalesce(l.n, 0))::INT AS rev, CASE WHEN l.uuid IS NULL THEN m.hash ELSE l.c[1] END AS hash,
   l.c[2] AS prev_hash, l.c[3] AS next_hash, greatest(m.quality, CASE WHEN l.uuid IS NOT NULL THEN 3 END)::INT AS quality, CASE WHEN m.uuid IS NULL THEN 0 ELSE 5 END::BIGINT AS usage_count,
   CASE WHEN m.uuid IS NULL THEN '{NOW}' ELSE '2020-01-01' END AS created_at, CASE WHEN l.uuid IS NULL THEN '2020-01-01' ELSE '{NOW}' END AS updated_at, CASE WHEN l.uuid IS NOT NULL THEN '{ACTOR}' END AS updated_by
@@ -265,7 +283,7 @@ FROM decided WHERE kind NOT IN ('deprecation', 'segment_exception')""",
 }
 
 _ALL = (
-    document_roundtrip, hidden_carry, confirm_variants, confirm_history, confirm_log, qa_rerun, glossary_versions, glossary_as_of, glossary_rulings, session_states, session_refusals,
+    document_roundtrip, hidden_carry, cascade_targets, confirm_variants, confirm_history, confirm_log, qa_rerun, glossary_versions, glossary_as_of, glossary_rulings, session_states, session_refusals,
 )
 
 
