@@ -93,18 +93,18 @@ def code_key(markup: str) -> tuple[str, str | None]:
     return (m.group(1).rpartition(":")[2], m.group(2)) if m else ("", None)
 
 
+def code_numbers(target: dict[int, tuple], source: dict[int, tuple]) -> dict[int, int]:
+    """The source's number of each of the target's codes, by element and id; a target with a code of its own keeps its numbers."""
+    known: dict[tuple, list[int]] = {}
+    for n, key in source.items():
+        known.setdefault(key, []).append(n)
+    order = {n: known[key].pop(0) for n, key in target.items() if known.get(key)}
+    return order if len(order) == len(target) else {n: n for n in target}
+
+
 def aligned(target: Stream, source: Stream) -> Stream:
-    """The target with the numbers of the source's codes; codes of its own come after them, and into the source's formats."""
-    known = {}
-    for f in source.formats:
-        known.setdefault(code_key(f[4]), f[0])
-    order = {}
-    for f in target.formats:
-        n = known.pop(code_key(f[4]), None)
-        if n is None:
-            n = len(source.formats) + 1
-            source.formats.append((n, *f[1:]))
-        order[f[0]] = n
+    """The target with its codes numbered by ``code_numbers``."""
+    order = code_numbers(*({f[0]: code_key(f[4]) for f in x.formats} for x in (target, source)))
     return Stream([(t, v, order.get(n), k) for t, v, n, k in target.tokens], target.formats, target.problems)
 
 

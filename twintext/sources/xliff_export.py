@@ -10,33 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twintext.functions import tokens as K
-from twintext.sources.inline import code_key
+from twintext.sources.inline import code_key, code_numbers
 from twintext.sources.ooxml import MarkupError, Node, elements, escape, unescape
 
 _FIELDS = ("t", "v", "id", "k")
 _ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
 
-def read_codes(xml: str, side: Node, table: dict[int, tuple[str, str]], known: dict) -> list[tuple]:
-    """A side's tokens, numbered as the reader numbers them; ``table`` gets what each code opens and closes with.
-
-    ``known`` has the codes of the other side by element and id.
-    """
+def read_codes(xml: str, side: Node) -> tuple[list[tuple], dict[int, tuple[str, str]]]:
+    """A side's tokens, numbered as the reader numbers them, and what each code opens and closes with."""
     tokens: list[tuple] = []
+    table: dict[int, tuple[str, str]] = {}
     open_codes: dict[tuple, int] = {}
-    own: list[tuple] = []
 
     def text(v: str) -> None:
         if v:
             tokens.append(("text", (tokens.pop()[1] if tokens and tokens[-1][0] == "text" else "") + v, None, None))
 
     def number(markup: str, close: str) -> int:
-        n = known.pop(code_key(markup), None)
-        if n is None:
-            n = len(table) + 1
-            table[n] = (markup, close)
-            own.append((code_key(markup), n))
-        return n
+        table[len(table) + 1] = (markup, close)
+        return len(table)
 
     def attr(x: Node, name: str) -> str | None:
         m = re.search(rf'\s{name}="([^"]*)"', xml[x.start : x.inner])
@@ -67,9 +60,7 @@ def read_codes(xml: str, side: Node, table: dict[int, tuple[str, str]], known: d
 
     walk(side)
     ended = {n for t, _, n, _ in tokens if t == "close"}
-    for key, n in own:
-        known.setdefault(key, n)
-    return [("ph", v, n, k) if t == "open" and n not in ended else (t, v, n, k) for t, v, n, k in tokens]
+    return [("ph", v, n, k) if t == "open" and n not in ended else (t, v, n, k) for t, v, n, k in tokens], table
 
 
 def render_codes(tokens: list[tuple], table: dict[int, tuple[str, str]]) -> str:
@@ -112,11 +103,10 @@ def with_targets(content: bytes, targets: dict[int, tuple[list[tuple], str | Non
             source, target = (next((c for c in seg.children if c.local == name), None) for name in ("source", "target"))
             if not tokens or locked or source is None:
                 continue
-            table: dict[int, tuple[str, str]] = {}
-            known: dict = {}
-            read_codes(xml, source, table, known)
-            arrived = [] if target is None else read_codes(xml, target, table, known)
-            if [x[:3] for x in arrived] != [x[:3] for x in tokens]:
+            _, table = read_codes(xml, source)
+            arrived, own = ([], {}) if target is None else read_codes(xml, target)
+            order = code_numbers(*({n: code_key(x[0]) for n, x in codes.items()} for codes in (own, table)))
+            if [(t, v, order.get(n)) for t, v, n, _ in arrived] != [x[:3] for x in tokens]:
                 inner = render_codes(tokens, table)
                 if target is None:
                     name = source.name.removesuffix("source") + "target"
