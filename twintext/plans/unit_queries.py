@@ -179,8 +179,17 @@ def audit_changes(spark, d):
     return audit.forbidden_changes(log, after)
 
 
+#: States that orders are read as.
+ORDER_STATES = ("submitted", "approved", "in_progress", "delivered", "cancelled", "pool_open", "claimed", "reviewed")
+
+
 def next_statuses(spark, d):
-    return business.next_statuses(business.order_moves(spark).unionByName(business.assignment_moves(spark).drop("party")))
+    """Orders by where their state can go next: O is submitted, P in progress, F delivered, others are read by their customer."""
+    nexts = business.next_statuses(business.order_moves(spark).unionByName(business.assignment_moves(spark).drop("party")))
+    names = F.array(*[F.lit(x) for x in ORDER_STATES])
+    state = F.when(F.col("o_custkey") % 3 == 0, F.get(names, (F.col("o_custkey") % len(ORDER_STATES)).cast("int"))).when(F.col("o_orderstatus") == "O", "submitted").when(F.col("o_orderstatus") == "P", "in_progress").otherwise("delivered")
+    orders = table(spark, d, "orders").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("orders"))
+    return orders.join(F.broadcast(nexts), "state", "left").select("state", "next", "terminal", "orders")
 
 
 def assignment_moves(spark, d):
@@ -276,9 +285,11 @@ SELECT o_orderkey AS order_id, o_custkey AS client_id, o_orderstatus AS status,
     "audit_batch": f"WITH {_LOG} SELECT id, actor FROM log WHERE batch_id = 500 OR id = 500",
     "audit_page": f"WITH {_LOG} SELECT id, actor FROM log WHERE tenant_id = 3 AND id < 5000 ORDER BY id DESC LIMIT 100",
     "audit_changes": "SELECT event_id AS id, CASE WHEN event_id % 997 = 0 THEN 'deleted' ELSE 'updated' END AS change FROM events WHERE event_id % 997 = 0 OR (event_id % 991 = 0 AND props <> '{}') OR event_id % 983 = 0",
-    "next_statuses": """WITH m(a, b) AS (VALUES ('submitted', 'approved'), ('submitted', 'cancelled'), ('approved', 'in_progress'), ('approved', 'cancelled'), ('in_progress', 'delivered'), ('in_progress', 'cancelled'),
+    "next_statuses": f"""WITH m(a, b) AS (VALUES ('submitted', 'approved'), ('submitted', 'cancelled'), ('approved', 'in_progress'), ('approved', 'cancelled'), ('in_progress', 'delivered'), ('in_progress', 'cancelled'),
 ('offered', 'accepted'), ('offered', 'declined'), ('pool_open', 'claimed'), ('claimed', 'accepted'), ('claimed', 'declined'), ('accepted', 'in_progress'), ('delivered', 'reviewed')),
-s AS (SELECT DISTINCT unnest([a, b]) AS state FROM m) SELECT state, coalesce(string_agg(DISTINCT b, ',' ORDER BY b), '') AS next, count(b) = 0 AS terminal FROM s LEFT JOIN m ON a = state GROUP BY state""",
+s AS (SELECT DISTINCT unnest([a, b]) AS state FROM m), n AS (SELECT state, coalesce(string_agg(DISTINCT b, ',' ORDER BY b), '') AS next, count(b) = 0 AS terminal FROM s LEFT JOIN m ON a = state GROUP BY state),
+o AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN {list(ORDER_STATES)}[(o_custkey % {len(ORDER_STATES)})::INT + 1] WHEN o_orderstatus = 'O' THEN 'submitted' WHEN o_orderstatus = 'P' THEN 'in_progress' ELSE 'delivered' END AS state, count(*) AS orders FROM orders GROUP BY 1)
+SELECT state, next, terminal, orders FROM o LEFT JOIN n USING (state)""",
     "assignment_moves": f"""WITH l AS (SELECT l_orderkey, {_STATES}[(l_partkey % {len(_STATES)})::INT + 1] AS st, CASE WHEN l_suppkey % 2 = 0 THEN 'pm' ELSE 'vendor' END AS party, l_linenumber, l_partkey, l_suppkey FROM lineitem),
 w AS (SELECT *, lag(st) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS before FROM l)
 SELECT before AS from_state, st AS to_state, party, count(*) AS n FROM w WHERE before IS NOT NULL AND before <> st AND (before, st, party) NOT IN ({', '.join(str(m) for m in business.ASSIGNMENT_MOVES)}) GROUP BY 1, 2, 3""",
