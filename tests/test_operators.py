@@ -266,3 +266,20 @@ def test_cascade_places_targets(spark):
         1: ("exact", "translated", strip(pair(4, "eins zwei") + [("ph", None, 5)]), True), 2: ("fuzzy", "draft", strip(pair(4, "eins zwei")), True), 3: ("unmatched", None, None, None), 4: ("skipped", None, None, None),
         5: ("propagated", "draft", strip(pair(4, "bekannt")), True), 6: ("propagated", "draft", strip([text("bekannt")]), True), 7: ("skipped", None, None, None), 8: ("unmatched", None, None, None),
     }
+
+
+def test_single_words_are_found_as_searched_forms_are(spark):
+    """Forms of one word meet the words of a text; a form of several words brings the search back, with the same rules."""
+    rows = [(1, "the file", "filess files"), (2, "a file", "re-files now"), (3, "files", "a file set of files"), (4, "file", "filé filé"), (5, "filé", "x"), (6, "profile", "x")]
+    df = spark.createDataFrame(rows, "k int, source string, target string")
+    got = []
+    for other in ("filed", "files now"):
+        terms = spark.createDataFrame([("file", "file set", "files", [other])], "term string, preferred string, forbidden string, alternatives array<string>")
+        got.append({(r.k, r.kind, r.found) for r in glossary.term_mismatch(df, terms, ["k"], "en", "en").collect()})
+    lone = spark.createDataFrame([("file", "dossier", "files", ["filed"])], "term string, preferred string, forbidden string, alternatives array<string>")
+    assert got[0] == {(1, "forbidden", "files"), (2, "forbidden", "files"), (3, "forbidden", "files"), (4, "missing_preferred", None)}
+    assert got[1] == {(1, "forbidden", "files"), (2, "missing_preferred", "files now"), (3, "forbidden", "files"), (4, "missing_preferred", None)}
+    assert {(r.k, r.kind, r.found) for r in glossary.term_mismatch(df, lone, ["k"], "en", "en").collect()} == got[0]
+    # Texts of single-word glossaries are not searched by substrings, and a small glossary shuffles none of them.
+    plan = glossary.term_mismatch(df, lone, ["k"], "en", "en")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
