@@ -9,6 +9,7 @@ lang, vec) and ``profiles`` (lang, delta). Results are new snapshots.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 
 from twintext.functions import text as T
 from twintext.functions import tokens as K
+from twintext.stages import materialise
 
 # The quality of a confirmed translation, and the longest text that an edit may bring.
 CONFIRMED, MAX_TEXT = 3, 5_000
+#: The characters of ``T.SPACE``, one by one.
+SPACES = "".join(c for c in map(chr, range(0x10000)) if re.match(T.SPACE, c))
 KEY = ["uuid", "lang"]
 _CONTENT = ("rev", "updated_at", "tokens", "quality", "prev_hash", "next_hash")
 
@@ -138,16 +142,20 @@ def edit_reasons(edits: DataFrame, variants: DataFrame, units: DataFrame) -> Dat
     refused, unchanged, or null for an edit that applies. Several edits of a
     variant at one revision are all but one stale: the least text goes first.
     """
-    text = F.regexp_replace(K.xml_legal(F.col("text")), f"^{T.SPACE}+|{T.SPACE}+$", "")
+    text = F.btrim(K.xml_legal(F.col("text")), F.lit(SPACES))
     live = variants.join(units.where("not deleted").select("uuid"), "uuid").select(*KEY, F.col("rev").alias("__rev"), F.col("tokens").alias("__tokens"), F.col("plain").alias("__plain"), F.col("quality").alias("__quality"))
     rows = edits.withColumn("text", text)
-    first = rows.groupBy(*KEY).agg(F.min("text").alias("__first"), F.count_distinct("text").alias("__several"))
+    # Texts that are refused for their length are not carried through the joins for what they say.
+    rows = rows.select(*KEY, "base_rev", "text", (F.col("text") == "").alias("__blank"), (F.length("text") > MAX_TEXT).alias("__long"), F.when(F.length("text") <= MAX_TEXT, F.col("text")).alias("__short"))
+    # Only keys of several edits have a first one to find; their texts alone are compared.
+    several = materialise(edits.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*KEY), "several")
+    first = edits.join(several, KEY, "left_semi").withColumn("text", text).groupBy(*KEY).agg(F.min("text").alias("__first"))
     rows = rows.join(live, KEY, "left").join(first, KEY, "left")
     tags = F.exists(F.col("__tokens"), lambda x: x["t"] != "text")
-    same = (F.col("__plain") == T.normalize(F.col("text"))) & (F.size("__tokens") == 1) & (F.element_at("__tokens", 1)["v"] == F.col("text"))
+    same = (F.size("__tokens") == 1) & (F.element_at("__tokens", 1)["v"] == F.col("__short")) & (F.col("__plain") == T.normalize(F.col("__short")))
     reason = (
-        F.when(F.col("text") == "", "blank").when(F.length("text") > MAX_TEXT, "too_long").when(F.col("__rev").isNull(), "not_found")
-        .when((F.col("__rev") != F.col("base_rev")) | (F.col("text") != F.col("__first")), "stale").when(tags, "tagged").when(F.coalesce(same, F.lit(False)), "unchanged")
+        F.when(F.col("__blank"), "blank").when(F.col("__long"), "too_long").when(F.col("__rev").isNull(), "not_found")
+        .when((F.col("__rev") != F.col("base_rev")) | (F.col("__short") != F.col("__first")), "stale").when(tags, "tagged").when(F.coalesce(same, F.lit(False)), "unchanged")
     )
     return rows.select(*KEY, "base_rev", "text", reason.alias("reason"))
 
