@@ -283,3 +283,21 @@ def test_single_words_are_found_as_searched_forms_are(spark):
     # Texts of single-word glossaries are not searched by substrings, and a small glossary shuffles none of them.
     plan = glossary.term_mismatch(df, lone, ["k"], "en", "en")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_products_stay_within_their_bound_and_equal_vectors_tie(spark, monkeypatch):
+    """No product of a whole block by a whole block, and copies of a vector come in order of their id wherever they lie."""
+    import numpy as np
+
+    monkeypatch.setattr(search, "BLOCK_BYTES", 1 << 14)
+    r = np.random.default_rng(5)
+    base = r.normal(size=(40, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in base[i % 40]]) for i in range(1200)], "vec_id long, embedding array<double>")
+    got = {}
+    for x in search.top_by_dot(df, df.where("vec_id % 20 = 0"), 5).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.dot))
+    dots = base @ base.T
+    for q, hits in got.items():
+        order = sorted((i for i in range(1200) if i != q), key=lambda i: (-round(dots[q % 40, i % 40], 9), i))
+        assert [i for _, i, _ in sorted(hits)] == order[:5]
+    assert len(got) == 60

@@ -125,21 +125,32 @@ def top_by_dot(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
             return pa.table([pa.array([], asked["id"].type), pa.array([], rows["id"].type), pa.array([], pa.float64())], names=names)
         rows = rows.sort_by("id")
         matrix = lambda t: t["vector"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-        dots = matrix(asked) @ matrix(rows).T
+        left, right = matrix(asked), matrix(rows)
+        # A product of matrices rounds by place; what may be among the best is summed anew, so that equal vectors tie.
+        slack = 1e-9 * np.sqrt((left * left).sum(axis=1)) * np.sqrt((right * right).sum(axis=1).max())
         ids, own = asked["id"].to_pylist(), rows["id"].to_pylist()
         places: dict = {}
         for n, i in enumerate(own):
             places.setdefault(i, []).append(n)
         of, at = [], []
-        for n, row in enumerate(dots):
+        found = []
+        # Products of so many queries at a time that they stay within ``BLOCK_BYTES``.
+        step = max(1, BLOCK_BYTES // (8 * len(own)))
+        for n in range(len(ids)):
+            if n % step == 0:
+                dots = left[n : n + step] @ right.T
+            row = dots[n % step]
             row[places.get(ids[n], [])] = -np.inf
             least = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
-            near = np.flatnonzero((row >= least) & np.isfinite(row))
-            best = near[np.argsort(-row[near], kind="stable")[:k]]
+            near = np.flatnonzero((row >= least - slack[n]) & np.isfinite(row))
+            exact = np.cumsum(left[n] * right[near], axis=1)[:, -1]
+            first = np.argsort(-exact, kind="stable")[:k]
+            best = near[first]
             of.append(np.full(len(best), n))
             at.append(best)
+            found.append(exact[first])
         of, at = np.concatenate(of), np.concatenate(at)
-        return pa.table([asked["id"].take(pa.array(of)), rows["id"].take(pa.array(at)), pa.array(dots[of, at])], names=names)
+        return pa.table([asked["id"].take(pa.array(of)), rows["id"].take(pa.array(at)), pa.array(np.concatenate(found))], names=names)
 
     found = q.groupBy("q", "v").cogroup(v.groupBy("q", "v")).applyInArrow(product, f"query_id {kind}, {id_col} {kind}, dot double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("dot").desc(), id_col))
