@@ -22,7 +22,7 @@ SEVERITY = {
 # Brackets and quotes that balance, what may close a sentence, and list marks.
 PAIRS = (("(", ")"), ("[", "]"), ("{", "}"), ("«", "»"))
 PARITY = ('"', "“”„")
-CLOSERS = r"[\s\"'“”‘’«»‹›)\]}]+$"
+CLOSERS = r"[\s\"'“”‘’«»‹›)\]}]*\z"
 TERMINAL = ".!?…"
 ENUMERATOR = r"^\s*[0-9A-Za-z]{1,2}\)"
 SPACES = "[ \u00a0\u202f\u2009]"
@@ -50,8 +50,7 @@ def _count(text: Column, mark: str) -> Column:
 
 
 def terminal_mark(text: Column) -> Column:
-    last = F.right(F.regexp_replace(text, CLOSERS, ""), F.lit(1))
-    return F.when(F.contains(F.lit(TERMINAL), last) & (last != ""), last)
+    return F.nullif(F.regexp_extract(text, f"([{TERMINAL}]){CLOSERS}", 1), F.lit(""))
 
 
 def punct_terminal(source: Column, target: Column) -> Column:
@@ -69,7 +68,9 @@ def imbalances(text: Column) -> Column:
 
 
 def punct_brackets(source: Column, target: Column) -> Column:
-    return F.size(F.array_except(imbalances(target), imbalances(source))) > 0
+    # Most texts have none of these marks, and so nothing that could be out of balance.
+    marks = "".join(re.escape(m) for p in (*PAIRS, *PARITY) for m in "".join(p))
+    return target.rlike(f"[{marks}]") & (F.size(F.array_except(imbalances(target), imbalances(source))) > 0)
 
 
 def punct_inverted(target: Column) -> Column:
@@ -83,7 +84,7 @@ def punct_spacing(target: Column, lang: str) -> Column:
     """Double spaces, a space before a mark that takes none, a missing or plain no-break space."""
     before, hard, after = _by_tag(lang, SPACING, SPACING, SPACING[""])
     others = "".join(m for m in before if m != ".")
-    found = target.rlike(SPACES + "{2,}") | target.rlike(f"{SPACES}[{others}]") | target.rlike(rf"{SPACES}\.(?!\.)")
+    found = target.rlike(rf"{SPACES}(?:{SPACES}|[{others}]|\.(?!\.))")
     if hard:
         found = found | target.rlike(rf"[ \p{{L}}\p{{N}}][{hard}]{FOLLOWER}")
     if after:
@@ -182,8 +183,9 @@ def issues(pairs: DataFrame, key: list[str], src_lang: str, tgt_lang: str, rules
         "punct.terminal": there & punct_terminal(s, t), "punct.brackets": there & punct_brackets(s, t),
         "punct.inverted": there & punct_inverted(t) if tgt_lang.startswith("es") else F.lit(False), "punct.spacing": there & punct_spacing(t, tgt_lang),
     }
-    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(SEVERITY[r]).alias("severity"))) for r, c in checks.items() if r in rules]))
-    return rows.select(*key, F.explode(found).alias("i")).select(*key, "i.rule", "i.severity")
+    found = F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(SEVERITY[r]).alias("severity"))) for r, c in checks.items() if r in rules])
+    # Not compacted before: in a lambda's argument each condition would be interpreted.
+    return rows.select(*key, F.explode(found).alias("i")).where("i is not null").select(*key, "i.rule", "i.severity")
 
 
 def inconsistent(pairs: DataFrame, key: list[str], group: list[str] | None = None) -> DataFrame:
