@@ -125,3 +125,20 @@ def test_kneser_ney_by_dictionaries(spark):
         window = [sum(ratio[i : i + toxicity.WINDOW]) / toxicity.WINDOW for i in range(len(w))]
         want = [sum(ratio) / max(len(w), 1), max(window, default=0), sum(alone[: toxicity.TOP]) / toxicity.TOP]
         assert np.allclose(m, want, atol=1e-6), (t, m, want)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """4,600 ordinary texts are more than any cap that there was: each one that isn't kept back for the curve starts one sequence."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from twintext.llm import toxicity
+
+    docs = spark.range(4700).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") < 100, "awful ").otherwise("kind "), F.lit("w"), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") < 100).cast("int").alias("toxic"))
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    back = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1000)) < int(toxicity.CALIBRATION * 1000)
+    want = [docs.where(c).where(~back).count() for c in ("doc_id >= 100", "doc_id < 100")]
+    start = model.words.find(np.array([toxicity.START]))[0]
+    assert list(model.context[start]) == want
+    assert np.isfinite(model.curve).all()

@@ -22,9 +22,7 @@ from pyspark.sql import functions as F
 from twintext.llm.arrays import lowered, mixed, row_blocks, row_sums, rows_of, tokens, utf8
 from twintext.llm.storage import materialise
 
-#: Most labelled rows of each class that the models learn from.
-MAX_PER_CLASS = 4_000
-#: Share of them kept back to fit the curve.
+#: Share of the labelled rows kept back to fit the curve.
 CALIBRATION = 0.3
 #: Tokens of a window.
 WINDOW = 24
@@ -32,7 +30,7 @@ WINDOW = 24
 TOP, MOST = 2, 4.0
 #: Taken from each count and given to the shared backoff: what occurs no more often than this is smoothed entirely.
 DISCOUNT = 4.0
-#: Least occurrences of a word or pair that the models keep a row for; rarer ones use the shared counts.
+#: Least occurrences of a word that the models keep a row for; rarer ones use the shared counts.
 LEAST = 2
 START = np.uint64(0x5BD1E995)
 
@@ -155,32 +153,43 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(before.view(np.int64)), pa.array(words.view(np.int64)), pa.array(labels[i + of] > 0)], names=["v", "w", "toxic"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton steps."""
-    x, b = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
-    for _ in range(steps if len(x) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
-        move = np.linalg.solve(h, x.T @ (y - p) - ridge * b)
+def _logistic(held: DataFrame, columns: tuple[str, ...], steps: int = 50, ridge: float = 1e-3) -> np.ndarray:
+    """Logistic regression of y on the columns by Newton steps, whose sums Spark makes over all rows."""
+    x, b = [F.lit(1.0), *[F.col(c) for c in columns]], np.zeros(len(columns) + 1)
+    # Rounded to an integer of 1e-9 each: sums don't depend on the order of rows.
+    exact = lambda c: F.sum(F.round(c * 1e9).cast("decimal(28,0)"))
+    for _ in range(steps):
+        z = sum((c * F.lit(float(w)) for c, w in zip(x[1:], b[1:], strict=True)), F.lit(float(b[0])))
+        rows = held.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
+        upper = [(i, j) for i in range(len(b)) for j in range(i, len(b))]
+        sums = rows.agg(*[exact(c * (F.col("y") - F.col("p"))) for c in x], *[exact(x[i] * x[j] * F.col("p") * (1 - F.col("p"))) for i, j in upper]).first()
+        if sums[0] is None:
+            break
+        sums = np.array([float(s) / 1e9 for s in sums])
+        h = ridge * np.eye(len(b))
+        for (i, j), s in zip(upper, sums[len(b) :], strict=True):
+            h[i, j] += s
+            h[j, i] += s * (i != j)
+        move = np.linalg.solve(h, sums[: len(b)] - ridge * b)
         b += np.clip(move, -5, 5)
-        if abs(move).max() < 1e-8:
+        if abs(move).max() < 1e-7:
             break
     return b
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = MAX_PER_CLASS) -> KneserNey:
-    """Fits on at most ``max_per_class`` rows of each class for which ``learn`` holds.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> KneserNey:
+    """Fits on every labelled row for which ``learn`` holds.
 
-    The counts are aggregated by Spark; words and pairs below ``LEAST``
-    occurrences stay there. The rest, bounded by the sample, reaches the driver.
+    Counts, and the sums of the curve's steps, are aggregated by Spark. Words
+    below ``LEAST`` occurrences stay there, and so do pairs that the discount
+    takes entirely: these count as unseen in the model too. What reaches the
+    driver is the model, which grows with the vocabulary.
     """
     rows = labels.where(learn).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("double")).alias("__label"))
-    order = [F.xxhash64("__id"), F.col("__id")]
-    chosen = rows.where("__label > 0").orderBy(*order).limit(max_per_class).unionByName(rows.where("__label <= 0").orderBy(*order).limit(max_per_class))
     back = F.pmod(F.xxhash64("__id", F.lit("curve")), F.lit(1000)) < int(CALIBRATION * 1000)
-    chosen = chosen.withColumn("__back", back)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id").select("__text", "__label", "__back").dropDuplicates()
+    chosen = rows.withColumn("__back", back)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(chosen, "__id").groupBy(F.sha2("__text", 256).alias("__digest"), "__label", "__back").agg(F.first("__text").alias("__text")).select("__text", "__label", "__back")
     texts = materialise(texts, "toxic-texts", compression="zstd")
 
     by = {c: F.count(F.when(F.col("toxic") == bool(c), F.lit(1))) for c in (0, 1)}
@@ -194,7 +203,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     sums = words.agg(F.sum("c0"), F.sum("c1"), taken("c0"), taken("c1"), F.sum("c"), F.count(F.lit(1))).first()
     kept = words.join(contexts, F.col("w") == F.col("v"), "full").where(f"coalesce(n, 0) >= {LEAST} or coalesce(m, 0) >= {LEAST}")
     kept = kept.select(F.coalesce("w", "v").alias("w"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("c0", "c1", "c", "f0", "f1", "t0", "t1")]).toArrow()
-    often = pairs.where(f"n0 + n1 >= {LEAST}").toArrow()
+    often = pairs.where(f"n0 > {DISCOUNT} or n1 > {DISCOUNT}").toArrow()
 
     col = lambda t, *names: np.column_stack([t[c].to_numpy() for c in names]).astype(np.float64).reshape(len(t), len(names))
     key = lambda t, name: t[name].to_numpy().astype(np.int64).view(np.uint64)
@@ -212,12 +221,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
             m = shared.value.measures(batch.column("__text"))
             yield pa.RecordBatch.from_arrays([batch.column("__label"), *[pa.array(x) for x in m.T]], names=["y", "a", "b", "c"])
 
-    held = texts.where("__back").select("__text", "__label").mapInArrow(measured, "y double, a double, b double, c double").orderBy("y", "a", "b", "c").toArrow()
-    model.curve = _logistic(col(held, "a", "b", "c"), (held["y"].to_numpy() > 0).astype(float))
+    held = texts.where("__back").select("__text", "__label").mapInArrow(measured, "y double, a double, b double, c double")
+    held = materialise(held.withColumn("y", (F.col("y") > 0).cast("double")), "toxic-held")
+    model.curve = _logistic(held, ("a", "b", "c"))
     rates = rows.agg(F.avg((F.col("__label") > 0).cast("double")), F.count(F.lit(1))).first()
-    share = float(np.clip((held["y"].to_numpy() > 0).mean() if len(held) else 0.5, 1e-3, 1 - 1e-3))
+    among = held.agg(F.avg("y")).first()[0]
+    share = float(np.clip(0.5 if among is None else among, 1e-3, 1 - 1e-3))
     base = float(np.clip(rates[0] if rates[1] else 0.5, 1e-3, 1 - 1e-3))
-    # The sample holds more toxic rows than the labels do; the intercept goes back to their share.
+    # Equal texts count once in the curve; the intercept goes back to the share of all labels.
     model.curve[0] += np.log(base / (1 - base)) - np.log(share / (1 - share))
     return model
 
