@@ -61,8 +61,12 @@ def line_total(rate: Column, minimum: Column, words: Column) -> Column:
 
 
 def estimate(files: DataFrame, rates: DataFrame) -> DataFrame:
-    """Price of each order and target language: files (order_id, tgt_lang, words), rates (tgt_lang, rate, minimum, per_file)."""
-    lines = files.join(rates, "tgt_lang").groupBy("order_id", "tgt_lang").agg(F.sum(billable(F.col("words"), F.col("per_file"))).alias("words"), F.max("rate").alias("rate"), F.max("minimum").alias("minimum"))
+    """Price of each order and target language: files (order_id, tgt_lang, words), rates (tgt_lang, rate, minimum, per_file).
+
+    Rates are a row a language, and go to the files: by language these would
+    meet in as many tasks as there are languages.
+    """
+    lines = files.join(F.broadcast(rates), "tgt_lang").groupBy("order_id", "tgt_lang").agg(F.sum(billable(F.col("words"), F.col("per_file"))).alias("words"), F.max("rate").alias("rate"), F.max("minimum").alias("minimum"))
     return lines.select("order_id", "tgt_lang", "words", line_total(F.col("rate"), F.col("minimum"), F.col("words")).alias("price"))
 
 
