@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from twintext.operators import business
+from twintext.functions import text
+from twintext.operators import business, matching
 
 
 def plan(df):
@@ -15,3 +16,26 @@ def test_estimate_does_not_gather_files_by_language(spark):
     out = business.estimate(files, rates)
     assert "SortMergeJoin" not in plan(out)
     assert {(r.tgt_lang, r.words, r.price) for r in out.collect()} == {("de", 100, 10.0), ("fr", 50, 10.0)}
+
+
+def test_fuzzy_pairs_write_no_row_for_each_word(spark, monkeypatch):
+    """Only the rarest runs of a text are dealt out, and no table holds all words as rows."""
+    sizes, write = {}, matching.materialise
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(matching, "materialise", counted)
+    texts = [(str(i), " ".join(chr(97 + i) * 3 + chr(97 + k // 8) * 2 + chr(97 + k % 8) for k in range(40))) for i in range(20)]
+    df = lambda key: spark.createDataFrame(texts, f"{key} string, plain string")
+    found = matching.fuzzy_pairs(df("a"), df("b")).collect()
+    assert {(r.a, r.b, r.score) for r in found} == {(str(i), str(i), 99) for i in range(20)}
+    assert max(sizes.values()) <= len(texts)
+
+
+def test_fuzzy_words_keep_their_bounds(spark):
+    df = spark.createDataFrame([("ΟΔΟΣ Β1,5a 3.4.-Ⅻ don't İx",), (" .,",), (None,)], "t string")
+    found = [r[0] for r in df.select(text.fuzzy_words(F.col("t"))).collect()]
+    assert found == [["οδος", "β", "#", "a", "#", "#", "don", "t", "i̇x"], [], None]
