@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from twintext.functions import text
-from twintext.operators import business, matching
+from twintext.operators import business, glossary, matching
 
 
 def plan(df):
@@ -39,3 +39,12 @@ def test_fuzzy_words_keep_their_bounds(spark):
     df = spark.createDataFrame([("ΟΔΟΣ Β1,5a 3.4.-Ⅻ don't İx",), (" .,",), (None,)], "t string")
     found = [r[0] for r in df.select(text.fuzzy_words(F.col("t"))).collect()]
     assert found == [["οδος", "β", "#", "a", "#", "#", "don", "t", "i̇x"], [], None]
+
+
+def test_term_candidates_read_all_languages_in_one_pass(spark):
+    lines = [("en", "the data base is new"), ("en", "a data base was old"), ("en_GB", "one Data base"), ("en", "data"), ("en", "Data"), ("en", "data!"), ("de", "die Daten"), ("de", "Daten und Daten"), ("xx", "data base")]
+    rows = spark.createDataFrame([(i, 0, tag, t) for i, (tag, t) in enumerate(lines)], "doc_id long, ord int, lang string, plain string")
+    out = glossary.term_candidates_by_language(rows, ["doc_id", "ord"])
+    assert plan(out).count("FileScan") <= 2
+    got = {(r.lang, r.term_key, r.term, r.occurrences, r.uncovered, r.words) for r in out.collect()}
+    assert got == {("en", "data base", "data base", 3, 3, 2), ("en", "data", "data", 6, 3, 1), ("de", "daten", "Daten", 3, 3, 1)}
