@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from twintext.functions import text
-from twintext.operators import business, glossary, matching
+from twintext.functions import tokens as K
+from twintext.operators import business, glossary, matching, placing
 
 
 def plan(df):
@@ -48,3 +49,21 @@ def test_term_candidates_read_all_languages_in_one_pass(spark):
     assert plan(out).count("FileScan") <= 2
     got = {(r.lang, r.term_key, r.term, r.occurrences, r.uncovered, r.words) for r in out.collect()}
     assert got == {("en", "data base", "data base", 3, 3, 2), ("en", "data", "data", 6, 3, 1), ("de", "daten", "Daten", 3, 3, 1)}
+
+
+def test_segments_without_a_unit_meet_in_no_join(spark, monkeypatch):
+    """The null unit would gather most segments in one task."""
+    plans, write = {}, placing.materialise
+
+    def seen(df, name, **options):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name, **options)
+
+    monkeypatch.setattr(placing, "materialise", seen)
+    own = lambda c: F.array(K.token("text", c))
+    rows = spark.createDataFrame([(1, 0, "one two", True), (2, 0, "alpha", False), (2, 1, "zz", False)], "doc_id long, ord int, line string, confirmed boolean")
+    rows = matching.normalized(rows, "line").withColumns({"tokens": own(F.col("line")), "formats": F.array().cast(K.FORMATS), "target": F.lit(None).cast(K.TOKENS)})
+    known = matching.normalized(spark.createDataFrame([(7, "alpha", 1, 3, "x")], "tu_id long, line string, priority int, quality int, updated_at string"), "line").withColumn("tokens", own(F.lit("beta")))
+    out = placing.pretranslated_targets(rows, known, ["doc_id", "ord"], None)
+    assert {(r.doc_id, r.ord): r.target and r.target[0].v for r in out.collect()} == {(1, 0): None, (2, 0): "beta", (2, 1): None}
+    assert "isnull(tu_id" in plans["matches"]

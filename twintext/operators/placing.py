@@ -29,7 +29,10 @@ def pretranslated_targets(rows: DataFrame, memory: DataFrame, key: list[str], le
     donors = rows.select(*[F.col(k).alias(n) for k, n in names.items()], K.to_memory(F.col("target"), F.col("formats")).alias("donor"))
     given = propagation(rows, key, langs).select(*key, *names.values()).join(donors, list(names.values())).select(*key, "donor")
     units = memory.groupBy("tu_id").agg(F.first("tokens").alias("unit"))
-    matched = found.join(units, "tu_id", "left").join(given, key, "left").join(rows.select(*key, "tokens", "formats"), key)
+    # Segments without a unit, mostly the larger part, would meet in one task as the null key of a join.
+    hits = found.where("tu_id is not null").join(units, "tu_id", "left")
+    others = found.where("tu_id is null").withColumn("unit", F.lit(None).cast(dict(units.dtypes)["unit"]))
+    matched = hits.unionByName(others).join(given, key, "left").join(rows.select(*key, "tokens", "formats"), key)
     match = F.when(F.col("outcome") == "propagated", F.col("donor")).when(F.col("tu_id").isNotNull(), F.col("unit"))
     # Written, so that the two steps in Python don't meet in one expression.
     matched = materialise(matched.select(*found.columns, "tokens", "formats", match.alias("match")), "matches", compression="zstd")
