@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from twintext.functions import text
+from twintext.functions import hidden, text
 from twintext.functions import tokens as K
 from twintext.operators import business, glossary, matching, placing
 
@@ -67,3 +67,12 @@ def test_segments_without_a_unit_meet_in_no_join(spark, monkeypatch):
     out = placing.pretranslated_targets(rows, known, ["doc_id", "ord"], None)
     assert {(r.doc_id, r.ord): r.target and r.target[0].v for r in out.collect()} == {(1, 0): None, (2, 0): "beta", (2, 1): None}
     assert "isnull(tu_id" in plans["matches"]
+
+
+def test_hidden_tags_are_carried_a_few_rows_at_a_time(spark):
+    pages = "<p>one <b>two</b> three</p>"
+    rows = spark.range(3 * hidden.ROWS + 1).coalesce(1).withColumn("m", K.markup_tokens(F.lit(pages), {"b": "b"})).select("id", "m.tokens", "m.formats")
+    rows = rows.withColumn("target", F.when(F.col("id") % 5 != 0, K.without_hidden(F.col("tokens"), F.col("formats"))))
+    out = rows.select("id", "tokens", hidden.carry_hidden_tags(F.col("target"), F.col("tokens"), F.col("formats")).alias("out")).collect()
+    assert len(out) == 3 * hidden.ROWS + 1
+    assert all((r.out is None) if r.id % 5 == 0 else (r.out == r.tokens) for r in out)
