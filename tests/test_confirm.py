@@ -120,3 +120,17 @@ def test_ranks_and_scratch_tables(spark):
         c = outer(materialise(a.limit(3), "c"))
     assert c.count() == 3
     discard(c)
+
+
+def test_pairs_and_contexts_move_no_more_text_than_they_need(spark):
+    """Neighbouring lines are paired within their document's row, and accepted segments meet their file once."""
+    from twintext.operators import confirm
+    from twintext.plans.project_queries import _project
+    from twintext.plans.queries import line_pairs
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(line_pairs(spark, "/root/testdata/sf0.001"))
+    segments = _project(spark, "/root/testdata/sf0.001")["segments"].where("file_id < 20")
+    out = confirm._in_context(segments, segments.where("id % 3 = 0 and status <> 'locked'").select("id"))
+    assert "Join" not in plan(out)
+    assert out.where("tokens is null or target is null").count() == 0 < out.count()

@@ -49,7 +49,7 @@ class Snapshots:
         manifest = self._manifest(base)
         for name, df in tables.items():
             manifest[name] = f"{self.root}/tables/{name}-{uuid.uuid4().hex}"
-            df.write.parquet(manifest[name])
+            df.write.option("compression", "zstd").parquet(manifest[name])
         draft = self._path(f"{self.root}/draft-{uuid.uuid4().hex}")
         stream = self._fs.create(draft, False)
         stream.writeBytes(json.dumps(manifest))
