@@ -61,3 +61,13 @@ def test_each_pair_is_judged_by_its_languages(spark):
     for x in want[1:]:
         total = total.unionByName(x)
     assert got == rows(total.where(F.col("rule").isin("seg.empty", "seg.untranslated", "num.missing", "num.altered", "punct.terminal", "punct.brackets", "punct.inverted", "punct.spacing")))
+
+
+def test_consistency_shuffles_digests(spark):
+    """Equal sources with different targets are found by digests; no text is shuffled."""
+    from twintext.operators import qa
+
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (4, "b", "x")], "k int, source string, target string")
+    out = qa._differing(rows, ["k"], [], "source", "target")
+    assert sorted(r.k for r in out.collect()) == [1, 2]
+    assert "sha2(" in out._jdf.queryExecution().optimizedPlan().toString()

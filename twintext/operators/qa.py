@@ -204,6 +204,9 @@ def inconsistent(pairs: DataFrame, key: list[str], group: list[str] | None = Non
 def _differing(pairs: DataFrame, key: list[str], group: list[str], same: str, other: str) -> DataFrame:
     """Pairs (key) with an equal ``same`` and another ``other`` outside their own group."""
     if not group:
+        # Digests are shuffled in place of the texts.
+        digest = lambda c: F.unhex(F.sha2(c, 256)).alias(c)
+        pairs = pairs.select(*key, digest(same), digest(other))
         several = pairs.groupBy(same).agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo <> hi").select(same)
         return pairs.join(several, same).select(*key)
     # Two least and two greatest groups' values tell what lies outside any one group.
