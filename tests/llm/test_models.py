@@ -142,3 +142,29 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     start = model.words.find(np.array([toxicity.START]))[0]
     assert list(model.context[start]) == want
     assert np.isfinite(model.curve).all()
+
+
+def test_toxicity_shuffles_one_row_of_each_labelled_text(spark, monkeypatch):
+    """Texts without a label, and copies, meet no shuffle: a small table of ids and digests finds the rows."""
+    plans, texts, write = {}, {}, toxicity.materialise
+
+    def seen(df, name, **options):
+        plans[name], out = df._jdf.queryExecution().executedPlan().toString(), write(df, name, **options)
+        texts[name] = out
+        return out
+
+    monkeypatch.setattr(toxicity, "materialise", seen)
+    docs = spark.createDataFrame([(1, "a b"), (1, "c d"), (2, "a b"), (3, "x y"), (4, None), (5, ""), (6, "e f"), (6, "e f"), (None, "a b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (4, 0), (5, 0), (6, 0), (None, 1)], "doc_id long, toxic int")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        toxicity.fit_toxicity(docs, labels, F.lit(True))
+        monkeypatch.setattr("twintext.llm.storage.BROADCAST_BYTES", 0)
+        first = {tuple(r) for r in texts["toxic-texts"].collect()}
+        assert "SortMergeJoin" not in plans["toxic-texts"]
+        toxicity.fit_toxicity(docs, labels, F.lit(True))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "SortMergeJoin" in plans["toxic-texts"] and {tuple(r) for r in texts["toxic-texts"].collect()} == first
+    assert {r[:2] for r in first} == {("a b", 1.0), ("c d", 1.0), (None, 0.0), ("", 0.0), ("e f", 0.0)}
