@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twintext.llm.arrays import lowered, mixed, row_blocks, row_sums, rows_of, tokens, utf8
-from twintext.llm.storage import join_checked, materialise
+from twintext.llm.storage import join_checked, materialise, sieved
 
 #: Share of the labelled rows kept back to fit the curve.
 CALIBRATION = 0.3
@@ -189,13 +189,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("double")).alias("__label"))
     back = F.pmod(F.xxhash64("__id", F.lit("curve")), F.lit(1000)) < int(CALIBRATION * 1000)
     chosen = rows.withColumn("__back", back)
-    # Ids and digests find one row of each text; only these rows' texts are shuffled, unless the table of them is too large to send.
+    # Ids and digests find one row of each text; only these rows' texts are shuffled.
     chosen = materialise(chosen, "toxic-labels")
     # A null text is another than the empty one.
     named = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.unhex(F.sha2(F.col(text_col), 256)), F.unhex(F.lit(""))).alias("__digest"), F.col(text_col).alias("__text"))
     judged = join_checked(named.select("__id", "__digest"), chosen, ["__id"]).groupBy("__digest", "__label", "__back").agg(F.min("__id").alias("__id"))
     judged = materialise(judged, "toxic-judged")
-    texts = join_checked(named, judged, ["__id", "__digest"]).groupBy("__digest", "__label", "__back").agg(F.first("__text").alias("__text")).select("__text", "__label", "__back")
+    keys = ["__id", "__digest"]
+    texts = join_checked(named, judged, keys, lambda: sieved(named, judged, keys).join(judged, keys)).groupBy("__digest", "__label", "__back").agg(F.first("__text").alias("__text")).select("__text", "__label", "__back")
     texts = materialise(texts, "toxic-texts", compression="zstd")
 
     by = {c: F.count(F.when(F.col("toxic") == bool(c), F.lit(1))) for c in (0, 1)}
