@@ -76,3 +76,13 @@ def test_hidden_tags_are_carried_a_few_rows_at_a_time(spark):
     out = rows.select("id", "tokens", hidden.carry_hidden_tags(F.col("target"), F.col("tokens"), F.col("formats")).alias("out")).collect()
     assert len(out) == 3 * hidden.ROWS + 1
     assert all((r.out is None) if r.id % 5 == 0 else (r.out == r.tokens) for r in out)
+
+
+def test_exact_match_carries_no_texts_of_units(spark):
+    """The best unit of a hash is found by a hash aggregate without its text, and labels are met before lines are split."""
+    from twintext.plans import queries
+
+    out = queries.exact_match(spark, "/root/testdata/sf0.001")
+    best = [x for x in plan(out).splitlines() if "max(struct(p" in x]
+    assert best and not any("plain" in x.split("max(struct(p")[1] for x in best)
+    assert out.count() > 0
