@@ -1,7 +1,10 @@
 """Plans of queries over large tables: what no single task may hold."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from twintext import stages
 from twintext.functions import hidden, text
 from twintext.functions import tokens as K
 from twintext.operators import business, glossary, matching, placing
@@ -36,6 +39,38 @@ def test_fuzzy_pairs_write_no_row_for_each_word(spark, monkeypatch):
     assert max(sizes.values()) <= len(texts)
 
 
+def test_fuzzy_match_moves_only_texts_of_likely_pairs(spark, monkeypatch):
+    """Equal texts are found by digests and candidates ruled out by bags; no table but the given texts holds any."""
+    plans, kinds, write = {}, {}, matching.materialise
+
+    def seen(df, name, **options):
+        plans[name] = plan(df)
+        kinds[name] = {t for _, t in df.dtypes}
+        return write(df, name, **options)
+
+    monkeypatch.setattr(matching, "materialise", seen)
+    texts = [" ".join(chr(97 + i) * 2 + chr(97 + k) for k in range(20)) for i in range(8)] * 2
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "k long, plain string, lang string")
+    memory = spark.createDataFrame([(i, t + " more", "en", 1, "2024") for i, t in enumerate(texts)], "tu_id long, plain string, lang string, quality int, updated_at string")
+    got = {(r.k, r.tu_id, r.score) for r in matching.fuzzy_match(rows, memory, ["k"], limit=1, langs=("lang",)).collect()}
+    assert got == {(k, k % 8, 95) for k in range(16)}
+    assert {"text-ids", "fuzzy-near"} <= set(plans)
+    assert not any(re.search(r"ReadSchema: struct<[^>]*plain", plans[name]) for name in ("text-ids", "fuzzy-near"))
+    assert {name for name, t in kinds.items() if t & {"string", "array<string>"}} <= {"asked", "units"}
+
+
+def test_rows_by_number_stay_where_they_are(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 3).select(F.monotonically_increasing_id().alias("n"), F.col("id").alias("x"))
+    rows = stages.materialise(rows, "rows")
+    ids = rows.where("x % 7 = 0").select("n")
+    want = {x for x in range(1000) if x % 7 == 0}
+    found = stages.numbered(rows, ids, "n")
+    assert {r.x for r in found.collect()} == want
+    assert "Exchange hashpartitioning(n#" not in plan(found)
+    monkeypatch.setattr(stages, "BITS_BYTES", 0)
+    assert {r.x for r in stages.numbered(rows, ids, "n").collect()} == want
+
+
 def test_fuzzy_words_keep_their_bounds(spark):
     df = spark.createDataFrame([("ΟΔΟΣ Β1,5a 3.4.-Ⅻ don't İx",), (" .,",), (None,)], "t string")
     found = [r[0] for r in df.select(text.fuzzy_words(F.col("t"))).collect()]
