@@ -71,6 +71,21 @@ def test_rows_by_number_stay_where_they_are(spark, monkeypatch):
     assert {r.x for r in stages.numbered(rows, ids, "n").collect()} == want
 
 
+def test_rows_are_sieved_before_they_are_shuffled(spark):
+    """A semi join would be pushed below the sieve, and shuffle all rows."""
+    rows = spark.createDataFrame([(None if i == 5 else i % 50, f"t{i}") for i in range(200)], "k int, x string")
+    table = spark.createDataFrame([(i,) for i in (1, 2, 2, 60, None)], "k int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        have, lack = stages.having(rows, table, ["k"]), stages.lacking(rows, table, ["k"])
+        assert sorted(have.collect()) == sorted(rows.where("k in (1, 2)").collect())
+        assert {r.x for r in lack.collect()} == {r.x for r in rows.where("k is null or k not in (1, 2)").collect()}
+        for found in (have, lack):
+            assert plan(found).index("SortMergeJoin") < plan(found).index("BroadcastHashJoin")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_fuzzy_words_keep_their_bounds(spark):
     df = spark.createDataFrame([("ΟΔΟΣ Β1,5a 3.4.-Ⅻ don't İx",), (" .,",), (None,)], "t string")
     found = [r[0] for r in df.select(text.fuzzy_words(F.col("t"))).collect()]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from twintext.functions import text as T
 from twintext.functions import tokens as K
+from twintext.stages import having, materialise
 
 # Rules and their severity.
 SEVERITY = {
@@ -204,11 +205,11 @@ def inconsistent(pairs: DataFrame, key: list[str], group: list[str] | None = Non
 def _differing(pairs: DataFrame, key: list[str], group: list[str], same: str, other: str) -> DataFrame:
     """Pairs (key) with an equal ``same`` and another ``other`` outside their own group."""
     if not group:
-        # Digests are shuffled in place of the texts.
-        digest = lambda c: F.unhex(F.sha2(c, 256)).alias(c)
+        # Digests of 128 bits are shuffled in place of the texts, and then only those of texts that differ.
+        digest = lambda c: F.unhex(F.left(F.sha2(c, 256), F.lit(32))).alias(c)
         pairs = pairs.select(*key, digest(same), digest(other))
         several = pairs.groupBy(same).agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo <> hi").select(same)
-        return pairs.join(several, same).select(*key)
+        return having(pairs, materialise(several, "several"), [same]).select(*key)
     # Two least and two greatest groups' values tell what lies outside any one group.
     own = F.when(F.concat(*[F.col(g).cast("string") for g in group]).isNotNull(), F.to_json(F.struct(*group))).otherwise(F.to_json(F.struct(*key)))
     rows = pairs.withColumn("__own", own)

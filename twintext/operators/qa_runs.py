@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from twintext.functions import text as T
 from twintext.operators import qa
+from twintext.stages import having, lacking, materialise
 
 #: Rules on a pair and its neighbours; all others look at one pair.
 CONSISTENCY = ("consistency.target_differs", "consistency.source_differs")
@@ -76,7 +77,7 @@ def full_run(pairs: DataFrame, key: list[str], rules: tuple[str, ...] = PAIR_RUL
 
 def apply_changes(pairs: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """The pairs after an edit: ``changes`` has the changed and new rows, with ``removed`` for those that go (null: false)."""
-    kept = pairs.join(changes.select(*key).distinct(), key, "left_anti")
+    kept = lacking(pairs, changes, key)
     return kept.unionByName(changes.where(~F.coalesce("removed", F.lit(False))).select(*pairs.columns))
 
 
@@ -85,19 +86,21 @@ def rerun(pairs: DataFrame, changes: DataFrame, before: DataFrame, key: list[str
 
     Equal to ``full_run`` over the pairs after the edit, with dismissals taken
     over by key and rule. A key comes at most once in ``changes``. Pairs are
-    only filtered by the keys, sources and targets that the edit touches;
-    just those rows are shuffled and judged.
+    sieved by the keys, sources and targets that the edit touches; just those
+    rows are shuffled and judged.
     """
     keys = changes.select(*key).distinct()
-    old = pairs.join(keys, key, "left_semi").select("source", "target")
-    touched = old.unionByName(changes.where(~F.coalesce("removed", F.lit(False))).select("source", "target"))
+    new = changes.where(~F.coalesce("removed", F.lit(False))).select(*pairs.columns)
+    old = having(pairs, keys, key).select("source", "target")
+    touched = materialise(old.unionByName(new.select("source", "target")), "touched")
     after = apply_changes(pairs, changes, key)
-    anew = [pair_issues(after.join(keys, key, "left_semi"), key, rules=rules)]
+    anew = [pair_issues(new, key, rules=rules)]
     kept = [before.where(~F.col("rule").isin(*CONSISTENCY)).join(keys, key, "left_anti")]
     for rule, side in zip(CONSISTENCY, ("source", "target"), strict=True):
-        near = after.join(touched.where(F.col(side).isNotNull()).select(side).distinct(), side, "left_semi")
+        near = having(after, touched.where(F.col(side).isNotNull()).select(side), [side])
+        near = materialise(near.select(*key, "source", "target", *group), "near")
         anew.append(_found(near, key, rule, list(group)))
         judged = near.select(*key).unionByName(keys).distinct()
         kept.append(before.where(F.col("rule") == rule).join(judged, key, "left_anti"))
-    new = qa.carried(reduce(DataFrame.unionByName, anew), before, key)
-    return reduce(DataFrame.unionByName, kept).select(*key, "rule", "severity", "dismissed").unionByName(new)
+    found = qa.carried(reduce(DataFrame.unionByName, anew), before, key)
+    return reduce(DataFrame.unionByName, kept).select(*key, "rule", "severity", "dismissed").unionByName(found)
