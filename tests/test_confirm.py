@@ -134,3 +134,24 @@ def test_pairs_and_contexts_move_no_more_text_than_they_need(spark):
     out = confirm._in_context(segments, segments.where("id % 3 = 0 and status <> 'locked'").select("id"))
     assert "Join" not in plan(out)
     assert out.where("tokens is null or target is null").count() == 0 < out.count()
+
+
+def test_only_the_last_step_moves_texts(spark, monkeypatch):
+    """Contexts, units and places are found by hashes and ids; what a key's changes have in common has no text either."""
+    from twintext.operators import confirm as module
+
+    kinds, write = {}, module.materialise
+
+    def seen(df, name, **options):
+        kinds[name] = dict(df.dtypes)
+        return write(df, name, **options)
+
+    monkeypatch.setattr(module, "materialise", seen)
+    rows = [segment(1, "one", "eins"), segment(2, "one", "ein"), segment(3, "two", "zwei")]
+    store = Snapshots(spark, new_path(spark, "narrow"))
+    store.commit(project(spark, rows), 0)
+    confirm(store, store.read("segments").select("id", F.col("updated_at").alias("base_updated_at")), "en", "de", "t1", "me")
+    assert {r.plain: r.rev for r in store.read("variants").collect()} == {"one": 2, "ein": 2, "two": 1, "zwei": 1}
+    assert {r.plain for r in store.read("history").select(K.plain_text(F.col("tokens")).alias("plain")).collect()} == set()
+    for name in ("context", "contexts", "places", "changed-keys"):
+        assert not {"tokens", "target", "c"} & set(kinds[name]) and kinds[name].get("plain", "binary") == "binary"

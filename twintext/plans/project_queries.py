@@ -85,7 +85,8 @@ def _project(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         (F.col("doc_id") * 100_000 + F.col("ord")).alias("id"), F.col("doc_id").alias("file_id"), "ord", text("source").alias("tokens"), text("target").alias("target"), F.array().cast(K.FORMATS).alias("formats"),
         hash_of.alias("hash"), status.alias("status"), F.lit("2024-01-01").alias("updated_at"),
     )
-    known = p.where("doc_id % 4 = 0").select(T.normalize(F.col("source")).alias("plain")).withColumn("hash", T.text_hash(F.col("plain"))).distinct()
+    known = p.where("doc_id % 4 = 0").select(T.normalize(F.col("source")).alias("plain")).withColumn("hash", T.text_hash(F.col("plain")))
+    known = materialise(known.distinct(), "known")
     known = known.withColumn("uuid", F.concat(F.lit("m"), F.left("hash", F.lit(16)))).withColumn("x", F.left("hash", F.lit(1)))
     day, none = F.lit("2020-01-01"), F.lit(None).cast("string")
     units = known.select("uuid", F.lit(1).alias("rev"), day.alias("updated_at"), day.alias("created_at"), F.lit("import").alias("created_by"), (F.col("x") == "0").alias("deleted"), F.create_map().cast("map<string,string>").alias("attrs"))
