@@ -128,6 +128,16 @@ def test_hidden_tags_are_carried_a_few_rows_at_a_time(spark):
     assert all((r.out is None) if r.id % 5 == 0 else (r.out == r.tokens) for r in out)
 
 
+def test_matches_are_placed_a_few_rows_at_a_time(spark):
+    """Python gets Arrow rows and makes objects of a few, not of a whole batch."""
+    pages = K.markup_tokens(F.lit("<p>one <b>two</b> three</p>"), {"p": "style", "b": "b"})
+    rows = spark.range(3 * K.ROWS + 1).coalesce(1).withColumn("m", pages).select("id", "m.tokens", "m.formats")
+    rows = rows.withColumn("memory", F.when(F.col("id") % 5 != 0, K.to_memory(F.col("tokens"), F.col("formats"))))
+    found = rows.select("id", "tokens", K.place_match(F.col("memory"), F.col("tokens"), F.col("formats")).alias("p")).collect()
+    assert len(found) == 3 * K.ROWS + 1
+    assert all((r.p.tokens is None) if r.id % 5 == 0 else (r.p.tokens == r.tokens and r.p.tags_matched) for r in found)
+
+
 def test_exact_match_carries_no_texts_of_units(spark):
     """The best unit of a hash is found by a hash aggregate without its text, and labels are met before lines are split."""
     from twintext.plans import queries
