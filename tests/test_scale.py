@@ -119,6 +119,26 @@ def test_segments_without_a_unit_meet_in_no_join(spark, monkeypatch):
     assert "isnull(tu_id" in plans["matches"]
 
 
+def test_segments_are_normalised_once_in_a_cascade(spark, monkeypatch):
+    """Donors and the placing read a written table; texts that nobody asks for are not written again."""
+    plans, kinds = {}, {}
+    for module in (placing, matching):
+        def seen(df, name, write=module.materialise, **options):
+            plans[name], kinds[name] = plan(df), df.columns
+            return write(df, name, **options)
+
+        monkeypatch.setattr(module, "materialise", seen)
+    own = lambda c: F.array(K.token("text", c))
+    rows = spark.createDataFrame([(1, 0, "alpha", True), (2, 0, "alpha", False), (2, 1, "zz", False), (3, 0, "beta", False)], "doc_id long, ord int, line string, confirmed boolean")
+    rows = matching.normalized(rows, "line").withColumns({"tokens": own(F.col("line")), "formats": F.array().cast(K.FORMATS), "target": F.when(F.col("confirmed"), own(F.lit("Alpha!")))})
+    known = matching.normalized(spark.createDataFrame([(7, "beta", 1, 3, "x")], "tu_id long, line string, priority int, quality int, updated_at string"), "line").withColumn("tokens", own(F.lit("Beta")))
+    out = placing.pretranslated_targets(rows, known, ["doc_id", "ord"], None, keep=())
+    got = {(r.doc_id, r.ord): (r.outcome, r.target and r.target[0].v) for r in out.collect()}
+    assert got == {(1, 0): ("skipped", None), (2, 0): ("propagated", "Alpha!"), (2, 1): ("unmatched", None), (3, 0): ("exact", "Beta")}
+    assert "ArrowEvalPython" in plans["rows"] and "ArrowEvalPython" not in plans["matches"]
+    assert "plain" not in out.columns and "plain" not in kinds["segments"]
+
+
 def test_hidden_tags_are_carried_a_few_rows_at_a_time(spark):
     pages = "<p>one <b>two</b> three</p>"
     rows = spark.range(3 * hidden.ROWS + 1).coalesce(1).withColumn("m", K.markup_tokens(F.lit(pages), {"b": "b"})).select("id", "m.tokens", "m.formats")

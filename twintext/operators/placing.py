@@ -11,7 +11,7 @@ from twintext.operators.matching import pretranslate, propagation
 from twintext.stages import materialise
 
 
-def pretranslated_targets(rows: DataFrame, memory: DataFrame, key: list[str], least: int | None = 75, langs: tuple[str, ...] = ()) -> DataFrame:
+def pretranslated_targets(rows: DataFrame, memory: DataFrame, key: list[str], least: int | None = 75, langs: tuple[str, ...] = (), keep: tuple[str, ...] = ("plain",)) -> DataFrame:
     """Each segment's outcome as ``pretranslate`` gives it, with ``target`` (tokens) and ``tags_matched``.
 
     ``rows`` has what ``pretranslate`` needs, and tokens, formats and target
@@ -20,11 +20,13 @@ def pretranslated_targets(rows: DataFrame, memory: DataFrame, key: list[str], le
     the first confirmed segment of the same source that has a target. They are
     placed on the segment's own visible tags, or as text alone where those
     don't correspond, and the segment's hidden tags are carried. Skipped and
-    unmatched segments have no target.
+    unmatched segments have no target. ``keep`` names the columns of the rows
+    that come back.
     """
     protected = F.col("confirmed") | (F.coalesce("protected", F.lit(False)) if "protected" in rows.columns else F.lit(False))
-    rows = rows.withColumns({"protected": protected, "confirmed": F.col("confirmed") & F.col("target").isNotNull()})
-    found = materialise(pretranslate(rows, memory, key, least, langs), "outcomes", compression="zstd")
+    # Written, as the cascade, the donors and the placing read it.
+    rows = materialise(rows.withColumns({"protected": protected, "confirmed": F.col("confirmed") & F.col("target").isNotNull()}), "rows")
+    found = materialise(pretranslate(rows.drop("target"), memory, key, least, langs, keep), "outcomes")
     names = {k: f"donor_{k}" for k in key}
     donors = rows.select(*[F.col(k).alias(n) for k, n in names.items()], K.to_memory(F.col("target"), F.col("formats")).alias("donor"))
     given = propagation(rows, key, langs).select(*key, *names.values()).join(donors, list(names.values())).select(*key, "donor")

@@ -168,7 +168,7 @@ def cascade_targets(spark, d):
     rows = statused(hashed_lines(spark, d)).withColumns({"tokens": text("", F.col("line")), "formats": F.array().cast(K.FORMATS)})
     rows = rows.withColumn("target", F.when(F.col("confirmed") & (F.col("ord") % 2 == 0), text("T:", F.col("line"))))
     memory = memory_of(spark, d).withColumn("tokens", text("M:", F.col("plain")))
-    out = pretranslated_targets(rows, memory, KEY, None, LANG)
+    out = pretranslated_targets(rows.drop("line"), memory, KEY, None, LANG, ())
     return out.select(*KEY, "outcome", "status", F.sha2(K.plain_text(F.col("target")), 256).alias("target_sha256"), "tags_matched")
 
 
